@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from helixframe.llm import toxicity
+from helixframe.llm import line_dedup, mixing, ngram_join, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}

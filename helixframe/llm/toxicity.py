@@ -148,7 +148,8 @@ def _one_of_copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows with the smallest hash of their words: copies of one text share it, and count once below."""
     for pdf in frames:
         words = [{w for ws in words_of(t) for w in ws} for t in pdf["text"]]
-        yield pdf.assign(low=[f"{min((xxhash.xxh64_intdigest(w) for w in ws), default=0):016x}" for ws in words])
+        low = [f"{min((xxhash.xxh64_intdigest(w) for w in ws), default=0):016x}" for ws in words]
+        yield pdf.assign(low=pd.Series(low, dtype=object, index=pdf.index))
 
 
 def _arc_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,10 +159,8 @@ def _arc_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
             words = {w for ws in words_of(text) for w in ws}
             counts[int(y)].update({a for w in words for a in arcs(w)})
-    keys = list(counts[1])
-    yield pd.DataFrame({"arc": keys, "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]})
-    rest = [k for k in counts[0] if k not in counts[1]]
-    yield pd.DataFrame({"arc": rest, "toxic": 0, "clean": [counts[0][k] for k in rest]})
+    keys = pd.Series(list(counts[0] | counts[1]), dtype=object)
+    yield pd.DataFrame({"arc": keys, "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]}).astype({"toxic": "int64", "clean": "int64"})
 
 
 def learn_arcs(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -198,7 +197,7 @@ def _features(grammar: Grammar):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             f = [grammar.features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], **{f"f{i}": [x[i] for x in f] for i in range(2)}})
+            yield pd.DataFrame({"toxic": pdf["toxic"], **{f"f{i}": np.array([x[i] for x in f], float) for i in range(2)}})
 
     return run
 
