@@ -76,8 +76,8 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WH
 w AS (SELECT doc_id, i AS pos, md5(concat_ws(chr(10), lines[i], lines[i+1], lines[i+2])) AS key
       FROM l, LATERAL unnest(range(1, len(lines) - 1)) AS t(i) WHERE len(lines) >= 3),
 f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS rn FROM w),
-c AS (SELECT DISTINCT doc_id, pos + d AS at FROM f, (VALUES (0), (1), (2)) AS v(d) WHERE rn > 1),
-a AS (SELECT doc_id, list(at) AS cut FROM c GROUP BY doc_id)
+c AS (SELECT DISTINCT doc_id, pos + d AS ln FROM f, (VALUES (0), (1), (2)) AS v(d) WHERE rn > 1),
+a AS (SELECT doc_id, list(ln) AS cut FROM c GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
        coalesce(len(a.cut), 0) AS n_removed,
        CASE WHEN a.cut IS NULL THEN d.text
