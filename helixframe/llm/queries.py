@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from helixframe.llm import line_dedup, mixing, ngram_join, toxicity
+from helixframe.llm import chat, decontam, html_extract, jpeg, line_dedup, mixing, ngram_join, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op2_media_jpeg": jpeg.op2_media_jpeg,
+    "op3_decontamination": decontam.op3_decontamination,
+    "op4_html_extraction": html_extract.op4_html_extraction,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
