@@ -84,7 +84,7 @@ class Grammar:
     def suspicious(self, text: str) -> bool:
         """Whether any word is accepted by the insult or the threat transducer; words are remembered."""
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for raw in set(_CLAUSE.sub(" ", text.lower()).split()):
             hit = known.get(raw)
