@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import WordHashes, read_table, rolling
+from helixframe.llm.common import WordHashes, fresh, read_table, rolling
 
 SEED, THRESHOLD, BLOCK_CHARS = 5, 0.8, 8_000_000
 HITS = "array<struct<item_id:long,coverage:double,n_tiles:int,longest:int>>"
@@ -142,4 +142,5 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that contain no benchmark item."""
-    return leaks(docs, read_table(spark, sf_dir, "benchmark"), out="_leaks").where("size(_leaks) = 0").drop("_leaks")
+    name = fresh(docs, "_leaks")
+    return leaks(docs, read_table(spark, sf_dir, "benchmark"), out=name).where(F.size(name) == 0).drop(name)

@@ -7,7 +7,7 @@ occurrence are removed, overlapping windows being merged by taking the union of
 
 Null texts and texts of fewer than three lines have no window and stay as they are. Rows that
 share a doc_id are told apart by a hash of their text; rows equal in both stand or fall
-together, as one document. Empty lines count as lines. Other columns are carried along.
+together, as one document; rows with a null doc_id are compared like others but never shortened. Empty lines count as lines. Other columns are carried along.
 Equal windows are pre-aggregated before the shuffle, so a window in a third of all documents
 costs one row a task; a document's positions are gathered per document, which is one row anyway.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import read_table
+from helixframe.llm.common import fresh, read_table
 
 WINDOW = 3
 
@@ -39,21 +39,22 @@ def covered(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     return spans.groupBy("doc_id", "_t").agg(F.sort_array(F.collect_set("_at")).alias("_cut"))
 
 
-def line_dedup(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """`docs` with `text` shortened, plus n_lines and n_removed (both 0 for a null text)."""
-    cut = covered(docs, k)
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    joined = keyed.join(cut, ["doc_id", "_t"], "left")
+def line_dedup(docs: DataFrame, k: int = WINDOW, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """`docs` with `text` shortened, plus the numbers of lines and of removed lines (both 0 for a null text)."""
+    t, gone = fresh(docs, "_t"), fresh(docs, "_cut")
+    cut = covered(docs, k).select(F.col("doc_id").alias(fresh(docs, "_id")), F.col("_t").alias(f"{t}2"), F.col("_cut").alias(gone))
+    keyed = docs.withColumn(t, F.xxhash64("text"))
+    joined = keyed.join(cut, (F.col("doc_id") == F.col(fresh(docs, "_id"))) & (F.col(t) == F.col(f"{t}2")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_cut", i + 1)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i + 1)), "\n")
     out = joined.withColumns(
         {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "n_removed": F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long"),
-            "text": F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept),
+            n_lines: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
+            n_removed: F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"),
+            "text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept),
         }
     )
-    return out.drop("_t", "_cut")
+    return out.drop(t, f"{t}2", gone, fresh(docs, "_id"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +64,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shortens texts; documents of which no line is left are copies of earlier ones and go."""
-    names = docs.columns
-    out = line_dedup(docs.withColumn("_had", F.length("text")))
-    out = out.where("n_removed = 0 or n_removed < n_lines")
+    names, lines, removed = docs.columns, fresh(docs, "_lines"), fresh(docs, "_removed")
+    out = line_dedup(docs, n_lines=lines, n_removed=removed)
+    out = out.where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*names)
 
 

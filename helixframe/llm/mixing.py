@@ -9,7 +9,8 @@ over the partitions by the md5 of (seed, id, copy) and sorted by it: a global sh
 Null sources are one source of their own (named by ''), null texts have no characters, null ids
 count as ''. Rows that share a doc_id get the same count. Sources that are absent from `weights`
 get weight 0 and their documents none; with no weights given, all sources weigh the same. An
-empty table stays empty. Extra columns are carried along; `copy` and `shuffle_key` are added.
+empty table stays empty. Extra columns are carried along; `copy` and `shuffle_key` are added
+(and take the place of columns so named).
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import chat, decontam, html_extract, jpeg, line_dedup, mixing, ngram_join, toxicity
+from helixframe.llm import chat, decontam, html_extract, jpeg, line_dedup, mixing, ngram_join, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_html_extraction": html_extract.op4_html_extraction,
     "op5_mixing": mixing.op5_mixing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_secrets": secrets.op9_secrets,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import read_table
+from helixframe.llm.common import fresh, read_table
 
 SAMPLE = 10_000  #: labelled rows of each class that learning may use
 LEXICON = 20_000  #: arcs of the insult transducer
@@ -262,4 +262,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose score is under 0.5."""
     model = Model.train(docs, read_table(spark, sf_dir, "labels"))
-    return model.score(docs, score="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = fresh(docs, "_toxicity")
+    return model.score(docs, score=name).where(F.col(name) < 0.5).drop(name)
