@@ -118,19 +118,23 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Ben
         yield Benchmark([(r.item_id, r.text) for r in rows])
 
 
+def tiler(items: Benchmark, threshold: float):
+    """Column function: text -> the items of one block that it contains. The block travels with the function."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for column in texts:
+            found = (items.hits(text_words(t, hashes), threshold) for t in column)
+            yield pd.Series([[{"item_id": i, "coverage": c, "n_tiles": n, "longest": m} for i, c, n, m in hits] for hits in found], dtype=object)
+
+    return F.pandas_udf(run, HITS)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, out: str = "leaks") -> DataFrame:
     """`docs` with an array of the items that each document contains; nothing is shuffled."""
-    spark, found = docs.sparkSession, F.array().cast(HITS)
+    found = F.array().cast(HITS)
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf(HITS)
-        def hits(texts: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            hashes, items = WordHashes(), shared.value
-            for column in texts:
-                yield pd.Series([[{"item_id": i, "coverage": c, "n_tiles": n, "longest": m} for i, c, n, m in items.hits(text_words(t, hashes), threshold)] for t in column], dtype=object)
-
-        found = F.concat(found, hits(F.col("text")))
+        found = F.concat(found, tiler(block, threshold)(F.col("text").cast("string")))
     return docs.withColumn(out, found)
 
 
