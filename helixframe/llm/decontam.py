@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import WordHashes, fresh, read_table, rolling
 
-SEED, THRESHOLD, BLOCK_CHARS = 5, 0.8, 8_000_000
+SEED, THRESHOLD, BLOCK_CHARS = 5, 0.6, 8_000_000
 HITS = "array<struct<item_id:long,coverage:double,n_tiles:int,longest:int>>"
 _PUNCT = bytes.maketrans(bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127)), b" " * 32)
 
