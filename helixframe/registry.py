@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from helixframe.operators import consensus, genotype, intervals, ontology, triage
+
+MODULES = (ontology, genotype, intervals, triage, consensus)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
+FLAGSHIP = "agg05_resnik_rank"
