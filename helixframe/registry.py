@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from helixframe.operators import consensus, genotype, intervals, ontology, triage
+from helixframe.operators import consensus, genotype, intervals, ontology, statistics, triage
 
-MODULES = (ontology, genotype, intervals, triage, consensus)
+MODULES = (ontology, genotype, intervals, triage, consensus, statistics)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "agg05_resnik_rank"
