@@ -104,7 +104,8 @@ class Join:
         return np.sort(rows.view(np.uint64))
 
     def prefixes(self, reps: DataFrame, hot) -> DataFrame:
-        """(doc_id, n, tokens, short): the prefix in the global order; short where `lows` doesn't reach so far."""
+        """(doc_id, n, tokens, cold, short): the prefix in the global order, of which the first `cold` are not
+        frequent; short where `lows` doesn't reach so far."""
         num, den = self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,17 +117,18 @@ class Join:
                 flat = lows.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.searchsorted(frequent, flat)
                 is_hot = frequent[np.minimum(at, len(frequent) - 1)] == flat if len(frequent) else np.zeros(len(flat), bool)
-                p, out, short = probe_length(n, num, den), [], []
+                p, out, colds, short = probe_length(n, num, den), [], [], []
                 for i in range(len(n)):
                     s, h = flat[off[i] : off[i + 1]], is_hot[off[i] : off[i + 1]]
                     cold = s[~h]
                     short.append(bool(len(cold) < p[i] and len(s) < n[i]))
+                    colds.append(len(cold))
                     out.append(np.concatenate([cold, s[h]])[: p[i]].view(np.int64) if not short[-1] else np.empty(0, np.int64))
                 offsets = pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32))
                 values = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, values), pa.array(short, pa.bool_())], ["doc_id", "n", "tokens", "short"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, values), pa.array(colds, pa.int32()), pa.array(short, pa.bool_())], ["doc_id", "n", "tokens", "cold", "short"])
 
-        return reps.select("doc_id", "n", "lows").mapInArrow(run, "doc_id long, n long, tokens array<long>, short boolean")
+        return reps.select("doc_id", "n", "lows").mapInArrow(run, "doc_id long, n long, tokens array<long>, cold int, short boolean")
 
     def whole_sets(self, ids: DataFrame, rows: int) -> DataFrame:
         """(id, s): the whole sets of the given documents, made again from their texts."""
@@ -145,19 +147,24 @@ class Join:
         return some.mapInArrow(run, "id long, s array<long>")
 
     def lists(self, reps: DataFrame, tokens: DataFrame, hot) -> DataFrame:
-        """(token, id, n, pos): the entries of all lists that hold at least two sets."""
+        """(token, id, n, pos, prev): the entries of all lists that hold at least two sets.
+
+        Entries of frequent shingles know the last frequent ones before them (`prev`, null if none): two
+        sets that share one of those meet in an earlier list already, and needn't be paired again.
+        """
+        prev = F.when(F.col("pos") > F.col("cold"), F.slice("tokens", F.greatest(F.col("pos") - 3, F.col("cold") + 1), F.least(F.col("pos") - F.col("cold"), F.lit(4))))
         made = self.prefixes(reps, hot)
         short = self.scratch.keep(made.where("short").select(F.col("doc_id").alias("id")).distinct(), "short")
         n_short = short.count()
-        entries = made.where("not short").select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
+        entries = made.where("not short").select("doc_id", "n", "tokens", "cold", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "n", "pos", "token", prev.alias("prev"))
         if n_short:
             sets = self.whole_sets(short, n_short).select(F.col("id").alias("doc_id"), F.size("s").cast("long").alias("n"), F.col("s").alias("lows"))
-            extra = self.prefixes(sets, hot).select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
+            extra = self.prefixes(sets, hot).select("doc_id", "n", "tokens", "cold", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "n", "pos", "token", prev.alias("prev"))
             extra = self.scratch.keep(extra, "extra")
             entries = entries.union(extra)
             tokens = tokens.union(extra.select("token")).distinct()
         entries = entries.join(tokens, "token", "left_semi")
-        return self.scratch.keep(entries.select("token", F.col("doc_id").alias("id"), "n", F.col("pos").cast("long").alias("pos")), "lists")
+        return self.scratch.keep(entries.select("token", F.col("doc_id").alias("id"), "n", F.col("pos").cast("long").alias("pos"), "prev"), "lists")
 
     # -- candidates ---------------------------------------------------------------------------------------------
 
@@ -183,12 +190,13 @@ class Join:
     def rest(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
         """(a, b): pairs of different components that meet in a list; one of them is outside the list's main component."""
         e = lists.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        e = e.select("token", "id", "n", "pos", "comp", self.block(F.col("n")).alias("blk"))
+        e = e.select("token", "id", "n", "pos", "prev", "comp", self.block(F.col("n")).alias("blk"))
         sizes = e.groupBy("token", "comp").agg(F.count("*").alias("c"))
         main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
         e = self.scratch.keep(e.join(main, "token"), "mixed")
         x = e.where("comp <> main").withColumn("blk", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)))
         pairs = x.alias("x").join(e.alias("y"), ["token", "blk"]).where("x.comp <> y.comp").where(self.reach("x", "y"))
+        pairs = pairs.where("x.prev is null or y.prev is null or not arrays_overlap(x.prev, y.prev)")
         return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     # -- verification -------------------------------------------------------------------------------------------
