@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from helixframe.operators import consensus, genotype, intervals, ontology, statistics, triage
+from helixframe.operators import acmg, consensus, evaluation, genotype, intervals, ontology, statistics, text, triage
+from helixframe.streaming import events
 
-MODULES = (ontology, genotype, intervals, triage, consensus, statistics)
+MODULES = (ontology, genotype, intervals, triage, consensus, statistics, acmg, text, evaluation, events)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "agg05_resnik_rank"
