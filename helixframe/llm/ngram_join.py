@@ -13,8 +13,12 @@ collision inside one document, about n^2 / 2^65, is the only thing it can't see)
 4. Answers: in each block every set is first compared with one pivot only. A set close to its
    pivot takes over the pivot's answers: it is in the pivot's component, and a partner that was
    computed to be far from the pivot is skipped by the triangle inequality on set differences.
-5. Only pairs of different components in one list are left; they are compared in the same way.
-   What a large group of near copies has in common costs one row a set, not a row a pair.
+5. Only sets of different components that meet in a list are left. In lists of rare shingles they
+   are paired. Sets that meet in lists of frequent shingles get a reference set X, and their
+   differences D = Y xor X from it; then the difference of Y and Z is |D_Y| + |D_Z| - 2 |D_Y and D_Z|,
+   so two sets that are not both linked to X must share elements of D, at least a known number.
+   Prefixes of D, rarest first and only of elements that occur twice, give the pairs; near copies
+   with changes of their own share nothing there, however many they are.
 6. Pairs that survive a lower bound from 2,048 parity bits are verified on the whole sets.
 
 Null and empty texts have no shingles and link with nothing. Rows with a null doc_id get a null
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import Scratch, WordHashes, components, narrow, read_table, shingles
 
 WORDS, NUM, DEN = 4, 85, 100
-HOT_DF = 24  #: shingles in more classes than this are ordered last
+HOT_DF = 8  #: shingles in more classes than this are ordered last
 HOT_MOST = 500_000  #: of which at most so many (4 MB); beyond it only the most frequent
 BITS = 2048
 
@@ -96,13 +100,31 @@ class Join:
 
     # -- the order, prefixes, lists -----------------------------------------------------------------------------
 
-    def hot(self, counts: DataFrame) -> np.ndarray:
+    def hot(self, counts: DataFrame, most: int = HOT_MOST) -> np.ndarray:
         limit = HOT_DF
-        while counts.where(F.col("df") > limit).count() > HOT_MOST:
+        while counts.where(F.col("df") > limit).count() > most:
             limit *= 2
         rows = counts.where(F.col("df") > limit).select("token").toPandas()["token"].to_numpy(np.int64)
         return np.sort(rows.view(np.uint64))
 
+    def order(self, reps: DataFrame, counts: DataFrame):
+        """The frequent shingles, as a broadcast: first of those near the front of sets, then of the whole sets
+        that are short of others there; again while that leaves more sets short."""
+        hot = self.hot(counts)
+        seen = 0
+        for turn in range(4):
+            shared = self.spark.sparkContext.broadcast(hot)
+            short = self.scratch.keep(self.prefixes(reps, shared).where("short").select(F.col("doc_id").alias("id")).distinct(), f"short{turn}")
+            n = short.count()
+            if n <= seen or len(hot) >= HOT_MOST:
+                break
+            seen = n
+            whole = self.whole_sets(short, n).select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+            whole = self.scratch.keep(whole.where(F.col("df") > HOT_DF), f"whole{turn}")
+            hot = np.union1d(hot, self.hot(whole, HOT_MOST - len(hot)))
+        self.scratch.drop(*(f"{x}{i}" for x in ("short", "whole") for i in range(4)))
+        return shared
+
     def prefixes(self, reps: DataFrame, hot) -> DataFrame:
         """(doc_id, n, tokens, cold, short): the prefix in the global order, of which the first `cold` are not
         frequent; short where `lows` doesn't reach so far."""
@@ -147,24 +169,20 @@ class Join:
         return some.mapInArrow(run, "id long, s array<long>")
 
     def lists(self, reps: DataFrame, tokens: DataFrame, hot) -> DataFrame:
-        """(token, id, n, pos, prev): the entries of all lists that hold at least two sets.
-
-        Entries of frequent shingles know the last frequent ones before them (`prev`, null if none): two
-        sets that share one of those meet in an earlier list already, and needn't be paired again.
-        """
-        prev = F.when(F.col("pos") > F.col("cold"), F.slice("tokens", F.greatest(F.col("pos") - 3, F.col("cold") + 1), F.least(F.col("pos") - F.col("cold"), F.lit(4))))
+        """(token, id, n, pos, hot): the entries of all lists that hold at least two sets."""
+        is_hot = (F.col("pos") >= F.col("cold")).alias("hot")
         made = self.prefixes(reps, hot)
         short = self.scratch.keep(made.where("short").select(F.col("doc_id").alias("id")).distinct(), "short")
         n_short = short.count()
-        entries = made.where("not short").select("doc_id", "n", "tokens", "cold", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "n", "pos", "token", prev.alias("prev"))
+        entries = made.where("not short").select("doc_id", "n", "cold", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "n", "pos", "token", is_hot)
         if n_short:
             sets = self.whole_sets(short, n_short).select(F.col("id").alias("doc_id"), F.size("s").cast("long").alias("n"), F.col("s").alias("lows"))
-            extra = self.prefixes(sets, hot).select("doc_id", "n", "tokens", "cold", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "n", "pos", "token", prev.alias("prev"))
+            extra = self.prefixes(sets, hot).select("doc_id", "n", "cold", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "n", "pos", "token", is_hot)
             extra = self.scratch.keep(extra, "extra")
             entries = entries.union(extra)
             tokens = tokens.union(extra.select("token")).distinct()
         entries = entries.join(tokens, "token", "left_semi")
-        return self.scratch.keep(entries.select("token", F.col("doc_id").alias("id"), "n", F.col("pos").cast("long").alias("pos"), "prev"), "lists")
+        return self.scratch.keep(entries.select("token", F.col("doc_id").alias("id"), "n", F.col("pos").cast("long").alias("pos"), "hot"), "lists")
 
     # -- candidates ---------------------------------------------------------------------------------------------
 
@@ -187,18 +205,57 @@ class Join:
         pivots = e.groupBy("token", "blk").agg(F.min(F.struct("id", "n", "pos")).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", "blk", "p")
         return e.alias("e").join(pivots.alias("v"), ["token", "blk"]).where("e.id <> v.p.id").where(self.reach("e", "v.p")).select(F.col("v.p.id").alias("a"), F.col("e.id").alias("b")).distinct()
 
-    def rest(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
-        """(a, b): pairs of different components that meet in a list; one of them is outside the list's main component."""
+    def mixed(self, lists: DataFrame, comps: DataFrame) -> DataFrame:
+        """(token, id, n, pos, hot, comp, blk, main): the lists with sets of several components; `main` has most of them."""
         e = lists.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        e = e.select("token", "id", "n", "pos", "prev", "comp", self.block(F.col("n")).alias("blk"))
+        e = e.select("token", "id", "n", "pos", "hot", "comp", self.block(F.col("n")).alias("blk"))
         sizes = e.groupBy("token", "comp").agg(F.count("*").alias("c"))
         main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
-        e = self.scratch.keep(e.join(main, "token"), "mixed")
+        return self.scratch.keep(e.join(main, "token"), "mixed")
+
+    def rest(self, mixed: DataFrame) -> DataFrame:
+        """(a, b): pairs of different components that meet in a list of a rare shingle."""
+        e = mixed.where("not hot")
         x = e.where("comp <> main").withColumn("blk", F.explode(F.array(F.col("blk") - 1, F.col("blk"), F.col("blk") + 1)))
         pairs = x.alias("x").join(e.alias("y"), ["token", "blk"]).where("x.comp <> y.comp").where(self.reach("x", "y"))
-        pairs = pairs.where("x.prev is null or y.prev is null or not arrays_overlap(x.prev, y.prev)")
         return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
+    def references(self, hot: DataFrame) -> DataFrame:
+        """(id, ref): sets that meet in lists, however indirectly, share a reference: the smallest id of them all."""
+        low = self.scratch.keep(hot.groupBy("token").agg(F.min("id").alias("low")), "low")
+        edges = hot.join(low, "token").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+        return components(self.scratch, edges, "ref-").select(F.col("node").alias("id"), F.col("component").alias("ref"))
+
+    def derived(self, mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of sets with their references, and pairs of sets of one reference that may link, from differences alone."""
+        num, den, scratch = self.num, self.den, self.scratch
+        hot = mixed.where("hot").select("token", "id")
+        refs = scratch.keep(self.references(hot), "refs")
+        sets = scratch.keep(self.whole_sets(refs.select("id"), refs.count()), "hotsets")
+        x = sets.join(refs.where("id = ref").select("id"), "id", "left_semi").select(F.col("id").alias("ref"), F.col("s").alias("x"))
+        both = sets.join(refs, "id").join(x, "ref")
+        d = both.select("ref", "id", F.size("s").cast("long").alias("n"), F.size("x").cast("long").alias("nx"), F.concat(F.array_except("s", "x"), F.array_except("x", "s")).alias("d"))
+        d = d.withColumn("linked", (den + num) * F.size("d") <= (den - num) * (F.col("n") + F.col("nx")))
+        d = scratch.keep(d, "differences")
+        links = d.where("linked and id <> ref").select(F.col("ref").alias("a"), F.col("id").alias("b"), F.size("d").cast("long").alias("apart"))
+
+        each = d.select("ref", "id", F.explode("d").alias("token"))
+        shared = each.groupBy("ref", "token").agg(F.count("*").alias("df")).where("df > 1")
+        core = each.join(shared, ["ref", "token"]).groupBy("ref", "id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("core"))
+        c = core.join(d.select("id", "n", "nx", "linked", F.size("d").alias("nd")), "id")
+        beta = (den - num) / (den + num)
+        # What D has to share with that of an unlinked set, and (of an unlinked set) with that of a linked one.
+        h = F.greatest(F.lit(1), F.floor((F.col("nd") + beta * (F.col("nx") - F.col("n"))) / 2 - 1e-9) + 1)
+        g = F.greatest(F.lit(1), F.ceil(F.col("nd") - beta * F.col("n") * (1 + den / num) - 1e-6))
+        prefix = lambda least: F.slice("core.token", F.lit(1), F.greatest(F.lit(0), F.size("core") - least + 1).cast("int"))
+        c = scratch.keep(c.select("ref", "id", "n", "linked", prefix(h).alias("h"), F.when(~F.col("linked"), prefix(g)).alias("g")), "cores")
+        side = lambda rows, tokens, i, n: rows.select("ref", F.col("id").alias(i), F.col("n").alias(n), F.explode(tokens).alias("token"))
+        fits = num * F.greatest("p", "q") <= den * F.least("p", "q")
+        near = side(c.where("linked"), "h", "a", "p").join(side(c.where("not linked"), "g", "b", "q"), ["ref", "token"]).where(fits)
+        apart = side(c.where("not linked"), "h", "a", "p").join(side(c.where("not linked"), "h", "b", "q"), ["ref", "token"]).where("a < b").where(fits)
+        pairs = near.select("a", "b").union(apart.select("a", "b"))
+        return links, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     # -- verification -------------------------------------------------------------------------------------------
 
     def far(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -237,19 +294,22 @@ class Join:
 
     def run(self) -> DataFrame:
         """(doc_id, n, sig, component_id) for every row with a doc_id."""
-        scratch, spark = self.scratch, self.spark
+        scratch = self.scratch
         sets = scratch.keep(self.sets(), "sets")
         classes, reps = self.classes(sets)
         counts = reps.select(F.explode("lows").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         counts = scratch.keep(counts, "counts")
-        hot = spark.sparkContext.broadcast(self.hot(counts))
+        hot = self.order(reps, counts)
         lists = self.lists(reps, counts.select("token"), hot)
 
         answers = scratch.keep(self.far(self.star(lists), reps), "answers")
         links = self.verified(answers.where(F.col("apart") <= self.allowed()), "1")
         comps = components(scratch, links, "c1-")
 
-        pairs = self.rest(lists, comps)
+        mixed = self.mixed(lists, comps)
+        by_reference, pairs = self.derived(mixed)
+        by_reference = scratch.keep(by_reference, "near")
+        pairs = self.rest(mixed).union(pairs).distinct()
         pivot = links.groupBy(F.col("b").alias("near")).agg(F.min(F.struct("apart", "a")).alias("p")).select("near", F.col("p.a").alias("pivot"), F.col("p.apart").alias("gap"))
         known = answers.select(F.col("a").alias("pivot"), F.col("b").alias("other"), F.col("apart").alias("known"))
         pairs = self.far(pairs, reps)
@@ -258,11 +318,11 @@ class Join:
             pairs = pairs.withColumn("apart", F.greatest("apart", F.coalesce(F.col("known") - F.col("gap"), F.lit(0)))).drop("pivot", "gap", "known")
         pairs = scratch.keep(pairs.where(F.col("apart") <= self.allowed()).select("a", "b", "m", "n", "apart").distinct(), "pairs2")
         more = self.verified(pairs, "2")
-        comps = components(scratch, links.union(more).select("a", "b"), "c2-")
+        comps = components(scratch, links.union(by_reference).union(more).select("a", "b"), "c2-")
 
         slim = sets.select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         out = scratch.keep(slim.select("doc_id", F.col("n").alias("n_shingles"), "sig", F.coalesce("component", "rep", "doc_id").alias("component_id")), "out")
-        scratch.drop("sets", "classes", "copies", "counts", "short", "extra", "lists", "mixed", "answers", "pairs2", "links1", "links2")
+        scratch.drop("sets", "classes", "copies", "counts", "short", "extra", "lists", "mixed", "low", "refs", "hotsets", "differences", "cores", "near", "answers", "pairs2", "links1", "links2")
         hot.unpersist()
         # Rows that share a doc_id are one node, whatever their texts.
         same = out.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.max("component_id").alias("d")).where("c <> d")
