@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import BROADCAST_ROWS, read_table
+from helixframe.llm.common import BROADCAST_ROWS, fresh, read_table
 
 SEED = "mix-1"
 MOST_RATE = 20.0  #: a rare source is repeated at most so often in the mean
@@ -64,17 +64,18 @@ def poisson_count(u: F.Column, rate: F.Column, most: int) -> F.Column:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, source: str = "source", unit: str = "docs", most: float = MOST_RATE) -> DataFrame:
     """`docs` repeated by their counts, with `copy` (from 1) and `shuffle_key`, dealt globally by that key."""
-    rate = rates(docs, weights, source, unit, most)
+    name, at, salt, n = fresh(docs, "_source"), fresh(docs, "_rate"), fresh(docs, "_salt"), fresh(docs, "_n")
+    rate = rates(docs, weights, source, unit, most).toDF(name, at)
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_source", F.coalesce(source, F.lit("")))
+    keyed = docs.withColumn(name, F.coalesce(source, F.lit("")))
     if rate.count() <= BROADCAST_ROWS:
-        keyed = keyed.join(F.broadcast(rate), "_source")
+        keyed = keyed.join(F.broadcast(rate), name)
     else:  # more sources than a task should hold: the hot ones are salted, both sides alike
         salts = 64
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        keyed = keyed.join(rate.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), ["_source", "_salt"]).drop("_salt")
-    counted = keyed.withColumn("_n", poisson_count(unit_hash(F.lit(seed), ids), F.col("rate"), most_copies(most))).where("_n > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "_source", "rate")
+        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        keyed = keyed.join(rate.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), [name, salt]).drop(salt)
+    counted = keyed.withColumn(n, poisson_count(unit_hash(F.lit(seed), ids), F.col(at), most_copies(most))).where(F.col(n) > 0)
+    copies = counted.drop("copy", "shuffle_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, name, at)
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ids, F.col("copy").cast("string"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -7,7 +7,8 @@ a kind; states whose next-symbol and ending frequencies agree under Hoeffding's
 automaton is learned from ordinary long words. Every run of 12 or more credential characters with
 a digit that overlaps no base span is then scored by the mean log-likelihood ratio, per symbol,
 of the best credential automaton against the ordinary one; from LEAST_BITS on it is a span of
-kind `learned`, provided that the automaton itself gives it at least LEAST_FIT a symbol.
+kind `learned`, provided that the automaton itself gives it at least LEAST_FIT a symbol. Formats that are common
+among unlabelled long words count as ordinary, whatever they are.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive. Learning
 uses at most SAMPLE distinct class sequences a kind (those with the smallest hash), gathered from
