@@ -57,4 +57,4 @@ def betainc(a: float, b: float, x: float) -> float:
         f *= c * d
         if i and abs(1 - c * d) < 1e-14:
             break
-    return front * f
+    return front * (f - 1)
