@@ -16,7 +16,7 @@ def consensus(hits: DataFrame) -> DataFrame:
     best = hits.groupBy("key", "source").agg(F.min("rank").alias("rank"))
     by = best.groupBy("key").agg(F.count("*").alias("n_sources"), F.max("rank").alias("worst"), F.min("rank").alias("best")).where("n_sources >= 2")
     order = W.orderBy(F.desc("n_sources"), "worst", "best", "key")
-    return by.withColumn("position", F.row_number().over(order))
+    return by.withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = P.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("v"))
     parts = [p.select(F.lit("price").alias("source"), F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("v")), p.select(F.lit("size"), "p_partkey", F.col("p_size").cast("double")), n.select(F.lit("lines"), "key", F.col("v").cast("double"))]
     best = [x.toDF("source", "key", "v").orderBy(F.desc("v"), "key").limit(LIST) for x in parts]
-    return best[0].union(best[1]).union(best[2]).withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("v"), "key"))).drop("v")
+    return best[0].union(best[1]).union(best[2]).withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("v"), "key")).cast("long")).drop("v")
 
 
 def query_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def ranked(scored: DataFrame, top: int = TOP) -> DataFrame:
     by_case = W.partitionBy("case_id")
     order = by_case.orderBy(F.desc("score"), F.desc("exact"), F.desc("specificity"), F.desc("disease"))
     ties = F.count("*").over(W.partitionBy("case_id", "score"))
-    return scored.withColumns({"rank": F.row_number().over(order), "tied": ties}).where(F.col("rank") <= top)
+    return scored.withColumns({"rank": F.row_number().over(order).cast("long"), "tied": ties}).where(F.col("rank") <= top)
 
 
 def _parts(spark: SparkSession, sf_dir: str):
@@ -115,7 +115,7 @@ def query_gene_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = best.join(genes, "disease").groupBy("case_id", "gene").agg(
         F.max("score").alias("score"), (F.sum(F.round(F.col("score") * 1e6).cast("long")) / F.lit(1e6)).alias("support"), F.min("rank").alias("best_rank"), F.count("*").alias("diseases")
     )
-    n = F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("score"), F.asc("best_rank"), "gene"))
+    n = F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("score"), F.asc("best_rank"), "gene")).cast("long")
     return by.withColumn("rank", n).where(F.col("rank") <= TOP)
 
 

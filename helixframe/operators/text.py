@@ -31,7 +31,7 @@ def query_label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = asked.withColumn("k", F.substring("q", 1, 3)).join(words, "k").where(F.contains("w", "q")).select("q", "label").distinct()
     rank = F.when(F.col("label") == F.col("q"), 0).when(F.startswith("label", "q"), 1).when(F.array_contains(F.split("label", " "), F.col("q")), 2).otherwise(3)
     order = W.partitionBy("q").orderBy("rank", F.length("label") - F.length("q"), "label")
-    return hits.withColumn("rank", rank).withColumn("n", F.row_number().over(order)).where("n <= 5")
+    return hits.withColumn("rank", rank).withColumn("n", F.row_number().over(order).cast("long")).where("n <= 5")
 
 
 def bigrams(s: Column) -> Column:
@@ -134,7 +134,7 @@ def query_partial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM")).otherwise("unknown")
     d = F.coalesce(F.when(F.length(s) == 10, F.try_to_date(s, "yyyy-MM-dd")), F.when(F.length(s) == 7, F.try_to_date(F.concat(s, F.lit("-01")), "yyyy-MM-dd")))
     stale = F.datediff(F.lit("2000-12-31").cast("date"), d) > 730
-    return o.select(F.length(s).alias("precision"), d.alias("d"), stale.alias("stale")).groupBy("precision", "stale").agg(F.count("*").alias("n"), F.date_format(F.min("d"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("d"), "yyyy-MM-dd").alias("last"))
+    return o.select(F.length(s).cast("long").alias("precision"), d.alias("d"), stale.alias("stale")).groupBy("precision", "stale").agg(F.count("*").alias("n"), F.date_format(F.min("d"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("d"), "yyyy-MM-dd").alias("last"))
 
 
 def query_ages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def query_af_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = li.groupBy("l_partkey", (F.month("l_shipdate") % 5).alias("grp")).agg(F.count_if(F.col("l_returnflag") == "A").alias("ac"), F.count("*").alias("an"))
     g = g.where("an > 2").withColumn("af", F.col("ac").cast("double") / F.col("an"))
     best = g.groupBy("l_partkey").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("grp").cast("string"), "af")))).alias("m"), F.max(F.struct("af", F.col("grp").cast("string").alias("grp"))).alias("b"))
-    return best.select("l_partkey", F.round(af_summary(F.col("m")), 6).alias("filter_af"), F.col("b.grp").alias("grpmax"), F.size("m").alias("n_groups"))
+    return best.select("l_partkey", F.round(af_summary(F.col("m")), 6).alias("filter_af"), F.col("b.grp").alias("grpmax"), F.size("m").cast("long").alias("n_groups"))
 
 
 def compound_pairs(v: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first thirty candidates of each class: by score (unscored last), position and gene."""
     order = W.partitionBy("cls").orderBy(F.col("score").desc_nulls_last(), "pos", "gene")
-    return triaged(spark, sf_dir).withColumn("n", F.row_number().over(order)).where("n <= 30").select("cls", "n", "gene", "pos", "score")
+    return triaged(spark, sf_dir).withColumn("n", F.row_number().over(order).cast("long")).where("n <= 30").select("cls", "n", "gene", "pos", "score")
 
 
 def query_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:

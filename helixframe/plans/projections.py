@@ -91,7 +91,7 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(grp, time, event): days between order and shipment; event if returned."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     days = F.abs(F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate")))
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("grp"), days.alias("time"), (F.col("l_returnflag") == "R").cast("int").alias("event"))
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("grp"), days.cast("long").alias("time"), (F.col("l_returnflag") == "R").cast("int").alias("event"))
 
 
 #: The same views in DuckDB SQL, to be put after WITH [RECURSIVE].
