@@ -248,13 +248,25 @@ class Join:
         h = F.greatest(F.lit(1), F.floor((F.col("nd") + beta * (F.col("nx") - F.col("n"))) / 2 - 1e-9) + 1)
         g = F.greatest(F.lit(1), F.ceil(F.col("nd") - beta * F.col("n") * (1 + den / num) - 1e-6))
         prefix = lambda least: F.slice("core.token", F.lit(1), F.greatest(F.lit(0), F.size("core") - least + 1).cast("int"))
-        c = scratch.keep(c.select("ref", "id", "n", "linked", prefix(h).alias("h"), F.when(~F.col("linked"), prefix(g)).alias("g")), "cores")
-        side = lambda rows, tokens, i, n: rows.select("ref", F.col("id").alias(i), F.col("n").alias(n), F.explode(tokens).alias("token"))
-        fits = num * F.greatest("p", "q") <= den * F.least("p", "q")
-        near = side(c.where("linked"), "h", "a", "p").join(side(c.where("not linked"), "g", "b", "q"), ["ref", "token"]).where(fits)
-        apart = side(c.where("not linked"), "h", "a", "p").join(side(c.where("not linked"), "h", "b", "q"), ["ref", "token"]).where("a < b").where(fits)
-        pairs = near.select("a", "b").union(apart.select("a", "b"))
-        return links, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        c = c.select("ref", "id", "n", "nd", F.size("core").alias("size"), "linked", prefix(h).alias("h"), F.when(~F.col("linked"), prefix(g)).alias("g"))
+        c = scratch.keep(c, "cores")
+
+        def side(rows: DataFrame, tokens: str) -> DataFrame:
+            """Entries with how many elements are left from them on, and the last ones before them."""
+            e = rows.select("ref", "id", "n", "nd", "size", tokens, F.posexplode(tokens).alias("pos", "token"))
+            return e.select("ref", "token", "id", "n", "nd", (F.col("size") - F.col("pos")).alias("left"), F.slice(tokens, F.greatest(F.col("pos") - 3, F.lit(1)), F.least(F.col("pos"), F.lit(4))).alias("prev"))
+
+        def meet(x: DataFrame, y: DataFrame, different: str = "x.id <> y.id") -> DataFrame:
+            """Pairs at the first element they share, as far as that can be told, whose rest is long enough for what they need."""
+            pairs = x.alias("x").join(y.alias("y"), ["ref", "token"]).where(different).where(num * F.greatest("x.n", "y.n") <= den * F.least("x.n", "y.n"))
+            pairs = pairs.where(2 * F.least("x.left", "y.left") >= F.col("x.nd") + F.col("y.nd") - beta * (F.col("x.n") + F.col("y.n")) - 1e-6)
+            return pairs.where("not arrays_overlap(x.prev, y.prev)").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+        linked, free = c.where("linked"), c.where("not linked")
+        near = meet(side(linked, "h"), side(free, "g"))
+        order = side(free, "h")
+        apart = meet(order, order, "x.id < y.id")
+        return links, near.union(apart).distinct()
 
     # -- verification -------------------------------------------------------------------------------------------
 
