@@ -62,7 +62,7 @@ def ranked(scored: DataFrame, top: int = TOP) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str):
     closed = closure(P.ontology_edges(spark, sf_dir))
-    carried = disease_closure(P.annotations(spark, sf_dir), closed)
+    carried = keep(disease_closure(P.annotations(spark, sf_dir), closed), "carried")  # read by the counts and by the matches
     return closed, carried, information_content(carried), P.case_terms(spark, sf_dir)
 
 
