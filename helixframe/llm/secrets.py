@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import read_table
@@ -230,8 +231,14 @@ def gather(docs: DataFrame, most: int = SAMPLE) -> dict[int, list[str]]:
         yield pd.DataFrame({"kind": pd.Series(kind, dtype="int32"), "o": pd.Series(order, dtype="int64"), "s": pd.Series(value, dtype=object)})
 
     found = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(run, "kind int, o long, s string").distinct()
-    best = found.groupBy("kind").agg(F.expr(f"slice(sort_array(collect_list(struct(o, s))), 1, {most}).s").alias("s"))
-    return {r.kind: list(r.s) for r in best.collect()}
+    # In two steps, so that no task gets what all partitions of a large corpus have found.
+    first = W.partitionBy("kind", F.pmod("o", F.lit(256))).orderBy("o", "s")
+    last = W.partitionBy("kind").orderBy("o", "s")
+    best = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).withColumn("n", F.row_number().over(last)).where(F.col("n") <= most)
+    out: dict[int, list[str]] = {}
+    for r in best.orderBy("kind", "n").collect():
+        out.setdefault(r.kind, []).append(r.s)
+    return out
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
