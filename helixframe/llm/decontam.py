@@ -101,7 +101,7 @@ class Benchmark:
                 pairs[int(self.item[j])].append((t, int(self.at[j])))
         out = []
         for i, starts in pairs.items():
-            if len({p for _, p in starts}) + self.seed - 1 < threshold * self.sizes[i] and len({p + d for _, p in starts for d in range(self.seed)}) < threshold * self.sizes[i]:
+            if len({p + d for _, p in starts for d in range(self.seed)}) < threshold * self.sizes[i]:
                 continue  # even all equal runs together cover too little
             tiles = tile(starts, self.seed)
             coverage = sum(n for _, _, n in tiles) / self.sizes[i]
