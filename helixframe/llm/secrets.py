@@ -28,10 +28,9 @@ from collections.abc import Iterator
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import read_table
+from helixframe.llm.common import Scratch, read_table
 
 KINDS = ("assign", "access", "hex", "learned")
 SAMPLE = 1500  #: class sequences a kind that learning may use
@@ -231,13 +230,24 @@ def gather(docs: DataFrame, most: int = SAMPLE) -> dict[int, list[str]]:
         yield pd.DataFrame({"kind": pd.Series(kind, dtype="int32"), "o": pd.Series(order, dtype="int64"), "s": pd.Series(value, dtype=object)})
 
     found = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(run, "kind int, o long, s string").distinct()
-    # In two steps, so that no task gets what all partitions of a large corpus have found.
-    first = W.partitionBy("kind", F.pmod("o", F.lit(256))).orderBy("o", "s")
-    last = W.partitionBy("kind").orderBy("o", "s")
-    best = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).withColumn("n", F.row_number().over(last)).where(F.col("n") <= most)
+    scratch = Scratch(docs.sparkSession, "secrets")
+    found = scratch.keep(found, "found").withColumn("cell", F.shiftright("o", 51))
+    # Hashes spread evenly over 4096 cells; those up to the cell that completes the sample hold all of it.
+    last: dict[int, int] = {}
+    seen = [0, 0, 0, 0]
+    for r in found.groupBy("kind", "cell").agg(F.count("*").alias("c")).orderBy("kind", "cell").collect():
+        if seen[r.kind] < most:
+            last[r.kind] = r.cell
+        seen[r.kind] += r.c
+    enough = F.lit(False)
+    for kind, cell in last.items():
+        enough |= (F.col("kind") == kind) & (F.col("cell") <= cell)
     out: dict[int, list[str]] = {}
-    for r in best.orderBy("kind", "n").collect():
-        out.setdefault(r.kind, []).append(r.s)
+    for r in found.where(enough).orderBy("kind", "o", "s").collect():
+        chosen = out.setdefault(r.kind, [])
+        if len(chosen) < most:
+            chosen.append(r.s)
+    scratch.drop("found")
     return out
 
 
