@@ -4,7 +4,9 @@ Each source has a target weight; its repetition rate is the target share of the
 share it has now (measured in documents or characters). A document's count is the inverse of the
 Poisson distribution with that mean at a number in [0, 1) made from the md5 of its id, so equal
 seeds give equal mixes on any cluster; it is repeated by its count, and all copies are dealt
-over the partitions by the md5 of (seed, id, copy) and sorted by it: a global shuffle.
+over the partitions by the md5 of (seed, id, copy) and sorted by it: a global shuffle. Rates have
+no upper limit: one above MOST_RATE is split evenly into draws of that mean or less, each with an
+md5 of its own, and the count is their sum, which is Poisson with the whole rate.
 
 Null sources are one source of their own (named by ''), null texts have no characters, null ids
 count as ''. Rows that share a doc_id get the same count. Sources that are absent from `weights`
@@ -23,11 +25,11 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import BROADCAST_ROWS, fresh, read_table
 
 SEED = "mix-1"
-MOST_RATE = 20.0  #: a rare source is repeated at most so often in the mean
+MOST_RATE = 20.0  #: the largest mean of one Poisson draw; a larger rate takes several
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", unit: str = "docs", most: float = MOST_RATE) -> DataFrame:
-    """(_source, rate): target share over present share, at most `most`."""
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", unit: str = "docs") -> DataFrame:
+    """(_source, rate): target share over present share."""
     amount = F.count("*").cast("double") if unit == "docs" else F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double")
     by = docs.groupBy(F.coalesce(source, F.lit("")).alias("_source")).agg(amount.alias("_amount"))
     if weights is None:
@@ -37,7 +39,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
         by = by.withColumn("_w", F.coalesce(F.create_map(*pairs)[F.col("_source")], F.lit(0.0)) if pairs else F.lit(0.0))
     total = by.agg(F.sum("_amount").alias("_all"), F.sum("_w").alias("_weights"))
     rate = F.when((F.col("_amount") > 0) & (F.col("_weights") > 0), F.col("_w") * F.col("_all") / (F.col("_weights") * F.col("_amount"))).otherwise(0.0)
-    return by.join(F.broadcast(total)).select("_source", F.least(F.round(rate, 9), F.lit(most)).alias("rate"))
+    return by.join(F.broadcast(total)).select("_source", F.round(rate, 9).alias("rate"))
 
 
 def most_copies(most: float = MOST_RATE) -> int:
@@ -62,10 +64,19 @@ def poisson_count(u: F.Column, rate: F.Column, most: int) -> F.Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, source: str = "source", unit: str = "docs", most: float = MOST_RATE) -> DataFrame:
+def copies_of(seed: str, ids: F.Column, rate: F.Column, most: float = MOST_RATE) -> F.Column:
+    """Poisson number of mean `rate`: one draw up to `most`, else the sum of equal draws of `most` or less."""
+    last = most_copies(most)
+    parts = F.ceil(rate / F.lit(most)).cast("int")
+    draw = lambda j: poisson_count(unit_hash(F.lit(seed), F.lit("draw"), j.cast("string"), ids), rate / parts, last)
+    several = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + draw(j))
+    return F.when(rate <= most, poisson_count(unit_hash(F.lit(seed), ids), rate, last)).otherwise(several)
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, source: str = "source", unit: str = "docs") -> DataFrame:
     """`docs` repeated by their counts, with `copy` (from 1) and `shuffle_key`, dealt globally by that key."""
     name, at, salt, n = fresh(docs, "_source"), fresh(docs, "_rate"), fresh(docs, "_salt"), fresh(docs, "_n")
-    rate = rates(docs, weights, source, unit, most).toDF(name, at)
+    rate = rates(docs, weights, source, unit).toDF(name, at)
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keyed = docs.withColumn(name, F.coalesce(source, F.lit("")))
     if rate.count() <= BROADCAST_ROWS:
@@ -74,7 +85,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SE
         salts = 64
         keyed = keyed.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
         keyed = keyed.join(rate.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), [name, salt]).drop(salt)
-    counted = keyed.withColumn(n, poisson_count(unit_hash(F.lit(seed), ids), F.col(at), most_copies(most))).where(F.col(n) > 0)
+    counted = keyed.withColumn(n, copies_of(seed, ids, F.col(at))).where(F.col(n) > 0)
     copies = counted.drop("copy", "shuffle_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, name, at)
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ids, F.col("copy").cast("string"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -32,6 +32,22 @@ def test_shares_come_to_the_weights(spark):
     assert M.mix(docs.limit(0)).count() == 0
 
 
+def test_rare_sources_come_to_the_weights_too(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 200 == 0, "b").otherwise("a").alias("source"), F.lit("t").alias("text"))
+    for weights in (None, {"a": 1, "b": 3}):
+        n = {r.source: r.n for r in M.mix(docs, weights).groupBy("source").agg(F.count("*").alias("n")).collect()}
+        assert n["b"] / (n["a"] + n["b"]) == pytest.approx(0.5 if weights is None else 0.75, abs=0.02)
+    one = docs.where("doc_id < 4000").withColumn("source", F.when(F.col("doc_id") == 7, "b").otherwise("a"))  # exp(-2000) is 0
+    copies = [r.copy for r in M.mix(one).where("source = 'b'").collect()]
+    assert len(copies) == pytest.approx(2000, abs=225) and sorted(copies) == list(range(1, len(copies) + 1))
+
+
+@pytest.mark.parametrize("rate", [20.0, 50.0])
+def test_counts_have_the_mean_and_variance_of_a_poisson_number(spark, rate):
+    m, v = spark.range(20000).select(M.copies_of("s", F.col("id").cast("string"), F.lit(rate)).alias("n")).agg(F.avg("n"), F.variance("n")).first()
+    assert m == pytest.approx(rate, rel=0.01) and v == pytest.approx(rate, rel=0.05)
+
+
 def test_same_seed_same_mix_and_clashing_columns(spark):
     docs = spark.createDataFrame([(i, "s", "t", 1, "r") for i in range(50)] + [(None, None, None, 2, None)], "doc_id long, source string, text string, copy int, rate string")
     a, b = ([tuple(r) for r in M.mix(docs).orderBy("shuffle_key").collect()] for _ in range(2))
