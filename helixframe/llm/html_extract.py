@@ -9,8 +9,11 @@ its child sequences to the base m, and the composite is GAMMA of the first and 1
 second. Branches of at least LEAST_PAGES pages whose composite importance is under LOW are removed
 from every page of the host, as are branches whose tags, roles or class names say what they are
 (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, comments). Inside an
-`article` or `main` only the latter are, so that passages which many pages quote stay in the text.
-If a page has an article (or else a main) part, its text is that part alone.
+`article` or `main` a branch goes only if its content and its presentation importance are both
+under LOW, so that passages which many pages quote stay where their node holds other texts too; an
+article that would lose all its text keeps it unless the rest of the page has more. If the article
+parts (or else the main parts) hold half of the text that is left, the page's text is those alone.
+Numbers in class and id values don't tell nodes apart.
 
 A null html counts as empty and gives an empty text; a null url or one without a host counts as
 host ''. Pages with equal html count once in the tree. Unclosed and stray tags are tolerated.
@@ -118,7 +121,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, str]]:
             noise = (1 if tag in _BLOCK else 2) if named else 0
         elif noise == 2 and tag in _BLOCK:
             noise = 1
-        label = "." + ".".join(sorted(names - {""})) if names - {""} else ""
+        label = re.sub(r"\d+", "0", "." + ".".join(sorted(names - {""}))) if names - {""} else ""
         stack.append((tag, f"{path}>{tag}{label}", noise, part))
     if at < len(page) and stack[-1][2] != 2:
         buffer.append(page[at:])
@@ -126,11 +129,28 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, str]]:
     return out
 
 
+def node_of(path: str, part: int) -> str:
+    """The name of a style node: inside an article or main it has a plus in front."""
+    return f"+{path}" if part else path
+
+
+def _size(found: list[tuple]) -> int:
+    return sum(len(b[1]) for b in found)
+
+
 def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
-    """Blocks of the article, joined by line feeds; `low`: paths of low importance on the page's host."""
+    """Blocks of the article, joined by line feeds; `low`: nodes of low importance on the page's host."""
     found = [b for b in blocks(page) if not b[2]]
-    best = max((b[3] for b in found), default=0)
-    return "\n".join(text for path, text, _, part, _ in found if part == best and (best or path not in low))
+    left = [b for b in found if node_of(b[0], b[3]) not in low]
+    if not any(b[3] for b in left):
+        inner = [b for b in found if b[3]]
+        left = inner if _size(inner) >= _size(left) else left
+    for part in (2, 1):
+        inner = [b for b in left if b[3] >= part]
+        if inner and 2 * _size(inner) >= _size(left):
+            left = inner
+            break
+    return "\n".join(b[1] for b in left)
 
 
 # --- the style tree ----------------------------------------------------------------------------------------------
@@ -145,7 +165,7 @@ def host_of(url: str = "url"):
 
 
 def tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every style node outside articles that isn't noise by name."""
+    """(host, path, pages, content, style): both importances of every style node that isn't noise by name."""
 
     def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -155,25 +175,25 @@ def tree(pages: DataFrame) -> DataFrame:
                 children: dict[str, list[str]] = {}
                 for path, _, _, _, parent in found:
                     children.setdefault(parent, []).append(path)
+                styles = {parent: _hash("|".join(dict.fromkeys(paths))) for parent, paths in children.items()}
+                nodes: dict[str, tuple[int, set[int]]] = {}
                 for path, text, noise, part, parent in found:
-                    if not noise and not part:
-                        rows.append((host, path, number, _hash(text), _hash("|".join(dict.fromkeys(children[parent])))))
+                    if not noise:
+                        nodes.setdefault(node_of(path, part), (styles[parent], set()))[1].add(_hash(text))
+                rows += [(host, node, number, style, sorted(contents)) for node, (style, contents) in nodes.items()]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pd.DataFrame({"host": pd.Series(cols[0], dtype=object), "path": pd.Series(cols[1], dtype=object)} | {k: pd.Series(v, dtype="int64") for k, v in zip(("page", "content", "style"), cols[2:], strict=True)})
-
-    seen = pages.mapInPandas(leaves, "host string, path string, page long, content long, style long").distinct()
-    node = ["host", "path"]
-    contents = seen.groupBy(*node, "content").agg(F.countDistinct("page").alias("d"))
-    styles = seen.groupBy(*node, "style").agg(F.countDistinct("page").alias("d"))
-    size = seen.groupBy(*node).agg(F.countDistinct("page").alias("pages"))
-    single, size = size.where("pages < 2"), size.where("pages >= 2")
-    m = F.log(F.col("pages").cast("double"))
-    content = contents.join(size, node).groupBy(*node).agg(F.avg(F.log(F.col("d").cast("double")) / m).alias("h"))
-    share = F.col("d") / F.col("pages")
-    style = styles.join(size, node).groupBy(*node).agg((-F.sum(share * F.log(share)) / F.max(m)).alias("s"))
-    importance = GAMMA * (1 - F.col("h")) + (1 - GAMMA) * F.col("s")
-    shared = size.join(content, node).join(style, node).select(*node, "pages", importance.alias("importance"))
-    return shared.union(single.select(*node, "pages", F.lit(1.0)))
+            kinds = {"host": object, "path": object, "page": "int64", "style": "int64", "contents": object}
+            yield pd.DataFrame({k: pd.Series(v, dtype=kind) for (k, kind), v in zip(kinds.items(), cols, strict=True)})
+
+    # A page has one style for a node, so the counts of a node's styles add up to its pages.
+    seen = pages.mapInPandas(leaves, "host string, path string, page long, style long, contents array<long>").distinct()
+    node, d = ["host", "path"], F.col("d").cast("double")
+    styles = seen.groupBy(*node, "style").agg(F.count("*").alias("d")).groupBy(*node).agg(F.sum("d").alias("pages"), F.sum(d * F.log(d)).alias("x"))
+    contents = seen.select(*node, F.explode("contents").alias("content")).groupBy(*node, "content").agg(F.count("*").alias("d"))
+    contents = contents.groupBy(*node).agg(F.avg(F.log(d)).alias("h"))
+    m = F.log(F.greatest("pages", F.lit(2)).cast("double"))
+    shared = lambda x: F.when(F.col("pages") < 2, 1.0).otherwise(x)
+    return styles.join(contents, node).select(*node, "pages", shared(1 - F.col("h") / m).alias("content"), shared(1 - F.col("x") / F.col("pages") / m).alias("style"))
 
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -182,7 +202,9 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     keyed = pages.withColumns({host: host_of(), page: F.coalesce(F.col("html").cast("string"), F.lit(""))})
     scratch = Scratch(pages.sparkSession, "html")
     nodes = tree(keyed.select(F.col(host).alias("host"), F.col(page).alias("html")))
-    low = nodes.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
+    content, style = F.col("content"), F.col("style")
+    unimportant = F.when(F.col("path").startswith("+"), F.greatest(content, style)).otherwise(GAMMA * content + (1 - GAMMA) * style) < LOW
+    low = nodes.where((F.col("pages") >= LEAST_PAGES) & unimportant).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
     low = scratch.keep(low, "low").select(F.col("host").alias(host), F.col("low").alias(gone))
 
     @F.pandas_udf("string")

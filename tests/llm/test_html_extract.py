@@ -33,6 +33,17 @@ def test_low_importance_branches_go_and_quoted_passages_stay(spark):
     assert "_host" in out.columns and H.extract(pages.limit(0)).count() == 0
 
 
+def test_boilerplate_inside_articles_goes_and_a_card_is_no_article(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"http://a.example/{i}", f"<article id=post-{i}><p>Text {i} of its own</p><p>Quoted by all</p><div class=strip><p>Same on every page</p></div></article>") for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<div class=body><p>Real text {i} {words}</p></div><article class=card><p>Card {i}</p></article>") for i in range(6)]
+    rows += [(200 + i, f"http://c.example/{i}", f"<!-- {i} --><main><p>Mirrored</p></main>") for i in range(6)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Text 3 of its own\nQuoted by all"
+    assert got[104] == f"Real text 4 {words}\nCard 4"
+    assert got[205] == "Mirrored"
+
+
 def test_query_on_given_pages(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in H.op4_html_extraction(spark, sf).collect()}
