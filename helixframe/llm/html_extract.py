@@ -13,7 +13,9 @@ from every page of the host, as are branches whose tags, roles or class names sa
 under LOW, so that passages which many pages quote stay where their node holds other texts too; an
 article that would lose all its text keeps it unless the rest of the page has more. If the article
 parts (or else the main parts) hold half of the text that is left, the page's text is those alone.
-Numbers in class and id values don't tell nodes apart.
+Numbers in class and id values don't tell nodes apart. A name is a whole class or id value, never a
+part of one. If all article or main text of a page is in one such element inside a named branch, and
+there is as much of it as of all text outside, the branches around it aren't noise, unless hidden.
 
 A null html counts as empty and gives an empty text; a null url or one without a host counts as
 host ''. Pages with equal html count once in the tree. Unclosed and stray tags are tolerated.
@@ -52,6 +54,10 @@ _NOISE_TAGS = frozenset("nav footer aside form button select menu dialog head se
 _NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist respond replies consent cookie cookies disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget".split()
 )
+_NOISE_NAMES |= frozenset(
+    "ad-banner ad-block ad-box ad-container ad-label ad-slot ad-unit ad-wrapper banner-ad google-ad cookie-banner cookie-bar cookie-consent cookie-notice gdpr-banner privacy-notice site-footer page-footer main-footer footer-links footer-nav site-nav site-navigation main-nav main-navigation main-menu nav-bar nav-links nav-menu side-nav top-nav top-bar skip-link skip-to-content breadcrumb-nav breadcrumb-list side-bar sidebar-left sidebar-right left-sidebar right-sidebar main-sidebar comment-form comment-list comment-section comments-area comments-list comments-section related-articles related-content related-links related-news related-posts recommended-articles recommended-posts share-bar share-buttons share-links social-bar social-buttons social-icons social-links social-media social-share newsletter-form newsletter-signup subscribe-form search-bar search-box search-form login-form promo-box sponsored-content".split()
+)
+_HEADER_NAMES = frozenset("header site-header page-header main-header top-header".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _KEEP_TAGS = frozenset("html body article main".split())
 
@@ -62,8 +68,22 @@ def _attributes(attr: str) -> dict[str, str]:
 
 def blocks(page: str) -> list[tuple[str, str, bool, int, str]]:
     """(path, text, noise, part, parent) of each block of text; part: 2 in an article, 1 in a main, else 0."""
-    out, buffer, at = [], [], 0
-    stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]  # tag, path, noise (1, or 2 inside a line), part
+    out, held = _parse(page)
+    if len(held) == 1 and held[0] and not any(b[3] and not b[2] for b in out):
+        inner, outside = (sum(len(b[1]) for b in x) for x in ([b for b in out if b[3]], [b for b in out if not b[2]]))
+        if inner and inner >= outside:
+            out, _ = _parse(page, held[0])
+    return out
+
+
+def _parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str, bool, int, str]], list[frozenset[int]]]:
+    """Blocks, and for each outermost article or main in a noise branch where the elements around it start (none if it is hidden).
+
+    Elements that start at `spared` places aren't noise by name.
+    """
+    out, held, buffer, at = [], [], [], 0
+    # tag, path, noise (1, or 2 inside a line), part, hidden, place
+    stack: list[tuple[str, str, int, int, bool, int]] = [("", "", 0, 0, False, -1)]
 
     def flush() -> None:
         if buffer:
@@ -112,21 +132,25 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, str]]:
         if tag in _VOID:
             continue
         a = _attributes(m["attr"] or "")
-        _, path, noise, part = stack[-1]
-        role, names = a.get("role", ""), set(re.split(r"[^a-z0-9]+", a.get("class", "") + " " + a.get("id", "")))
+        _, path, noise, part, hidden, _ = stack[-1]
+        names = set(f"{a.get('class', '')} {a.get('id', '')}".split())
+        role, outer = a.get("role", ""), part
+        hidden = hidden or (tag not in _KEEP_TAGS and ("hidden" in a or a.get("aria-hidden") == "true"))
         part = max(part, 2 if tag == "article" or role == "article" or "articlebody" in a.get("itemprop", "") else 1 if tag == "main" or role == "main" else 0)
         if tag not in _KEEP_TAGS and not noise:
-            named = tag in _NOISE_TAGS or bool(names & _NOISE_NAMES) or role in _NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
-            named = named or (part < 2 and (tag == "header" or "header" in names))
-            noise = (1 if tag in _BLOCK else 2) if named else 0
+            named = tag in _NOISE_TAGS or bool(names & _NOISE_NAMES) or role in _NOISE_ROLES
+            named = named or (part < 2 and (tag == "header" or bool(names & _HEADER_NAMES)))
+            noise = (1 if tag in _BLOCK else 2) if hidden or (named and m.start() not in spared) else 0
         elif noise == 2 and tag in _BLOCK:
             noise = 1
-        label = re.sub(r"\d+", "0", "." + ".".join(sorted(names - {""}))) if names - {""} else ""
-        stack.append((tag, f"{path}>{tag}{label}", noise, part))
+        if noise and part and not outer:
+            held.append(frozenset() if hidden else frozenset(x[5] for x in stack))
+        label = re.sub(r"\d+", "0", "." + ".".join(sorted(names))) if names else ""
+        stack.append((tag, f"{path}>{tag}{label}", noise, part, hidden, m.start()))
     if at < len(page) and stack[-1][2] != 2:
         buffer.append(page[at:])
     flush()
-    return out
+    return out, held
 
 
 def node_of(path: str, part: int) -> str:

@@ -21,6 +21,18 @@ def test_broken_markup(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-footer", "ad-free", "social-science", "sidebar", "search-form x"])
+def test_wrappers_of_the_article_are_not_noise(name):
+    page = f'<div class="{name}"><div id=widget><article><p>Text</p><div class="ad">buy</div><section id="related-work"><p>Prior</p></section></article></div></div>'
+    assert H.main_text(page) == "Text\nPrior"
+
+
+def test_named_branches_still_go():
+    page = '<div class="site-header">H</div><div class="ad x">A</div><p>Real text of the page</p><div class="comments"><article>c</article></div><div hidden><article>Not shown, however long it is</article></div>'
+    assert H.main_text(page) == "Real text of the page"
+    assert H.main_text('<form><main><p>Text</p><nav>n</nav></main></form><p>x</p>') == "Text"
+
+
 def test_low_importance_branches_go_and_quoted_passages_stay(spark):
     rows = [(i, f"http://h.example/{i}", f"<div class=body><p>Text {i} of its own</p></div><div class=strip><p>Same on every page</p></div>") for i in range(12)]
     rows += [(100 + i, "http://g.example/", f"<article><p>Quoted by all</p><p>Text {i}</p></article>") for i in range(8)]
