@@ -12,7 +12,8 @@ LEAST words or more, within one text too, up to fingerprint collisions.
 
 Equal texts are found first: all of a text that has an equal of LEAST words or more is one span, and
 one of the equals (smallest doc_id) stands for all in the search. A span is `first` if each of its
-runs has its first occurrence (smallest doc_id, then position) there. Texts that are null, empty or
+runs has its first occurrence (smallest doc_id, then position) there; the whole of an equal text is if
+it is the one that stands for all and none of its runs occurs first in another text. Texts that are null, empty or
 shorter than LEAST words have no spans. Rows with a null doc_id are left out. Of rows that share a
 doc_id the spans of each text are listed. Extra columns are ignored.
 
@@ -48,6 +49,10 @@ def _words(text: str | None, hashes: WordHashes) -> np.ndarray:
     return hashes.of((text or "").encode().lower().split())
 
 
+def _half(sig: bytes) -> int:
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
 class Repeats:
     def __init__(self, docs: DataFrame, phrase: int = PHRASE, window: int = WINDOW):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -55,7 +60,7 @@ class Repeats:
         self.scratch = Scratch(docs.sparkSession, "suffix")
 
     def kept(self) -> DataFrame:
-        """(doc_id, n, sig, keys, at): length, signature and kept suffixes of each text of LEAST words or more."""
+        """(doc_id, n, sig, half, keys, at): length, signature, its half and kept suffixes of each text of LEAST words or more."""
         k, w, least = self.k, self.w, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,56 +80,66 @@ class Repeats:
                     at.append(places.astype(np.int32))
                 offsets = pa.array(np.cumsum([0, *map(len, at)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, kind))) for x, kind in ((keys, np.int64), (at, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), *lists], ["doc_id", "n", "sig", "keys", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(map(_half, sig), pa.int64()), *lists], ["doc_id", "n", "sig", "half", "keys", "at"])
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, sig binary, keys array<long>, at array<int>")
+        return self.docs.mapInArrow(run, "doc_id long, n long, sig binary, half long, keys array<long>, at array<int>")
 
     def runs(self, texts: DataFrame) -> DataFrame:
-        """(doc_id, print, start): the LEAST-word runs whose minimiser is one of the suffixes in `at`."""
+        """(doc_id, which, print, start): the LEAST-word runs whose minimiser is one of the suffixes in `at`."""
         k, w, least = self.k, self.w, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for b in batches:
                 starts, prints = [], []
-                for text, at in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                for text, at, which in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                     words = _words(text, hashes)
+                    if which and _half(xxhash.xxh3_128_digest(words.tobytes())) != which:  # another text of the same doc_id
+                        words = words[:0]
                     ours = np.isin(minimisers(rolling(words, k), w), at.values.to_numpy())
                     found = np.flatnonzero(ours)
                     starts.append(found.astype(np.int32))
                     prints.append(rolling(words, least)[found].view(np.int64))
                 offsets = pa.array(np.cumsum([0, *map(len, starts)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, kind))) for x, kind in ((prints, np.int64), (starts, np.int32))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "prints", "starts"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *lists], ["doc_id", "which", "prints", "starts"])
 
-        found = texts.mapInArrow(run, "doc_id long, prints array<long>, starts array<int>")
-        return found.select("doc_id", F.explode(F.arrays_zip("prints", "starts")).alias("x")).select("doc_id", F.col("x.prints").alias("print"), F.col("x.starts").alias("start"))
+        found = texts.mapInArrow(run, "doc_id long, which long, prints array<long>, starts array<int>")
+        return found.select("doc_id", "which", F.explode(F.arrays_zip("prints", "starts")).alias("x")).select("doc_id", "which", F.col("x.prints").alias("print"), F.col("x.starts").alias("start"))
 
     def run(self) -> DataFrame:
         """(doc_id, start, end, first): repeated spans in words, ends exclusive."""
         s = self.scratch
         kept = s.keep(self.kept(), "kept")
+        shared = kept.groupBy("doc_id").agg(F.min("half").alias("a"), F.max("half").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("shared"))
+        shared = s.keep(shared, "shared")  # doc_ids of several texts, which `which` tells apart; it is 0 elsewhere
+        kept = kept.join(narrow(shared), "doc_id", "left").withColumn("which", F.when(F.col("shared"), F.col("half")).otherwise(F.lit(0).cast("long")))
         equal = s.keep(kept.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("sig", "rep"), "equal")
-        copies = s.keep(kept.select("doc_id", "n", "sig").join(equal, "sig").select("doc_id", "n", "sig", "rep"), "copies")
+        copies = s.keep(kept.select("doc_id", "which", "n", "sig").join(equal, "sig").select("doc_id", "which", "n", "sig", "rep"), "copies")
         others = kept.join(narrow(copies.where("doc_id <> rep").select("doc_id", "sig").distinct()), ["doc_id", "sig"], "left_anti")
 
-        suffixes = others.select("doc_id", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("doc_id", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
+        suffixes = others.select("doc_id", "which", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("doc_id", "which", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
         repeated = suffixes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        anchors = suffixes.join(repeated, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+        anchors = suffixes.join(repeated, "key", "left_semi").groupBy("doc_id", "which").agg(F.collect_set("at").alias("at"))
         anchors = s.keep(anchors, "anchors")
-        some = self.docs.join(narrow(anchors.select("doc_id")), "doc_id", "left_semi").join(anchors, "doc_id").select("doc_id", "text", "at")
+        some = self.docs.join(narrow(anchors.select("doc_id").distinct()), "doc_id", "left_semi").join(anchors, "doc_id").select("doc_id", "text", "at", "which")
         runs = s.keep(self.runs(some).distinct(), "runs")
         s.drop("kept", "anchors")
 
-        firsts = runs.groupBy("print").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "f")
-        hits = runs.join(firsts, "print").select("doc_id", "start", (F.struct("doc_id", "start") == F.col("f")).alias("first"))
-        by_doc = W.partitionBy("doc_id").orderBy("start")
+        firsts = runs.groupBy("print").agg(F.min(F.struct("doc_id", "start", "which")).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "f")
+        hits = runs.join(firsts, "print").select("doc_id", "which", "start", (F.struct("doc_id", "start", "which") == F.col("f")).alias("first"), (F.struct("doc_id", "which") == F.struct("f.doc_id", "f.which")).alias("home"))
+        by_doc = W.partitionBy("doc_id", "which").orderBy("start")
         hits = hits.distinct().withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(by_doc), F.lit(-(1 << 30))) + self.least).cast("int"))
         hits = hits.withColumn("island", F.sum("new").over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
-        spans = hits.groupBy("doc_id", "island").agg(F.min("start").cast("long").alias("start"), (F.max("start") + self.least).cast("long").alias("end"), F.min("first").alias("first")).drop("island")
-
-        whole = copies.groupBy("doc_id", "sig").agg(F.max("n").alias("n"), F.min("rep").alias("rep")).select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), (F.col("doc_id") == F.col("rep")).alias("first"))
-        spans = spans.join(narrow(whole.select("doc_id").distinct()), "doc_id", "left_anti").union(whole)
+        spans = hits.groupBy("doc_id", "which", "island").agg(F.min("start").cast("long").alias("start"), (F.max("start") + self.least).cast("long").alias("end"), F.min("first").alias("first"), F.min("home").alias("home")).drop("island")
+
+        spans = s.keep(spans, "spans")
+        away = spans.where("not home").select("doc_id", "which").distinct().withColumn("away", F.lit(True))
+        whole = copies.groupBy("doc_id", "which").agg(F.max("n").alias("n"), F.min("rep").alias("rep"))
+        spans = spans.join(narrow(whole.select("doc_id", "which")), ["doc_id", "which"], "left_anti").select("doc_id", "start", "end", "first")
+        first = (F.col("doc_id") == F.col("rep")) & F.col("away").isNull()
+        whole = whole.join(narrow(away), ["doc_id", "which"], "left").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), first.alias("first"))
+        spans = spans.union(whole)
         return spans
 
 

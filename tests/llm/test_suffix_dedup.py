@@ -52,3 +52,31 @@ def test_first_occurrence_and_empty(spark):
     got = {x.doc_id: (x.start, x.end, x.first) for x in S.Repeats(docs, phrase=5, window=6).run().collect()}
     assert got == {7: (2, 14, False), 3: (0, 13, True), 9: (0, 13, False)}
     assert S.Repeats(docs.limit(0), 5, 6).run().count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_first_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    passages = [" ".join(f"p{j}x{i}" for i in range(12)) for j in range(5)] + ["s " * 14]
+    texts = [" ".join([f"d{i}a", r.choice(passages), f"d{i}b", *r.sample(passages, r.randint(0, 1)), *(f"d{i}w{j}" for j in range(12))]) for i in range(12)]
+    rows = [(i, texts[i] if i < 12 else r.choice(texts)) for i in range(24)]
+    words, first, copies = {i: t.split() for i, t in rows}, {}, Counter(t for _, t in rows)
+    runs = {i: [tuple(w[p : p + 10]) for p in range(len(w) - 9)] for i, w in words.items()}
+    for i in sorted(runs):
+        for p, x in enumerate(runs[i]):
+            first.setdefault(x, (i, p))
+    got = list(S.Repeats(spark.createDataFrame(rows, "doc_id long, text string"), phrase=5, window=6).run().collect())
+    for x in got:
+        if copies[dict(rows)[x.doc_id]] > 1:
+            want = (x.start, x.end) == (0, len(words[x.doc_id])) and all(first[y][0] == x.doc_id for y in runs[x.doc_id])
+        else:
+            want = all(first[runs[x.doc_id][p]] == (x.doc_id, p) for p in range(x.start, x.end - 9))
+        assert x.first == want
+    assert {x.doc_id for x in got} == {i for i in runs if any(sum(y in z for z in runs.values()) > 1 or runs[i].count(y) > 1 for y in runs[i])}
+
+
+def test_texts_that_share_a_doc_id(spark):
+    a, p = " ".join(f"a{i}" for i in range(15)), " ".join(f"p{i}" for i in range(12))
+    rows = [(1, a), (2, a), (2, "b c " + p), (3, p + " d"), (2, "short")]
+    got = sorted(tuple(x) for x in S.Repeats(spark.createDataFrame(rows, "doc_id long, text string"), phrase=5, window=6).run().collect())
+    assert got == [(1, 0, 15, True), (2, 0, 15, False), (2, 2, 14, True), (3, 0, 12, False)]
