@@ -1,15 +1,17 @@
 """Shared plumbing of the training-data operators: scratch tables, word hashes, components.
 
 Scratch tables go to the shared folder that the cluster names in
-``spark.checkpoint.dir``; a private one is made only where that is unset (tests).
+``spark.checkpoint.dir``; a private one is made only for a local session where that is unset (tests).
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,11 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a fresh temporary one, once per session."""
+    """The folder in spark.checkpoint.dir; where a local session leaves it unset, a fresh temporary one, once per session."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -70,6 +74,81 @@ def narrow(side: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(side) if (side.count() if rows is None else rows) <= BROADCAST_ROWS else side
 
 
+# --- equal neighbours in sorted order -----------------------------------------------------------------------------
+
+
+def sorted_groups(scratch: Scratch, rows: DataFrame, keys: list[str], order: list[str], name: str, carry: str | None = None, distinct: bool = False) -> DataFrame:
+    """`rows` (long columns) in the order of `keys` and `order`, each compared with its neighbours.
+
+    Added are `repeated` (another row has the same keys) and `first_<c>` of each column c of `order`, and of
+    `carry`, which may be null: the values of the first row with the same keys. Keys and order columns must not be null.
+    With `distinct`, of rows equal in keys and order one is kept.
+    Rows are range-partitioned by keys and order together, so a key of any share of all rows is spread
+    over as many partitions as it fills; a group that runs on from one partition into the next is put
+    together afterwards from its first rows in each, of which there are at most as many as partitions.
+    """
+    columns, wanted = rows.columns, [*order, *([carry] if carry else [])]
+    k, every = ([columns.index(c) for c in names] for names in (keys, [*keys, *order]))
+    w = [columns.index(c) for c in wanted]
+    names = [*columns, "repeated", "lead", *(f"first_{c}" for c in wanted)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, whole, firsts, groups, held = None, None, None, 0, None  # of the row before: its keys, its group's first values
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if distinct:
+                rows = np.column_stack([b.column(i).to_numpy() for i in every])
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+                new[0] = whole is None or (rows[0] != whole).any()
+                whole = rows[-1]
+                b = b.filter(pa.array(new))
+                if not b.num_rows:
+                    continue
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in k])
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]).any(axis=1)
+            new[0] = last is None or (x[0] != last).any()
+            if held is not None:
+                held[1][-1] |= not new[0]
+                yield finish(*held)
+            at = np.maximum.accumulate(np.where(new, np.arange(len(x)), -1))
+            number = groups + np.cumsum(new)
+            source = at + 1  # 0: the group that goes on from the batch before
+            values = []
+            for j, i in enumerate(w):
+                before = pa.array([firsts[j] if firsts else None], b.column(i).type)
+                values.append(pa.concat_arrays([before, b.column(i)]).take(pa.array(source)))
+            repeated = ~new
+            repeated[:-1] |= ~new[1:]
+            held = (b, repeated, number == 1, values)
+            last, firsts, groups = x[-1], [v[-1].as_py() for v in values], int(number[-1])
+        if held is not None:
+            yield finish(*held)
+
+    def finish(b: pa.RecordBatch, repeated: np.ndarray, lead: np.ndarray, values: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(repeated), pa.array(lead), *values], names)
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "repeated boolean", "lead boolean", *(f"`first_{c}` {types[c]}" for c in wanted)])
+    sorted_rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    conf, size = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(size)
+    conf.set(size, 20_000)  # narrow rows
+    try:
+        found = scratch.keep(sorted_rows.mapInArrow(run, schema), name)
+    finally:
+        conf.set(size, before)
+    across = found.where("lead").select(*keys).distinct()
+    ends = found.select(*keys, *(f"first_{c}" for c in wanted)).join(F.broadcast(across), keys)  # one row a partition
+    ends = ends.groupBy(*keys).agg(F.min(F.struct(*(f"first_{c}" for c in wanted))).alias("_f"), F.count("*").alias("_c"))
+    ends = scratch.keep(ends, f"{name}-ends")
+    out = found.join(F.broadcast(ends), keys, "left")
+    more = {f"first_{c}": F.when(F.col("_f").isNull(), F.col(f"first_{c}")).otherwise(F.col(f"_f.first_{c}")) for c in wanted}
+    return out.withColumns({"repeated": F.coalesce(F.col("_c") > 1, "repeated"), **more}).drop("lead", "_f", "_c")
+
+
 # --- words and shingles as 64-bit numbers ------------------------------------------------------------------------
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)

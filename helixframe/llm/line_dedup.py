@@ -1,15 +1,17 @@
 """Line dedup by overlapping three-line windows.
 
 A text's lines are its parts between line feeds, compared exactly. Each run of three
-consecutive lines is a window, known by its md5. Of all equal windows in the corpus the one
+consecutive lines is a window, known by two 64-bit hashes. Of all equal windows in the corpus the one
 with the smallest (doc_id, position) is the first occurrence; lines covered by any later
 occurrence are removed, overlapping windows being merged by taking the union of their positions.
 
 Null texts and texts of fewer than three lines have no window and stay as they are. Rows that
 share a doc_id are told apart by a hash of their text; rows equal in both stand or fall
-together, as one document; rows with a null doc_id are compared like others but never shortened. Empty lines count as lines. Other columns are carried along.
-Equal windows are pre-aggregated before the shuffle, so a window in a third of all documents
-costs one row a task; a document's positions are gathered per document, which is one row anyway.
+together, as one document; rows with a null doc_id are compared like others (they come first), but
+never shortened. Empty lines count as lines. Other columns are carried along; `text` and columns that
+have the names of the two counts are replaced.
+Windows are sorted by their hashes and compared with their neighbours, so a window in a third of all
+documents is spread over many tasks; positions are gathered per document, which is one row anyway.
 """
 
 from __future__ import annotations
@@ -17,26 +19,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import fresh, read_table
+from helixframe.llm.common import Scratch, fresh, read_table, sorted_groups
 
 WINDOW = 3
+NO_ID = -(1 << 63)  #: stands for a null doc_id in comparisons
 
 
 def windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(doc_id, _t, pos, key): every run of k lines."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.split("text", "\n").alias("_l")).where(F.size("_l") >= k)
-    keys = F.transform(F.sequence(F.lit(1), F.size("_l") - (k - 1)), lambda i: F.unhex(F.md5(F.concat_ws("\n", F.slice("_l", i, k)))))
-    return lines.select("doc_id", "_t", F.posexplode(keys).alias("pos", "key"))
+    """(doc_id, _t, pos, k1, k2): every run of k lines, with two hashes of it."""
+    lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("_t"), F.split("text", "\n").alias("_l")).where(F.size("_l") >= k)
+    part = lambda i: F.slice("_l", i, k)
+    keys = F.transform(F.sequence(F.lit(1), F.size("_l") - (k - 1)), lambda i: F.struct(F.xxhash64(part(i)).alias("k1"), F.xxhash64(F.lit(1), part(i)).alias("k2")))
+    return lines.select("doc_id", "_t", F.posexplode(keys).alias("pos", "key")).select("doc_id", "_t", F.col("pos").cast("long").alias("pos"), "key.k1", "key.k2")
 
 
 def covered(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, _t, _cut): sorted 1-based positions of the lines that later occurrences cover."""
-    w = windows(docs, k)
-    at = F.struct("doc_id", "_t", "pos")
-    first = w.groupBy("key").agg(F.min(at).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("key", "_first")
-    later = w.join(first, "key").where(at != F.col("_first"))
+    order = ["doc_id", "_t", "pos"]
+    w = sorted_groups(Scratch(docs.sparkSession, "lines"), windows(docs, k), ["k1", "k2"], order, "windows")
+    later = w.where("repeated").where(F.struct(*order) != F.struct(*(f"first_{c}" for c in order))).where(F.col("doc_id") != NO_ID)
     spans = later.select("doc_id", "_t", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + k)).alias("_at"))
-    return spans.groupBy("doc_id", "_t").agg(F.sort_array(F.collect_set("_at")).alias("_cut"))
+    return spans.groupBy("doc_id", "_t").agg(F.sort_array(F.collect_set(F.col("_at").cast("int"))).alias("_cut"))
 
 
 def line_dedup(docs: DataFrame, k: int = WINDOW, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
@@ -46,7 +49,8 @@ def line_dedup(docs: DataFrame, k: int = WINDOW, n_lines: str = "n_lines", n_rem
     keyed = docs.withColumn(t, F.xxhash64("text"))
     joined = keyed.join(cut, (F.col("doc_id") == F.col(fresh(docs, "_id"))) & (F.col(t) == F.col(f"{t}2")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i + 1)), "\n")
+    places = F.array_except(F.sequence(F.lit(1), F.size(lines)), gone)  # by hashing, so in time linear in a text's lines
+    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i - 1)), "\n")
     out = joined.withColumns(
         {
             n_lines: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),

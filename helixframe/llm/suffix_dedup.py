@@ -3,22 +3,22 @@
 Words are parts between ASCII white space, A-Z in lower case. A suffix of a text is kept only where
 its first PHRASE words have the smallest hash of some WINDOW neighbouring positions (a minimiser),
 so the choice depends on content alone: equal passages of LEAST = PHRASE + WINDOW - 1 words or more
-keep suffixes at the same places. Kept suffixes are brought into order by their first PHRASE words;
-those without an equal neighbour are dropped. Each other suffix is extended, word by word to the
-left and to the right, to all LEAST-word runs of which it is the minimiser; the runs are ordered by
-their fingerprints (64 bits) and again keep only those with an equal neighbour. Overlapping and
-touching runs of a text merge into maximal repeated spans. The result is exact for every passage of
-LEAST words or more, within one text too, up to fingerprint collisions.
-
-Equal texts are found first: all of a text that has an equal of LEAST words or more is one span, and
-one of the equals (smallest doc_id) stands for all in the search. A span is `first` if each of its
-runs has its first occurrence (smallest doc_id, then position) there; the whole of an equal text is if
-it is the one that stands for all and none of its runs occurs first in another text. Texts that are null, empty or
-shorter than LEAST words have no spans. Rows with a null doc_id are left out. Of rows that share a
-doc_id the spans of each text are listed. Extra columns are ignored.
-
-A fingerprint that a third of all documents hold costs one row a task where it is counted, and a
-skewed side that Spark splits where counts are joined back; no list of its places is ever gathered.
+keep suffixes at the same places. The kept suffixes are sorted by the hashes of their first PHRASE
+words and each is compared with its neighbours; those that differ from both are dropped. Each other
+one is extended, word by word to the left and to the right, to all LEAST-word runs of which it is the
+minimiser; the runs are sorted (by 64-bit fingerprints) and compared with their neighbours in turn.
+Overlapping and touching runs of a text merge into maximal repeated spans. The result is exact for
+every passage of LEAST words or more, within one text too, up to fingerprint collisions.
+
+Equal texts are found first, as neighbours too: all of a text that has an equal of LEAST words or more
+is one span, and one of the equals (smallest doc_id) stands for all in the search. A span is `first` if
+each of its runs has its first occurrence (smallest doc_id, then position) there; the whole of an equal
+text is if it is the one that stands for all and none of its runs occurs first in another text. Texts
+that are null, empty or shorter than LEAST words have no spans. Rows with a null doc_id are left out.
+Of rows that share a doc_id the spans of each text are listed, once. Extra columns are ignored.
+
+All three sorts are range partitions by hash and place together (`common.sorted_groups`), so a suffix,
+run or text that a third of all documents hold is spread over many tasks, and none of its places is gathered.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import Scratch, WordHashes, narrow, read_table, rolling
+from helixframe.llm.common import Scratch, WordHashes, narrow, read_table, rolling, sorted_groups
 
 PHRASE, WINDOW = 25, 26
 
@@ -49,8 +49,10 @@ def _words(text: str | None, hashes: WordHashes) -> np.ndarray:
     return hashes.of((text or "").encode().lower().split())
 
 
-def _half(sig: bytes) -> int:
-    return int.from_bytes(sig[:8], "little", signed=True)
+def _halves(words: np.ndarray) -> tuple[int, int]:
+    """A text's signature as two longs."""
+    sig = xxhash.xxh3_128_digest(words.tobytes())
+    return int.from_bytes(sig[:8], "little", signed=True), int.from_bytes(sig[8:], "little", signed=True)
 
 
 class Repeats:
@@ -60,7 +62,7 @@ class Repeats:
         self.scratch = Scratch(docs.sparkSession, "suffix")
 
     def kept(self) -> DataFrame:
-        """(doc_id, n, sig, half, keys, at): length, signature, its half and kept suffixes of each text of LEAST words or more."""
+        """(doc_id, n, which, rest, keys, at): length, signature and kept suffixes of each text of LEAST words or more."""
         k, w, least = self.k, self.w, self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +77,15 @@ class Repeats:
                     places = np.unique(minimisers(phrases, w))
                     ids.append(doc)
                     n.append(len(words))
-                    sig.append(xxhash.xxh3_128_digest(words.tobytes()))
+                    sig.append(_halves(words))
                     keys.append(phrases[places].view(np.int64))
-                    at.append(places.astype(np.int32))
+                    at.append(places.astype(np.int64))
                 offsets = pa.array(np.cumsum([0, *map(len, at)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, kind))) for x, kind in ((keys, np.int64), (at, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(map(_half, sig), pa.int64()), *lists], ["doc_id", "n", "sig", "half", "keys", "at"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in (keys, at)]
+                halves = [pa.array([x[i] for x in sig], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), *halves, *lists], ["doc_id", "n", "which", "rest", "keys", "at"])
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, sig binary, half long, keys array<long>, at array<int>")
+        return self.docs.mapInArrow(run, "doc_id long, n long, which long, rest long, keys array<long>, at array<long>")
 
     def runs(self, texts: DataFrame) -> DataFrame:
         """(doc_id, which, print, start): the LEAST-word runs whose minimiser is one of the suffixes in `at`."""
@@ -94,53 +97,51 @@ class Repeats:
                 starts, prints = [], []
                 for text, at, which in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                     words = _words(text, hashes)
-                    if which and _half(xxhash.xxh3_128_digest(words.tobytes())) != which:  # another text of the same doc_id
+                    if _halves(words)[0] != which:  # another text of the same doc_id
                         words = words[:0]
                     ours = np.isin(minimisers(rolling(words, k), w), at.values.to_numpy())
                     found = np.flatnonzero(ours)
-                    starts.append(found.astype(np.int32))
+                    starts.append(found.astype(np.int64))
                     prints.append(rolling(words, least)[found].view(np.int64))
                 offsets = pa.array(np.cumsum([0, *map(len, starts)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, kind))) for x, kind in ((prints, np.int64), (starts, np.int32))]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in (prints, starts)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *lists], ["doc_id", "which", "prints", "starts"])
 
-        found = texts.mapInArrow(run, "doc_id long, which long, prints array<long>, starts array<int>")
+        found = texts.mapInArrow(run, "doc_id long, which long, prints array<long>, starts array<long>")
         return found.select("doc_id", "which", F.explode(F.arrays_zip("prints", "starts")).alias("x")).select("doc_id", "which", F.col("x.prints").alias("print"), F.col("x.starts").alias("start"))
 
     def run(self) -> DataFrame:
         """(doc_id, start, end, first): repeated spans in words, ends exclusive."""
-        s = self.scratch
+        s, text = self.scratch, ["doc_id", "which"]
         kept = s.keep(self.kept(), "kept")
-        shared = kept.groupBy("doc_id").agg(F.min("half").alias("a"), F.max("half").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("shared"))
-        shared = s.keep(shared, "shared")  # doc_ids of several texts, which `which` tells apart; it is 0 elsewhere
-        kept = kept.join(narrow(shared), "doc_id", "left").withColumn("which", F.when(F.col("shared"), F.col("half")).otherwise(F.lit(0).cast("long")))
-        equal = s.keep(kept.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("sig", "rep"), "equal")
-        copies = s.keep(kept.select("doc_id", "which", "n", "sig").join(equal, "sig").select("doc_id", "which", "n", "sig", "rep"), "copies")
-        others = kept.join(narrow(copies.where("doc_id <> rep").select("doc_id", "sig").distinct()), ["doc_id", "sig"], "left_anti")
-
-        suffixes = others.select("doc_id", "which", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("doc_id", "which", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
-        repeated = suffixes.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        anchors = suffixes.join(repeated, "key", "left_semi").groupBy("doc_id", "which").agg(F.collect_set("at").alias("at"))
-        anchors = s.keep(anchors, "anchors")
+        equal = sorted_groups(s, kept.select("which", "rest", "doc_id", "n"), ["which", "rest"], ["doc_id"], "equal")
+        copies = s.keep(equal.where("repeated").select(*text, "n", F.col("first_doc_id").alias("rep")).distinct(), "copies")
+        others = kept.join(narrow(copies.where("doc_id <> rep").select(*text)), text, "left_anti")
+
+        suffixes = others.select(*text, F.explode(F.arrays_zip("keys", "at")).alias("x")).select(*text, F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
+        suffixes = s.keep(suffixes, "suffixes")
+        array = sorted_groups(s, suffixes, ["key"], [*text, "at"], "array", distinct=True)
+        anchors = s.keep(array.where("repeated").groupBy(*text).agg(F.collect_list("at").alias("at")), "anchors")
+        s.drop("kept", "suffixes", "array", "equal")
         some = self.docs.join(narrow(anchors.select("doc_id").distinct()), "doc_id", "left_semi").join(anchors, "doc_id").select("doc_id", "text", "at", "which")
-        runs = s.keep(self.runs(some).distinct(), "runs")
-        s.drop("kept", "anchors")
-
-        firsts = runs.groupBy("print").agg(F.min(F.struct("doc_id", "start", "which")).alias("f"), F.count("*").alias("c")).where("c > 1").select("print", "f")
-        hits = runs.join(firsts, "print").select("doc_id", "which", "start", (F.struct("doc_id", "start", "which") == F.col("f")).alias("first"), (F.struct("doc_id", "which") == F.struct("f.doc_id", "f.which")).alias("home"))
-        by_doc = W.partitionBy("doc_id", "which").orderBy("start")
-        hits = hits.distinct().withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(by_doc), F.lit(-(1 << 30))) + self.least).cast("int"))
+        runs = s.keep(self.runs(some), "runs")
+        s.drop("anchors")
+
+        place, first = [*text, "start"], [f"first_{c}" for c in (*text, "start")]
+        hits = sorted_groups(s, runs, ["print"], place, "hits", distinct=True).where("repeated")
+        hits = hits.select(*place, (F.struct(*place) == F.struct(*first)).alias("first"), (F.struct(*text) == F.struct(*first[:2])).alias("home"))
+        by_doc = W.partitionBy(*text).orderBy("start")
+        hits = hits.withColumn("new", (F.col("start") > F.coalesce(F.lag("start").over(by_doc), F.lit(-(1 << 30))) + self.least).cast("int"))
         hits = hits.withColumn("island", F.sum("new").over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
-        spans = hits.groupBy("doc_id", "which", "island").agg(F.min("start").cast("long").alias("start"), (F.max("start") + self.least).cast("long").alias("end"), F.min("first").alias("first"), F.min("home").alias("home")).drop("island")
+        spans = hits.groupBy(*text, "island").agg(F.min("start").alias("start"), (F.max("start") + self.least).alias("end"), F.min("first").alias("first"), F.min("home").alias("home")).drop("island")
 
         spans = s.keep(spans, "spans")
-        away = spans.where("not home").select("doc_id", "which").distinct().withColumn("away", F.lit(True))
-        whole = copies.groupBy("doc_id", "which").agg(F.max("n").alias("n"), F.min("rep").alias("rep"))
-        spans = spans.join(narrow(whole.select("doc_id", "which")), ["doc_id", "which"], "left_anti").select("doc_id", "start", "end", "first")
+        s.drop("runs", "hits", "hits-ends", "array-ends", "equal-ends")
+        away = spans.where("not home").select(*text).distinct().withColumn("away", F.lit(True))
+        spans = spans.join(narrow(copies.select(*text)), text, "left_anti").select("doc_id", "start", "end", "first")
         first = (F.col("doc_id") == F.col("rep")) & F.col("away").isNull()
-        whole = whole.join(narrow(away), ["doc_id", "which"], "left").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), first.alias("first"))
-        spans = spans.union(whole)
-        return spans
+        whole = copies.join(narrow(away), text, "left").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), first.alias("first"))
+        return spans.union(whole)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
