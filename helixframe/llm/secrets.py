@@ -4,17 +4,19 @@ Base patterns find three kinds of credentials (assignments, access keys, hex str
 find is labelled by kind, written as a sequence of character classes, and put into one prefix tree
 a kind; states whose next-symbol and ending frequencies agree under Hoeffding's bound are merged
 (red-blue, folding their subtrees), which leaves a small probabilistic automaton a kind. A further
-automaton is learned from ordinary long words. Every run of 12 or more credential characters with
-a digit that overlaps no base span is then scored by the mean log-likelihood ratio, per symbol,
-of the best credential automaton against the ordinary one; from LEAST_BITS on it is a span of
-kind `learned`, provided that the automaton itself gives it at least LEAST_FIT a symbol. Formats that are common
-among unlabelled long words count as ordinary, whatever they are.
+automaton is learned from ordinary long words. Every candidate, that is every run of 12 or more
+credential characters, is then scored, less what base spans cover of it and less trailing
+punctuation, by the mean log-likelihood ratio, per symbol, of the best credential automaton against
+the ordinary one; from LEAST_BITS on it is a span of kind `learned`, provided that the automaton
+itself gives it at least LEAST_FIT a symbol. Formats that are common among unlabelled long words count
+as ordinary, whatever they are.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive. Learning
-uses at most SAMPLE distinct class sequences a kind (those with the smallest hash), gathered from
-all documents with a bounded heap a partition; scanning covers every row and whole texts, row by
+uses a bounded sample, gathered from all documents with a bounded heap a partition: at most SAMPLE
+distinct class sequences a kind (those with the smallest hash), whole ones, of up to LONGEST symbols
+each and SYMBOLS in all; scanning covers every row, whole texts and candidates of any length, row by
 row, without a shuffle. With nothing to learn from, only base spans are found. Equal texts give
-equal spans. Extra columns are carried along by `scan`.
+equal spans. Extra columns are carried along by `scan`, whose `spans` takes the place of a column so named.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from helixframe.llm.common import Scratch, read_table
 
 KINDS = ("assign", "access", "hex", "learned")
 SAMPLE = 1500  #: class sequences a kind that learning may use
-DEPTH = 48  #: symbols of a sequence that enter the prefix tree; later ones go round in the merged states
+LONGEST, SYMBOLS = 2_000, 300_000  #: symbols of one sequence, and of all of a kind, that learning may use
 ALPHA = 0.05  #: of Hoeffding's bound
 LEAST_BITS = 1.0
 LEAST_FIT = -3.0  #: mean log2 likelihood a symbol that a credential needs, whatever ordinary words have
@@ -44,8 +46,7 @@ _FLOOR = math.log2(1e-4)
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+")
-_WORD = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}+")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}+")
 _IS_HEX = bytes(1 if chr(i) in "0123456789abcdef" else 0 for i in range(256))
 _CLASSES = str.maketrans({c: k for k, cs in {"d": "0123456789", "x": "abcdef", "l": "ghijklmnopqrstuvwxyz", "X": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "s": "+/_.=-"}.items() for c in cs})
 
@@ -69,8 +70,21 @@ def classes(value: str) -> str:
     return value.translate(_CLASSES)
 
 
-def _free(spans: list[Span], start: int, end: int) -> bool:
-    return all(end <= a or start >= z for a, _, z, _ in spans)
+def candidates(text: str, found: list[Span]) -> Iterator[tuple[int, str]]:
+    """(start, value) of every run of credential characters, less the base spans `found` and trailing punctuation."""
+    taken, i = sorted((a, z) for a, _, z, _ in found), 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        while i < len(taken) and taken[i][0] < end:
+            a, z = taken[i]
+            if a - start >= LEAST_LENGTH and len(value := text[start:a].rstrip(".=-_")) >= LEAST_LENGTH:
+                yield start, value
+            start = max(start, z)
+            if z > end:
+                break  # it may reach into the next run
+            i += 1
+        if end - start >= LEAST_LENGTH and len(value := text[start:end].rstrip(".=-_")) >= LEAST_LENGTH:
+            yield start, value
 
 
 # --- inference ---------------------------------------------------------------------------------------------------
@@ -84,12 +98,12 @@ class Automaton:
         self.count: list[dict[str, int]] = [{}]
         self.total, self.final = [0], [0]
         for s in strings:
-            self._add(s[:DEPTH], len(s) <= DEPTH)
+            self._add(s)
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
         self._weigh()
 
-    def _add(self, s: str, ends: bool) -> None:
+    def _add(self, s: str) -> None:
         at = 0
         for c in s:
             self.total[at] += 1
@@ -101,9 +115,8 @@ class Automaton:
                 self.total.append(0)
                 self.final.append(0)
             at = self.next[at][c]
-        if ends:
-            self.total[at] += 1
-            self.final[at] += 1
+        self.total[at] += 1
+        self.final[at] += 1
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -176,26 +189,32 @@ class Formats:
     def __init__(self, samples: dict[int, list[str]]):
         self.known = [Automaton(samples[k]) for k in (0, 1, 2) if samples.get(k)]
         self.ordinary = Automaton(samples.get(3, []))
+        self.seen: dict[str, bool] = {}
 
     def score(self, value: str) -> float:
         s = classes(value)
         best = max((a.bits(s) for a in self.known), default=-1e9)
         return best - self.ordinary.bits(s) if best >= LEAST_FIT else -1e9
 
+    def likely(self, value: str) -> bool:
+        """Whether the score is enough; answers for short sequences are remembered."""
+        if len(value) > 64:
+            return self.score(value) >= LEAST_BITS
+        s = classes(value)
+        hit = self.seen.get(s)
+        if hit is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            hit = self.seen[s] = self.score(value) >= LEAST_BITS
+        return hit
+
     def spans(self, text: str) -> list[Span]:
         """Base and learned spans, by start and kind."""
         found = base_spans(text)
-        if self.known:
-            extra = []
-            for m in _TOKEN.finditer(text):
-                value = m[0].rstrip(".=-_")
-                if len(value) >= LEAST_LENGTH:
-                    end = m.start() + len(value)
-                    if _free(found, m.start(), end) and self.score(value) >= LEAST_BITS:
-                        extra.append((m.start(), 3, end, value))
-            if extra:
-                found = sorted(found + extra)
-        return found
+        if not self.known:
+            return found
+        extra = [(start, 3, start + len(value), value) for start, value in candidates(text, found) if self.likely(value)]
+        return sorted(found + extra) if extra else found
 
 
 def gather(docs: DataFrame, most: int = SAMPLE) -> dict[int, list[str]]:
@@ -207,7 +226,7 @@ def gather(docs: DataFrame, most: int = SAMPLE) -> dict[int, list[str]]:
 
         def put(kind: int, value: str) -> None:
             s = classes(value)
-            if s in held[kind]:
+            if s in held[kind] or len(s) > LONGEST:
                 return
             item = (-(xxhash.xxh64_intdigest(s) >> 1), s)
             if len(heaps[kind]) < most:
@@ -222,31 +241,33 @@ def gather(docs: DataFrame, most: int = SAMPLE) -> dict[int, list[str]]:
                 found = base_spans(text)
                 for _, kind, _, value in found:
                     put(kind, value)
-                for m in _WORD.finditer(text):
-                    if not found or _free(found, m.start(), m.end()):
-                        put(3, m[0])
+                for _, value in candidates(text, found):
+                    put(3, value)
         rows = [(k, -h, s) for k in range(4) for h, s in heaps[k]]
         kind, order, value = zip(*rows, strict=True) if rows else ((), (), ())
         yield pd.DataFrame({"kind": pd.Series(kind, dtype="int32"), "o": pd.Series(order, dtype="int64"), "s": pd.Series(value, dtype=object)})
 
     found = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(run, "kind int, o long, s string").distinct()
     scratch = Scratch(docs.sparkSession, "secrets")
-    found = scratch.keep(found, "found").withColumn("cell", F.shiftright("o", 51))
-    # Hashes spread evenly over 4096 cells; those up to the cell that completes the sample hold all of it.
+    found = scratch.keep(found, "found").withColumn("bits", F.length(F.bin("o")))
+    # Hashes are spread evenly, so each length in bits holds about as many as all shorter ones: those up to the
+    # length that completes the sample are about twice the sample, however many partitions there are.
     last: dict[int, int] = {}
     seen = [0, 0, 0, 0]
-    for r in found.groupBy("kind", "cell").agg(F.count("*").alias("c")).orderBy("kind", "cell").collect():
+    for r in found.groupBy("kind", "bits").agg(F.count("*").alias("c")).orderBy("kind", "bits").collect():
         if seen[r.kind] < most:
-            last[r.kind] = r.cell
+            last[r.kind] = r.bits
         seen[r.kind] += r.c
     enough = F.lit(False)
-    for kind, cell in last.items():
-        enough |= (F.col("kind") == kind) & (F.col("cell") <= cell)
+    for kind, bits in last.items():
+        enough |= (F.col("kind") == kind) & (F.col("bits") <= bits)
     out: dict[int, list[str]] = {}
-    for r in found.where(enough).orderBy("kind", "o", "s").collect():
+    size = [0, 0, 0, 0]
+    for r in sorted(found.where(enough).select("kind", "o", "s").collect()):
         chosen = out.setdefault(r.kind, [])
-        if len(chosen) < most:
+        if len(chosen) < most and size[r.kind] + len(r.s) <= SYMBOLS:
             chosen.append(r.s)
+            size[r.kind] += len(r.s)
     scratch.drop("found")
     return out
 

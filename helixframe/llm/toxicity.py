@@ -1,29 +1,36 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read a clause's words one after the other and are composed:
-
-* *insult*: accepts words and word beginnings; its arcs carry log-odds learned from labelled
-  rows (plus a short list of English seeds, which only count as prior evidence);
-* *threat*: a threatening verb whose object is a target within four words;
-* *target*: second and third person and group words, which raise what they stand next to;
-* *negation*: for three words after it, insults and threats weigh a quarter;
-* *reported speech*: up to the end of the clause, they weigh half.
-
-A clause is scored as a whole: the weights along its best path are summed. A document's
-features are its strongest clause and the sum over its clauses, both squashed by log1p; a
-logistic curve fitted on the same labelled rows maps them to 0..1.
+Five small transducers read a clause, each with its own states:
+
+* *insult*: a lexical transducer; it may read a word as an `insult`, weighed by the log-odds of the
+  longest of its arcs (whole words or word beginnings) that accepts the word. The arcs are learned
+  from labelled rows; a short list of English seeds counts as prior evidence;
+* *threat*: a threatening verb, completed by a target among the next four words;
+* *target*: second and third person and group words; an insult up to three words after one gains a
+  quarter, and so does a target up to three words after an insult;
+* *negation*: for three words after a negating word, what is read weighs a quarter;
+* *reported speech*: from a reporting verb to the end of the clause, it weighs half.
+
+A word may be read in several ways (as an insult, a threatening verb, a plain word, ...), so a clause
+has many paths. The machines are composed once, on the driver, into one weighted automaton over their
+reachable joint states: gains add up, factors multiply. A clause's score is the weight of its best
+path (Viterbi), so clauses are scored, not isolated words. A document's features are its strongest
+clause and the sum over its clauses, both squashed by log1p; a logistic curve fitted on the same
+labelled rows maps them to 0..1.
 
 Nulls count as empty texts, which get the score of a text without any match. Rows whose doc_id
-is null are scored like others and never used for learning. Repeated label rows of a document
-count once, as toxic if any says so. Other columns of the input, whatever their names, are
-carried along untouched by `score`. With no labelled row of one class, the seeds alone score.
+is null are scored like others, never used for learning, and not held out. Repeated label rows of a
+document count once, as toxic if any says so. Other columns of the input are carried along by
+`Model.score`, which adds `score` (or takes the place of a column so named). With no labelled row of
+one class, the seeds alone score.
 
-Learning takes at most SAMPLE rows a class (those with the smallest md5 of doc_id), so the
-lexicon and the fitted curve have a size bound; scoring covers every row and whole texts.
+Learning takes at most SAMPLE rows a class (those with the smallest md5 of doc_id), which bounds what
+can be learned from; scoring covers every row and whole texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -38,8 +45,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import fresh, read_table
 
 SAMPLE = 10_000  #: labelled rows of each class that learning may use
-LEXICON = 20_000  #: arcs of the insult transducer
-PREFIXES = (3, 4, 5, 6)
+LEAST_PREFIX = 3  #: letters of a word's shortest beginning that can be an arc
 LEAST_G2 = 14.0  #: evidence (likelihood ratio) an arc needs
 LEAST_ODDS = 3.0  #: log-odds an arc needs
 LEAST_SHARE = 0.01  #: share of the toxic rows an arc must occur in, so that words of one much-copied text stay out
@@ -64,15 +70,96 @@ def words_of(text: str) -> Iterator[list[str]]:
 
 def arcs(word: str) -> list[str]:
     """What the insult transducer can match of a word: the whole, and its beginnings (marked by ^)."""
-    return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
+    return [word, *("^" + word[:k] for k in range(LEAST_PREFIX, len(word)))]
+
+
+# --- the machines ------------------------------------------------------------------------------------------------
+
+#: ways to read a word; the lexical transducer gives each word one or more of them, with a weight
+PLAIN, INSULT, THREAT, TARGET, NEGATION, REPORT = SYMBOLS = range(6)
+Arc = tuple[int, float, float]  #: next state, factor on the arc's weight, gain
+
+
+class Machine:
+    """A transducer over SYMBOLS: `arcs[state, symbol]` are its arcs; state 0 is the start, all states are final."""
+
+    def __init__(self, arcs: dict[tuple[int, int], list[Arc]]):
+        self.arcs = arcs
+
+    @staticmethod
+    def of(states: int, rule) -> Machine:
+        """From a rule (state, symbol) -> arcs."""
+        return Machine({(q, s): rule(q, s) for q in range(states) for s in SYMBOLS})
+
+
+def threat_machine(window: int = 4, gain: float = 2.0) -> Machine:
+    """State q > 0: a threatening verb stands q words back; a target completes it."""
+
+    def rule(q: int, s: int) -> list[Arc]:
+        if s == THREAT:
+            return [(1, 1.0, 0.0)]
+        if s == TARGET and q:
+            return [(0, 1.0, gain)]
+        return [(q + 1 if 0 < q < window else 0, 1.0, 0.0)]
+
+    return Machine.of(window + 1, rule)
+
+
+def target_machine(window: int = 3, factor: float = 1.25, gain: float = 0.5) -> Machine:
+    """States 1 to `window`: a target stands so many words back; the ones above: an insult does."""
+
+    def rule(q: int, s: int) -> list[Arc]:
+        if s == TARGET:
+            return [(1, 1.0, gain if q > window else 0.0)]
+        if s == INSULT:
+            return [(window + 1, factor if 0 < q <= window else 1.0, 0.0)]
+        return [(0 if q in (0, window, 2 * window) else q + 1, 1.0, 0.0)]
+
+    return Machine.of(2 * window + 1, rule)
+
+
+def negation_machine(window: int = 3, factor: float = 0.25) -> Machine:
+    """State q > 0: so many words of a negation's scope are left."""
+
+    def rule(q: int, s: int) -> list[Arc]:
+        return [(window, 1.0, 0.0)] if s == NEGATION else [(max(q - 1, 0), factor if q else 1.0, 0.0)]
+
+    return Machine.of(window + 1, rule)
+
+
+def report_machine(factor: float = 0.5) -> Machine:
+    """State 1: what follows is reported."""
+    return Machine.of(2, lambda q, s: [(1 if s == REPORT or q else 0, factor if q else 1.0, 0.0)])
+
+
+MACHINES = (threat_machine(), target_machine(), negation_machine(), report_machine())
+
+
+def compose(machines: tuple[Machine, ...]) -> Machine:
+    """One machine over the reachable joint states of all; factors multiply, and apply to the gains of the others too."""
+    number, todo, arcs = {(0,) * len(machines): 0}, [(0,) * len(machines)], {}
+    while todo:
+        state = todo.pop()
+        for s in SYMBOLS:
+            out: list[Arc] = []
+            for ways in itertools.product(*(m.arcs[q, s] for m, q in zip(machines, state, strict=True))):
+                to = tuple(w[0] for w in ways)
+                if to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                factor = math.prod(w[1] for w in ways)
+                out.append((number[to], factor, factor * sum(w[2] for w in ways)))
+            arcs[number[state], s] = out
+    return Machine(arcs)
 
 
 class Grammar:
-    """The composed transducers; `weights` are the arcs of the insult transducer."""
+    """The lexical transducer with its learned arcs `weights`, and the composed machines."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], machines: tuple[Machine, ...] = MACHINES):
         self.weights, self.known = weights, {}
         self.longest = sorted({len(k) - 1 for k in weights if k[0] == "^"}, reverse=True)
+        self.arcs = compose(machines).arcs
 
     def insult(self, word: str) -> float:
         """Weight of the longest arc that accepts the word, 0 if none does."""
@@ -81,8 +168,23 @@ class Grammar:
             w = next((x for k in self.longest if len(word) > k and (x := self.weights.get("^" + word[:k])) is not None), 0.0)
         return w
 
+    def readings(self, word: str) -> list[tuple[int, float]]:
+        """Symbols a word can be read as, with weights. Negating and reporting words are never anything else."""
+        if word in NEGATIONS:
+            return [(NEGATION, 0.0)]
+        if word in REPORTS:
+            return [(REPORT, 0.0)]
+        if word in TARGETS:
+            return [(TARGET, 0.0)]
+        out = [(PLAIN, 0.0)]
+        if word in THREATS:
+            out.append((THREAT, 0.0))
+        if (w := self.insult(word)) > 0:
+            out.append((INSULT, w))
+        return out
+
     def suspicious(self, text: str) -> bool:
-        """Whether any word is accepted by the insult or the threat transducer; words are remembered."""
+        """Whether any word can be read as an insult or a threatening verb; words are remembered."""
         known = self.known
         if len(known) > 150_000:
             known.clear()
@@ -96,30 +198,18 @@ class Grammar:
         return False
 
     def clause(self, words: list[str]) -> float:
-        """Runs the composed machine over one clause."""
-        total, negated, reported, threat, target, last = 0.0, 0, 1.0, 0, -9, 0.0
-        for i, w in enumerate(words):
-            if w in NEGATIONS:
-                negated = 3
-                continue
-            if w in REPORTS:
-                reported = 0.5
-            factor = reported * (0.25 if negated else 1.0)
-            if w in TARGETS:
-                target = i
-                if threat:
-                    total += 2.0 * factor
-                    threat = 0
-                if last:
-                    total += 0.25 * last
-                    last = 0.0
-            elif (x := self.insult(w)) > 0:
-                last = x * factor
-                total += last * (1.25 if i - target <= 3 else 1.0)
-            if w in THREATS:
-                threat = 5
-            threat, negated = max(0, threat - 1), max(0, negated - 1)
-        return total
+        """Weight of the best path of the composed machine over one clause."""
+        best = {0: 0.0}
+        for word in words:
+            after: dict[int, float] = {}
+            for symbol, weight in self.readings(word):
+                for q, score in best.items():
+                    for to, factor, gain in self.arcs[q, symbol]:
+                        x = score + factor * weight + gain
+                        if x > after.get(to, -1.0):
+                            after[to] = x
+            best = after
+        return max(best.values())
 
     def features(self, text: str) -> tuple[float, float]:
         if not self.suspicious(text):
@@ -132,7 +222,8 @@ class Grammar:
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    """Whether a row is kept for judging; a row without an id isn't."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -164,7 +255,7 @@ def _arc_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_arcs(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Arcs with significantly more toxic than clean documents, at most LEXICON of them, and the seeds."""
+    """Arcs with significantly more toxic than clean documents of the bounded sample, and the seeds."""
     weights = {w: SEED_WEIGHT for w in SEEDS}
     if not n_toxic or not n_clean:
         return weights
@@ -180,16 +271,14 @@ def learn_arcs(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float
         .groupBy("arc").agg(F.sum("toxic").cast("double").alias("a"), F.sum("clean").cast("double").alias("b"))
         .where(F.col("a") >= max(3.0, LEAST_SHARE * n1)).select("arc", "a", g2.alias("g2"), odds.alias("odds"))
         .where((F.col("g2") >= LEAST_G2) & (F.col("odds") >= LEAST_ODDS))
-        .orderBy(F.desc("g2"), "arc").limit(LEXICON)
     )
-    rows = found.collect()
+    rows = sorted(found.collect(), key=lambda r: r.arc)
     # A beginning is kept only where no single longer arc explains most of what it accepts.
     longer: dict[str, float] = {}
     for r in rows:
         word = r.arc.removeprefix("^")
-        for k in PREFIXES:
-            if len(word) > k or (len(word) == k and r.arc[0] != "^"):
-                longer["^" + word[:k]] = max(longer.get("^" + word[:k], 0.0), r.a)
+        for k in range(LEAST_PREFIX, len(word) + (r.arc[0] != "^")):
+            longer["^" + word[:k]] = max(longer.get("^" + word[:k], 0.0), r.a)
     return weights | {r.arc: round(r.odds, 6) for r in rows if longer.get(r.arc, 0.0) < 0.8 * r.a}
 
 
@@ -236,7 +325,7 @@ class Model:
         return Model(weights, fit_curve(rows[["f0", "f1"]].to_numpy(float), rows["toxic"].to_numpy(float)))
 
     def score(self, docs: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
-        """`docs` with a column `score` (0..1); all other columns stay."""
+        """`docs` with a column `score` (0..1), which takes the place of one so named; all other columns stay."""
         weights, beta = self.weights, [float(b) for b in self.beta]
 
         def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

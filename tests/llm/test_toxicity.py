@@ -1,3 +1,8 @@
+import itertools
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import toxicity as T
@@ -14,6 +19,38 @@ def test_grammar_scores_clauses_not_words():
     assert g.features("") == (0.0, 0.0) and g.features("All is well. Not at all!") == (0.0, 0.0)
 
 
+def all_paths(grammar, words):
+    """The heaviest of all readings of a clause, each machine stepped on its own."""
+    best = 0.0
+    for path in itertools.product(*(grammar.readings(w) for w in words)):
+        total, states = 0.0, [0] * len(T.MACHINES)
+        for symbol, weight in path:
+            ways = [m.arcs[q, symbol] for m, q in zip(T.MACHINES, states, strict=True)]
+            assert all(len(w) == 1 for w in ways)
+            states = [w[0][0] for w in ways]
+            total += math.prod(w[0][1] for w in ways) * (weight + sum(w[0][2] for w in ways))
+        best = max(best, total)
+    return best
+
+
+def test_best_path_equals_enumeration_of_all_paths():
+    g = T.Grammar({"idiot": 3.0, "^vequ": 4.0, "kill": 1.0, "^kil": 0.5, "burn": 6.0, "fool": 0.3})
+    r = random.Random(2)
+    words = ["idiot", "vequance", "kill", "killer", "burn", "fool", "you", "them", "not", "said", "plain", "other", "hurt"]
+    for _ in range(2000):
+        clause = r.choices(words, k=r.randint(0, 9))
+        assert g.clause(clause) == pytest.approx(all_paths(g, clause)), clause
+    assert len({q for q, _ in g.arcs}) > 50 and all(len(v) == 1 for v in g.arcs.values())
+
+
+def test_machines_one_by_one():
+    g = T.Grammar({"idiot": 4.0})
+    assert g.clause(["idiot"]) == 4.0 and g.clause(["idiot", "you"]) == 4.5 and g.clause(["you", "a", "b", "idiot"]) == 5.0 and g.clause(["you", "a", "b", "c", "idiot"]) == 4.0
+    assert g.clause("kill a b c you".split()) == 2.0 and g.clause("kill a b c d you".split()) == 0.0
+    assert g.clause("not idiot".split()) == 1.0 and g.clause("not a b c idiot".split()) == 4.0
+    assert g.clause("he said kill you".split()) == 1.0
+
+
 def test_learns_words_and_beginnings(spark):
     rows = [(i, f"some words zlor{'abcdefgh'[i % 8]}x stand{i} here" if i % 4 == 0 else f"some other words stand{i} here") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -29,6 +66,16 @@ def test_edges(spark):
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert sorted(r.score for r in got)[-1] > 0.5 and sum(r.score < 0.5 for r in got) == 3
     assert T.Model.train(docs.limit(0), empty).score(docs.limit(0)).count() == 0
+    assert [r[0] for r in docs.select(T.held_out()).collect()].count(None) == 0
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long = "plain words of no interest. " * 40_000
+    docs = spark.createDataFrame([(1, long, 5, 1), (2, long + "you idiot, you scum", 6, 2)], "doc_id long, text string, score int, toxic int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in T.Model.train(docs, labels).score(docs).collect()}
+    assert got[1].score < 0.5 < got[2].score and (got[1].toxic, got[2].toxic) == (1, 2)
+    assert T.Model.train(docs, labels).score(docs, score="s").columns == [*docs.columns, "s"]
 
 
 def test_held_out_accuracy(spark):
