@@ -19,7 +19,8 @@ there is as much of it as of all text outside, the branches around it aren't noi
 
 A null html counts as empty and gives an empty text; a null url or one without a host counts as
 host ''. Pages with equal html count once in the tree. Unclosed and stray tags are tolerated.
-Rows are kept one to one, repeated ones too; extra columns are carried along by `extract`.
+Rows are kept one to one, repeated ones too; extra columns are carried along by `extract`, which drops
+`html` and adds `text` (or takes the place of a column so named).
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attr>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)[^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: one attribute after the other, so that names inside values and parts of names don't count
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -63,7 +65,11 @@ _KEEP_TAGS = frozenset("html body article main".split())
 
 
 def _attributes(attr: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(attr)} if attr.strip() else {}
+    out: dict[str, str] = {}
+    if attr and not attr.isspace():
+        for m in _ATTR.finditer(attr):
+            out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())  # of equal names the first counts
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, str, bool, int, str]]:
@@ -158,25 +164,30 @@ def node_of(path: str, part: int) -> str:
     return f"+{path}" if part else path
 
 
-def _size(found: list[tuple]) -> int:
-    return sum(len(b[1]) for b in found)
+Piece = tuple[int, str, bool, int]  #: hash of a block's node, its text, whether it is noise by name, its part
 
 
-def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
-    """Blocks of the article, joined by line feeds; `low`: nodes of low importance on the page's host."""
-    found = [b for b in blocks(page) if not b[2]]
-    left = [b for b in found if node_of(b[0], b[3]) not in low]
+def choose(pieces: list[Piece], low: frozenset[int] = frozenset()) -> str:
+    """The article's blocks, joined by line feeds; `low`: nodes of low importance on the page's host."""
+    size = lambda found: sum(len(b[1]) for b in found)
+    found = [b for b in pieces if not b[2]]
+    left = [b for b in found if b[0] not in low]
     if not any(b[3] for b in left):
         inner = [b for b in found if b[3]]
-        left = inner if _size(inner) >= _size(left) else left
+        left = inner if size(inner) >= size(left) else left
     for part in (2, 1):
         inner = [b for b in left if b[3] >= part]
-        if inner and 2 * _size(inner) >= _size(left):
+        if inner and 2 * size(inner) >= size(left):
             left = inner
             break
     return "\n".join(b[1] for b in left)
 
 
+def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
+    """Main text of one page; `low`: names of nodes of low importance."""
+    return choose([(_hash(node_of(path, part)), text, noise, part) for path, text, noise, part, _ in blocks(page)], frozenset(map(_hash, low)))
+
+
 # --- the style tree ----------------------------------------------------------------------------------------------
 
 
@@ -188,32 +199,38 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, content, style): both importances of every style node that isn't noise by name."""
-
-    def leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for host, page in zip(pdf["host"], pdf["html"], strict=True):
-                found, number = blocks(page), _hash(page)
-                children: dict[str, list[str]] = {}
-                for path, _, _, _, parent in found:
-                    children.setdefault(parent, []).append(path)
-                styles = {parent: _hash("|".join(dict.fromkeys(paths))) for parent, paths in children.items()}
-                nodes: dict[str, tuple[int, set[int]]] = {}
-                for path, text, noise, part, parent in found:
-                    if not noise:
-                        nodes.setdefault(node_of(path, part), (styles[parent], set()))[1].add(_hash(text))
-                rows += [(host, node, number, style, sorted(contents)) for node, (style, contents) in nodes.items()]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = {"host": object, "path": object, "page": "int64", "style": "int64", "contents": object}
-            yield pd.DataFrame({k: pd.Series(v, dtype=kind) for (k, kind), v in zip(kinds.items(), cols, strict=True)})
-
-    # A page has one style for a node, so the counts of a node's styles add up to its pages.
-    seen = pages.mapInPandas(leaves, "host string, path string, page long, style long, contents array<long>").distinct()
-    node, d = ["host", "path"], F.col("d").cast("double")
-    styles = seen.groupBy(*node, "style").agg(F.count("*").alias("d")).groupBy(*node).agg(F.sum("d").alias("pages"), F.sum(d * F.log(d)).alias("x"))
-    contents = seen.select(*node, F.explode("contents").alias("content")).groupBy(*node, "content").agg(F.count("*").alias("d"))
+BLOCKS = "struct<texts:array<string>,nodes:array<long>,styles:array<long>,noise:array<boolean>,parts:array<int>,outer:array<boolean>>"
+
+
+def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Each page's blocks as parallel arrays; a block's style is its parent's sequence of distinct children."""
+    for column in pages:
+        rows = []
+        for page in column:
+            found = blocks(page)
+            children: dict[str, dict[str, None]] = {}
+            for path, _, _, _, parent in found:
+                children.setdefault(parent, {})[path] = None
+            styles = {parent: _hash("|".join(paths)) for parent, paths in children.items()}
+            rows.append(([b[1] for b in found], [_hash(node_of(b[0], b[3])) for b in found], [styles[b[4]] for b in found], [b[2] for b in found], [b[3] for b in found], [not b[3] for b in found]))
+        yield pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(("texts", "nodes", "styles", "noise", "parts", "outer"))})
+
+
+def _chosen(columns: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
+    for found, low in columns:
+        rows = zip(found["nodes"], found["texts"], found["noise"], found["parts"], low, strict=True)
+        yield pd.Series([choose(list(zip(map(int, n), t, x, p, strict=True)), frozenset(() if w is None else map(int, w))) for n, t, x, p, w in rows], dtype=object)
+
+
+def tree(parsed: DataFrame) -> DataFrame:
+    """(host, node, outer, pages, content, style): both importances of every style node, from (host, page, found)."""
+    # Pages with equal html count once. A page has one style for a node, so the counts of a node's styles add up to its pages.
+    once = parsed.select("host", "page", F.arrays_zip("found.nodes", "found.outer", "found.styles", F.transform("found.texts", lambda t: F.xxhash64(t))).alias("x")).dropDuplicates(["host", "page"])
+    x = once.select("host", F.transform("x", lambda b: F.struct(b["nodes"].alias("node"), b["outer"].alias("outer"), b["styles"].alias("style"), b["3"].alias("content"))).alias("x"))
+    node, d = ["host", "node", "outer"], F.col("d").cast("double")
+    part = lambda *names: x.select("host", F.explode(F.array_distinct(F.transform("x", lambda b: F.struct(*(b[n].alias(n) for n in names))))).alias("b")).select("host", "b.*")
+    styles = part("node", "outer", "style").groupBy(*node, "style").agg(F.count("*").alias("d")).groupBy(*node).agg(F.sum("d").alias("pages"), F.sum(d * F.log(d)).alias("x"))
+    contents = part("node", "outer", "content").groupBy(*node, "content").agg(F.count("*").alias("d"))
     contents = contents.groupBy(*node).agg(F.avg(F.log(d)).alias("h"))
     m = F.log(F.greatest("pages", F.lit(2)).cast("double"))
     shared = lambda x: F.when(F.col("pages") < 2, 1.0).otherwise(x)
@@ -221,22 +238,18 @@ def tree(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, text: str = "text") -> DataFrame:
-    """`pages` with the main text of each."""
-    host, page, gone = fresh(pages, "_host"), fresh(pages, "_html"), fresh(pages, "_low")
-    keyed = pages.withColumns({host: host_of(), page: F.coalesce(F.col("html").cast("string"), F.lit(""))})
-    scratch = Scratch(pages.sparkSession, "html")
-    nodes = tree(keyed.select(F.col(host).alias("host"), F.col(page).alias("html")))
+    """`pages` without `html`, with the main text of each. Pages are parsed once; what was parsed is a scratch table."""
+    host, page, found, gone = (fresh(pages, f"_{x}") for x in ("host", "page", "found", "low"))
+    scratch, source = Scratch(pages.sparkSession, "html"), F.coalesce(F.col("html").cast("string"), F.lit(""))
+    keyed = pages.withColumns({host: host_of(), page: F.xxhash64(source), found: F.pandas_udf(_parsed, BLOCKS)(source)}).drop("html")
+    parsed = scratch.keep(keyed, "parsed")
+    nodes = tree(parsed.select(F.col(host).alias("host"), F.col(page).alias("page"), F.col(found).alias("found")))
     content, style = F.col("content"), F.col("style")
-    unimportant = F.when(F.col("path").startswith("+"), F.greatest(content, style)).otherwise(GAMMA * content + (1 - GAMMA) * style) < LOW
-    low = nodes.where((F.col("pages") >= LEAST_PAGES) & unimportant).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
-    low = scratch.keep(low, "low").select(F.col("host").alias(host), F.col("low").alias(gone))
-
-    @F.pandas_udf("string")
-    def run(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, paths in columns:
-            yield pd.Series([main_text(h, frozenset(() if p is None else p)) for h, p in zip(page, paths, strict=True)], dtype=object)
-
-    return keyed.join(narrow(low), host, "left").withColumn(text, run(page, gone)).drop(host, page, gone)
+    unimportant = F.when(F.col("outer"), GAMMA * content + (1 - GAMMA) * style).otherwise(F.greatest(content, style)) < LOW
+    low = scratch.keep(nodes.where((F.col("pages") >= LEAST_PAGES) & unimportant).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "low")
+    size = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)) + F.count("*")).first()[0]  # nodes and hosts: what a broadcast would hold
+    joined = parsed.join(narrow(low.toDF(host, gone), size), host, "left")
+    return joined.withColumn(text, F.pandas_udf(_chosen, "string")(F.col(found), F.col(gone))).drop(host, page, found, gone)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ Poisson distribution with that mean at a number in [0, 1) made from the md5 of i
 seeds give equal mixes on any cluster; it is repeated by its count, and all copies are dealt
 over the partitions by the md5 of (seed, id, copy) and sorted by it: a global shuffle. Rates have
 no upper limit: one above MOST_RATE is split evenly into draws of that mean or less, each with an
-md5 of its own, and the count is their sum, which is Poisson with the whole rate.
+md5 of its own, and the count is their sum, which is Poisson with the whole rate. Where ids repeat or are
+null, the row's number decides which partition its copies go to, so one id never fills one task.
 
 Null sources are one source of their own (named by ''), null texts have no characters, null ids
 count as ''. Rows that share a doc_id get the same count. Sources that are absent from `weights`
 get weight 0 and their documents none; with no weights given, all sources weigh the same. An
-empty table stays empty. Extra columns are carried along; `copy` and `shuffle_key` are added
-(and take the place of columns so named).
+empty table stays empty. Extra columns are carried along; `copy` and `shuffle_key` are added, with
+underscores at the end where the input has columns so named.
 """
 
 from __future__ import annotations
@@ -73,22 +74,22 @@ def copies_of(seed: str, ids: F.Column, rate: F.Column, most: float = MOST_RATE)
     return F.when(rate <= most, poisson_count(unit_hash(F.lit(seed), ids), rate, last)).otherwise(several)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, source: str = "source", unit: str = "docs") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED, source: str = "source", unit: str = "docs", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`docs` repeated by their counts, with `copy` (from 1) and `shuffle_key`, dealt globally by that key."""
-    name, at, salt, n = fresh(docs, "_source"), fresh(docs, "_rate"), fresh(docs, "_salt"), fresh(docs, "_n")
+    name, at, salt, n, row, copy, key = (fresh(docs, x) for x in ("_source", "_rate", "_salt", "_n", "_row", "copy", "shuffle_key"))
     rate = rates(docs, weights, source, unit).toDF(name, at)
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keyed = docs.withColumn(name, F.coalesce(source, F.lit("")))
-    if rate.count() <= BROADCAST_ROWS:
+    if rate.count() <= broadcast_rows:
         keyed = keyed.join(F.broadcast(rate), name)
     else:  # more sources than a task should hold: the hot ones are salted, both sides alike
         salts = 64
-        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        keyed = keyed.join(rate.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), [name, salt]).drop(salt)
-    counted = keyed.withColumn(n, copies_of(seed, ids, F.col(at))).where(F.col(n) > 0)
-    copies = counted.drop("copy", "shuffle_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, name, at)
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ids, F.col("copy").cast("string"))))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        keyed = keyed.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        keyed = keyed.join(rate.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>"))), [name, salt]).drop(salt)
+    counted = keyed.withColumn(n, copies_of(seed, ids, F.col(at))).where(F.col(n) > 0).withColumn(row, F.monotonically_increasing_id())
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n, name, at)
+    dealt = copies.withColumn(key, F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ids, F.col(copy).cast("string"))))
+    return dealt.repartition(key, row).sortWithinPartitions(key, row).drop(row)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Documents are sets of 64-bit hashes of their distinct word shingles. Two sets of
 link when 100 * overlap >= 85 * union. The join is exact for every pair of hash sets (a 64-bit
 collision inside one document, about n^2 / 2^65, is the only thing it can't see):
 
-1. Equal sets collapse to one class, whose node is its smallest doc_id.
+1. Equal sets, found as neighbours in sorted order, collapse to one class, whose node is its smallest doc_id.
 2. Each class keeps an index prefix under one global order: shingles by hash, except that the
    most frequent ones (counted over all classes; at most HOT_MOST, which bounds the broadcast)
    come last. Linked sets share a shingle within their prefixes.
@@ -14,15 +14,17 @@ collision inside one document, about n^2 / 2^65, is the only thing it can't see)
    pivot takes over the pivot's answers: it is in the pivot's component, and a partner that was
    computed to be far from the pivot is skipped by the triangle inequality on set differences.
 5. Only sets of different components that meet in a list are left. In lists of rare shingles they
-   are paired. Sets that meet in lists of frequent shingles get a reference set X, and their
+   are paired. Sets that meet in lists of frequent shingles, or in any list of more than LIST_MOST
+   entries, get a reference set X, and their
    differences D = Y xor X from it; then the difference of Y and Z is |D_Y| + |D_Z| - 2 |D_Y and D_Z|,
    so two sets that are not both linked to X must share elements of D, at least a known number.
    Prefixes of D, rarest first and only of elements that occur twice, give the pairs; near copies
    with changes of their own share nothing there, however many they are.
 6. Pairs that survive a lower bound from 2,048 parity bits are verified on the whole sets.
 
-Null and empty texts have no shingles and link with nothing. Rows with a null doc_id get a null
-component. Rows that share a doc_id are one node. Extra columns are ignored.
+Null and empty texts have no shingles and link with nothing. Rows with a null doc_id have a size like
+others, but no component, and link with nothing. Rows that share a doc_id are one node. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +38,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import Scratch, WordHashes, components, narrow, read_table, shingles
+from helixframe.llm.common import Scratch, WordHashes, components, narrow, read_table, shingles, sorted_groups
 
 WORDS, NUM, DEN = 4, 85, 100
 HOT_DF = 8  #: shingles in more classes than this are ordered last
-HOT_MOST = 500_000  #: of which at most so many (4 MB); beyond it only the most frequent
+HOT_MOST = 500_000  #: of which at most so many (4 MB), the most frequent; the order is a matter of speed alone
+LIST_MOST = 64  #: entries of a list whose sets are paired with each other; longer ones go by differences
+REF_MOST, SALTS = 4_000_000, 32  #: shingles of all reference sets (32 MB) that are broadcast; beyond it the join is salted
 BITS = 2048
 
 
@@ -58,14 +62,16 @@ class Join:
     """One run: parameters, the session and its scratch tables."""
 
     def __init__(self, docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs, self.nameless = rows.where("doc_id is not null"), rows.where("doc_id is null")
         self.k, self.num, self.den = words, num, den
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "ngram")
 
     # -- sets, classes ------------------------------------------------------------------------------------------
 
-    def sets(self) -> DataFrame:
+    def sets(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, n, s1, s2, bits, lows): size, signature, parity bits and smallest shingles of each row's set."""
         k, num, den = self.k, self.num, self.den
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,24 +85,25 @@ class Join:
                         p = int(probe_length(np.array(len(s)), num, den))
                         parity = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=BITS) & 1
                         n.append(len(s))
-                        sig.append(xxhash.xxh3_128_digest(s.tobytes()))
+                        sig.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
                         bits.append(np.packbits(parity.astype(np.uint8)).tobytes())
                         lows.append(s[: p + p // 2 + 16].view(np.int64))
                     offsets = np.cumsum([0, *map(len, lows)]).astype(np.int32)
                     values = np.concatenate(lows) if lows else np.empty(0, np.int64)
+                    halves = np.array(sig).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                        ["doc_id", "n", "sig", "bits", "lows"],
+                        [b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
+                        ["doc_id", "n", "s1", "s2", "bits", "lows"],
                     )
 
-        return self.docs.mapInArrow(run, "doc_id long, n long, sig binary, bits binary, lows array<long>")
+        return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits binary, lows array<long>")
 
     def classes(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(sig, rep) of each class, and the rows of `sets` that stand for a class."""
-        classes = self.scratch.keep(sets.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
-        copies = sets.select("doc_id", "sig").join(classes.where("members > 1"), "sig").where("doc_id <> rep").select("doc_id", "sig").distinct()
-        copies = self.scratch.keep(copies, "copies")
-        return classes, sets.where("n > 0").join(narrow(copies), ["doc_id", "sig"], "left_anti")
+        """(doc_id, n, s1, s2, first_doc_id) of each row with shingles, and the rows of `sets` that stand for their class."""
+        rows = sets.where("n > 0")
+        members = sorted_groups(self.scratch, rows.select("doc_id", "n", "s1", "s2"), ["s1", "s2"], ["doc_id"], "classes").drop("repeated")
+        copies = self.scratch.keep(members.where("doc_id <> first_doc_id").select("doc_id", "s1", "s2").distinct(), "copies")
+        return members, rows.join(narrow(copies), ["doc_id", "s1", "s2"], "left_anti")
 
     # -- the order, prefixes, lists -----------------------------------------------------------------------------
 
@@ -210,8 +217,9 @@ class Join:
         e = lists.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
         e = e.select("token", "id", "n", "pos", "hot", "comp", self.block(F.col("n")).alias("blk"))
         sizes = e.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
-        return self.scratch.keep(e.join(main, "token"), "mixed")
+        main = sizes.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps"), F.sum("c").alias("entries")).where("comps > 1")
+        main = main.select("token", F.col("m.comp").alias("main"), (F.col("entries") > LIST_MOST).alias("long"))
+        return self.scratch.keep(e.join(main, "token").withColumn("hot", F.expr("hot or long")).drop("long"), "mixed")
 
     def rest(self, mixed: DataFrame) -> DataFrame:
         """(a, b): pairs of different components that meet in a list of a rare shingle."""
@@ -232,8 +240,13 @@ class Join:
         hot = mixed.where("hot").select("token", "id")
         refs = scratch.keep(self.references(hot), "refs")
         sets = scratch.keep(self.whole_sets(refs.select("id"), refs.count()), "hotsets")
-        x = sets.join(refs.where("id = ref").select("id"), "id", "left_semi").select(F.col("id").alias("ref"), F.col("s").alias("x"))
-        both = sets.join(refs, "id").join(x, "ref")
+        x = scratch.keep(sets.join(refs.where("id = ref").select("id"), "id", "left_semi").select(F.col("id").alias("ref"), F.col("s").alias("x")), "refsets")
+        both = sets.join(refs, "id")
+        if (x.agg(F.sum(F.size("x") + 2)).first()[0] or 0) <= REF_MOST:
+            both = both.join(F.broadcast(x), "ref")
+        else:  # one reference may belong to a third of all sets: both sides are salted
+            salted = x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            both = both.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["ref", "salt"]).drop("salt")
         d = both.select("ref", "id", F.size("s").cast("long").alias("n"), F.size("x").cast("long").alias("nx"), F.concat(F.array_except("s", "x"), F.array_except("x", "s")).alias("d"))
         d = d.withColumn("linked", (den + num) * F.size("d") <= (den - num) * (F.col("n") + F.col("nx")))
         d = scratch.keep(d, "differences")
@@ -305,10 +318,10 @@ class Join:
     # -- the whole ----------------------------------------------------------------------------------------------
 
     def run(self) -> DataFrame:
-        """(doc_id, n, sig, component_id) for every row with a doc_id."""
+        """(doc_id, n_shingles, component_id) for every row with a doc_id."""
         scratch = self.scratch
-        sets = scratch.keep(self.sets(), "sets")
-        classes, reps = self.classes(sets)
+        sets = scratch.keep(self.sets(self.docs), "sets")
+        members, reps = self.classes(sets)
         counts = reps.select(F.explode("lows").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         counts = scratch.keep(counts, "counts")
         hot = self.order(reps, counts)
@@ -332,9 +345,13 @@ class Join:
         more = self.verified(pairs, "2")
         comps = components(scratch, links.union(by_reference).union(more).select("a", "b"), "c2-")
 
-        slim = sets.select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        out = scratch.keep(slim.select("doc_id", F.col("n").alias("n_shingles"), "sig", F.coalesce("component", "rep", "doc_id").alias("component_id")), "out")
-        scratch.drop("sets", "classes", "copies", "counts", "short", "extra", "lists", "mixed", "low", "refs", "hotsets", "differences", "cores", "near", "answers", "pairs2", "links1", "links2")
+        # Each class's first row is the one that stands for it and knows its component; the others get it in sorted order.
+        known = members.drop("first_doc_id").join(comps.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+        known = sorted_groups(scratch, known.select("doc_id", "n", "s1", "s2", "component"), ["s1", "s2"], ["doc_id"], "known", carry="component")
+        found = known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first_component", "first_doc_id").alias("component_id"))
+        out = scratch.keep(found.union(sets.where("n = 0").select("doc_id", "n", "doc_id")), "out")
+        tables = "sets classes classes-ends copies counts short extra lists mixed low refs refsets hotsets differences cores near answers pairs2 links1 links2 known known-ends"
+        scratch.drop(*tables.split())
         hot.unpersist()
         # Rows that share a doc_id are one node, whatever their texts.
         same = out.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.max("component_id").alias("d")).where("c <> d")
@@ -346,9 +363,9 @@ class Join:
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = Join(docs).run().select("doc_id", "n_shingles", "component_id")
-    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return found.union(nameless)
+    join = Join(docs)
+    nameless = join.sets(join.nameless).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return join.run().union(nameless)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

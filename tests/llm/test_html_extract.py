@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -56,6 +59,53 @@ def test_boilerplate_inside_articles_goes_and_a_card_is_no_article(spark):
     assert got[205] == "Mirrored"
 
 
+def plain_tree(pages):
+    """host -> nodes of low importance, by definition, from whole pages in memory."""
+    hosts, low = {}, {}
+    for host, page in dict.fromkeys(pages):
+        hosts.setdefault(host, []).append(H.blocks(page))
+    for host, found in hosts.items():
+        nodes = {}
+        for page in found:
+            for path, _, _, part, parent in page:
+                style = tuple(dict.fromkeys(b[0] for b in page if b[4] == parent))
+                nodes.setdefault(H.node_of(path, part), []).append((style, frozenset(b[1] for b in page if H.node_of(b[0], b[3]) == H.node_of(path, part)), id(page)))
+        for node, seen in nodes.items():
+            seen = list({x[2]: x for x in seen}.values())
+            m = len(seen)
+            if m < H.LEAST_PAGES:
+                continue
+            spread = [sum(c in x[1] for x in seen) for c in set().union(*(x[1] for x in seen))]
+            content = 1 - sum(math.log(d) for d in spread) / len(spread) / math.log(m)
+            styles = Counter(x[0] for x in seen)
+            style = -sum(d / m * math.log(d / m) for d in styles.values()) / math.log(m)
+            if (max(content, style) if node[0] == "+" else H.GAMMA * content + (1 - H.GAMMA) * style) < H.LOW:
+                low.setdefault(host, set()).add(node)
+    return low
+
+
+def test_pages_without_article_depend_on_the_tree(spark):
+    r, rows = random.Random(3), []
+    for h in range(4):
+        strips = [f"<div class=s{'abc'[j]}><p>Strip {j} of host {h}</p></div>" for j in range(3)]
+        for i in range(r.choice([3, 9, 14])):
+            body = "".join(f"<p>Own sentence {r.random()} of {i}</p>" for _ in range(r.randint(1, 4)))
+            some = [x for x in strips if r.random() < 0.9]
+            page = "".join(some[:1]) + f"<div class=body>{body}</div>" + "".join(some[1:])
+            rows.append((len(rows), f"https://h{h}.example/{i}", page if r.random() < 0.8 else f"<article>{page}</article>"))
+    rows += [(1000, *rows[0][1:]), (1001, *rows[1][1:]), (1002, "https://h0.example/long", "<div class=body>" + "<p>Very long</p>" * 2_000 + "</div>")]
+    got = {x.page_id: x.text for x in H.extract(spark.createDataFrame([(*x, "c") for x in rows], "page_id long, url string, html string, _found string")).collect()}
+    low = plain_tree([(u.split("/")[2], page) for _, u, page in rows])
+    assert got == {i: H.main_text(page, frozenset(low.get(u.split("/")[2], ()))) for i, u, page in rows}
+    assert sum("Strip" in page and "Strip" not in got[i] for i, _, page in rows) > 10
+    assert got[0] == got[1000] and got[1002].count("Very long") == 2_000
+
+
+@pytest.mark.parametrize("page,text", [('<div class="layout no-sidebar"><p>Real text</p></div>', "Real text"), ('<p title="a hidden gem">Real text</p>', "Real text"), ('<article><p data-id="ad">Real</p><p>b</p></article>', "Real\nb"), ('<article><p class="search-term">Real</p></article>', "Real"), ("<main><p>intro outside</p><article><p>teaser</p></article></main>", "intro outside\nteaser"), ('<p data-class="ad" aria-label="class=ad">Real</p>', "Real"), ('<p class="ad">x</p><p>Real</p>', "Real"), ("<p hidden>x</p><p>Real</p>", "Real"), ("<p class=ad>x</p><p>Real</p>", "Real")])
+def test_attributes_are_told_apart(page, text):
+    assert H.main_text(page) == text
+
+
 def test_query_on_given_pages(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in H.op4_html_extraction(spark, sf).collect()}

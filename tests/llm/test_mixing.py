@@ -52,7 +52,28 @@ def test_same_seed_same_mix_and_clashing_columns(spark):
     docs = spark.createDataFrame([(i, "s", "t", 1, "r") for i in range(50)] + [(None, None, None, 2, None)], "doc_id long, source string, text string, copy int, rate string")
     a, b = ([tuple(r) for r in M.mix(docs).orderBy("shuffle_key").collect()] for _ in range(2))
     assert a == b
-    assert "rate" in M.mix(docs).columns
+    assert M.mix(docs).columns == [*docs.columns, "copy_", "shuffle_key"]
+    assert {r["copy"] for r in M.mix(docs).collect()} <= {1, 2} and {r.copy_ for r in M.mix(docs).collect()} >= {1, 2}
+
+
+def test_one_null_id_is_dealt_over_partitions(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('s', id % 2) as source", "'t' as text")
+    sizes = M.mix(docs).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in M.mix(docs).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert not sizes or max(sizes) < 0.5 * sum(sizes)
+
+
+def test_salted_join_and_shares_by_characters(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('s', if(id % 3 = 0, 0, id % 7)) as source", "repeat('x', cast(1 + id % 5 as int)) as text")
+    plain, salted = (sorted(tuple(r) for r in M.mix(docs, broadcast_rows=n).collect()) for n in (1000, 0))
+    assert plain == salted and plain
+    by = M.mix(docs, {"s0": 1, "s1": 3}, unit="chars").groupBy("source").agg(F.sum(F.length("text")).alias("n"))
+    n = {r.source: r.n for r in by.collect()}
+    assert set(n) == {"s0", "s1"} and n["s1"] / sum(n.values()) == pytest.approx(0.75, abs=0.05)
 
 
 def test_query_equals_sql(spark):

@@ -55,6 +55,22 @@ def corpus(seed, n=160):
     return rows
 
 
+def test_lists_beyond_the_limits_and_salted_references(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT_MOST", 3)
+    monkeypatch.setattr(N, "LIST_MOST", 4)
+    monkeypatch.setattr(N, "REF_MOST", 0)
+    rows = corpus(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.Join(spark.createDataFrame(rows, "doc_id long, text string")).run().collect()}
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_query_gives_rows_without_id_their_size(spark, tmp_path):
+    rows = [(None, "a b c d e"), (None, None), (3, "a b c d e"), (3, "a b c d e"), (2, ""), (9, "a B c D e")]
+    spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, s1 int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in N.op1_ngram_jaccard(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(None, 2, None), (None, 0, None), (3, 2, 3), (3, 2, 3), (2, 0, 2), (9, 2, 3)], key=repr)
+
+
 @pytest.mark.parametrize("k,num,den,seed", [(4, 85, 100, 1), (4, 85, 100, 2), (5, 80, 100, 3)])
 def test_components_equal_brute_force(spark, k, num, den, seed):
     rows = corpus(seed)
