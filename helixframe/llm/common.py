@@ -84,16 +84,17 @@ def sorted_groups(scratch: Scratch, rows: DataFrame, keys: list[str], order: lis
     `carry`, which may be null: the values of the first row with the same keys. Keys and order columns must not be null.
     With `distinct`, of rows equal in keys and order one is kept.
     Rows are range-partitioned by keys and order together, so a key of any share of all rows is spread
-    over as many partitions as it fills; a group that runs on from one partition into the next is put
-    together afterwards from its first rows in each, of which there are at most as many as partitions.
+    over as many partitions as it fills; groups that run on from one partition into the next are put together
+    from two more rows that each partition hands on: its first group and its last, with their first values.
     """
     columns, wanted = rows.columns, [*order, *([carry] if carry else [])]
     k, every = ([columns.index(c) for c in names] for names in (keys, [*keys, *order]))
     w = [columns.index(c) for c in wanted]
-    names = [*columns, "repeated", "lead", *(f"first_{c}" for c in wanted)]
+    names = [*columns, "repeated", "edge", *(f"first_{c}" for c in wanted)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, whole, firsts, groups, held = None, None, None, 0, None  # of the row before: its keys, its group's first values
+        last, whole, firsts, held = None, None, None, None  # of the row before: its keys, all of it, its group's first values
+        top, several = None, False
         for b in batches:
             if not b.num_rows:
                 continue
@@ -114,7 +115,7 @@ def sorted_groups(scratch: Scratch, rows: DataFrame, keys: list[str], order: lis
                 held[1][-1] |= not new[0]
                 yield finish(*held)
             at = np.maximum.accumulate(np.where(new, np.arange(len(x)), -1))
-            number = groups + np.cumsum(new)
+            top, several = top or b.slice(0, 1), several or bool(new[1:].any() or (last is not None and new[0]))
             source = at + 1  # 0: the group that goes on from the batch before
             values = []
             for j, i in enumerate(w):
@@ -122,16 +123,19 @@ def sorted_groups(scratch: Scratch, rows: DataFrame, keys: list[str], order: lis
                 values.append(pa.concat_arrays([before, b.column(i)]).take(pa.array(source)))
             repeated = ~new
             repeated[:-1] |= ~new[1:]
-            held = (b, repeated, number == 1, values)
-            last, firsts, groups = x[-1], [v[-1].as_py() for v in values], int(number[-1])
+            held = (b, repeated, values)
+            last, firsts = x[-1], [v[-1].as_py() for v in values]
         if held is not None:
             yield finish(*held)
+            if several:
+                yield finish(top, np.zeros(1, bool), [top.column(i) for i in w], True)
+            yield finish(b.slice(b.num_rows - 1), np.zeros(1, bool), [v.slice(len(v) - 1) for v in values], True)
 
-    def finish(b: pa.RecordBatch, repeated: np.ndarray, lead: np.ndarray, values: list[pa.Array]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(repeated), pa.array(lead), *values], names)
+    def finish(b: pa.RecordBatch, repeated: np.ndarray, values: list[pa.Array], edge: bool = False) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(repeated), pa.array(np.full(b.num_rows, edge)), *values], names)
 
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "repeated boolean", "lead boolean", *(f"`first_{c}` {types[c]}" for c in wanted)])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "repeated boolean", "edge boolean", *(f"`first_{c}` {types[c]}" for c in wanted)])
     sorted_rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     conf, size = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(size)
@@ -140,13 +144,11 @@ def sorted_groups(scratch: Scratch, rows: DataFrame, keys: list[str], order: lis
         found = scratch.keep(sorted_rows.mapInArrow(run, schema), name)
     finally:
         conf.set(size, before)
-    across = found.where("lead").select(*keys).distinct()
-    ends = found.select(*keys, *(f"first_{c}" for c in wanted)).join(F.broadcast(across), keys)  # one row a partition
-    ends = ends.groupBy(*keys).agg(F.min(F.struct(*(f"first_{c}" for c in wanted))).alias("_f"), F.count("*").alias("_c"))
-    ends = scratch.keep(ends, f"{name}-ends")
-    out = found.join(F.broadcast(ends), keys, "left")
+    ends = found.where("edge").groupBy(*keys).agg(F.min(F.struct(*(f"first_{c}" for c in wanted))).alias("_f"), F.count("*").alias("_c"))
+    ends = scratch.keep(ends.where("_c > 1"), f"{name}-ends")  # fewer rows than partitions
+    out = found.where("not edge").join(F.broadcast(ends), keys, "left")
     more = {f"first_{c}": F.when(F.col("_f").isNull(), F.col(f"first_{c}")).otherwise(F.col(f"_f.first_{c}")) for c in wanted}
-    return out.withColumns({"repeated": F.coalesce(F.col("_c") > 1, "repeated"), **more}).drop("lead", "_f", "_c")
+    return out.withColumns({"repeated": F.coalesce(F.col("_c") > 1, "repeated"), **more}).drop("edge", "_f", "_c")
 
 
 # --- words and shingles as 64-bit numbers ------------------------------------------------------------------------
