@@ -34,25 +34,48 @@ def richards_class(n: dict[str, Column]) -> Column:
     return F.when(path & benign, "VUS (conflicting)").when(p, "P").when(lp, "LP").when(b, "B").when(lb, "LB").otherwise("VUS")
 
 
+COMPUTATIONAL = ("PP3", "BP4", "BP7")
+PAIR_CAP = POINTS["Strong"]  #: most points that PM1 and PP3 may have together
+
+
+def weakened(pm1: int, pp3: int, cap: int = PAIR_CAP) -> tuple[int, int]:
+    """Points of PM1 and PP3 under the cap: each at its own or a weaker strength or dropped, with the largest sum, PM1 as strong as may be."""
+    tiers = (0, *POINTS.values())
+    pairs = [(m + p, m, p) for m in tiers if m <= pm1 for p in tiers if p <= pp3 if m + p <= cap]
+    _, m, p = max(pairs)
+    return m, p
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(variant, code, ...): distinct codes of each part, from its lines."""
-    li = P.table(spark, sf_dir, "lineitem").where("l_discount = 0.1")
-    i = (F.col("l_suppkey") + F.col("l_linenumber") * 5) % len(CODES)
-    return li.select(F.col("l_partkey").alias("variant"), i.cast("int").alias("i")).distinct().join(F.broadcast(code_table(spark)), "i").drop("i")
+    """(variant, code, points): the codes of each order, one a line; of a code that is given twice the first line counts."""
+    li = P.table(spark, sf_dir, "lineitem")
+    i, q = (F.col("l_suppkey") + F.col("l_linenumber") * 5) % len(CODES), F.col("l_quantity").cast("int")
+    given = li.select(F.col("l_orderkey").alias("variant"), i.cast("int").alias("i"), F.struct("l_linenumber", q.alias("q")).alias("at")).groupBy("variant", "i").agg(F.min("at").alias("at"))
+    # PM1 and PP3 may be given at other strengths than their own.
+    stated = F.when(F.col("code").isin("PM1", "PP3"), F.element_at(F.array(*(F.lit(POINTS[x]) for x in ("Supporting", "Moderate", "Strong"))), F.col("at.q") % 3 + 1)).otherwise(F.col("points"))
+    return given.join(F.broadcast(code_table(spark)), "i").select("variant", "code", stated.alias("points"))
 
 
 def query_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and both classes of each variant, with PM1 and PP3 capped together and computational evidence alone never benign."""
     e = evidence(spark, sf_dir)
-    tier = lambda s, d: F.count_if((F.col("strength") == s) & (F.col("direction") == d))
-    has = lambda c: F.max((F.col("code") == c).cast("int"))
+    own = lambda c: F.coalesce(F.max(F.when(F.col("code") == c, F.col("points"))), F.lit(0))
+    rest = ~F.col("code").isin("PM1", "PP3")
+    tiers = {"pvs": 8, "ps": 4, "pm": 2, "pp": 1, "bs": -4, "bp": -1}
     by = e.groupBy("variant").agg(
-        F.sum("points").alias("raw"), has("PM1").alias("pm1"), has("PP3").alias("pp3"), tier("VeryStrong", "P").alias("pvs"), tier("Strong", "P").alias("ps"), tier("Moderate", "P").alias("pm"),
-        tier("Supporting", "P").alias("pp"), tier("Strong", "B").alias("bs"), tier("Supporting", "B").alias("bp"), F.concat_ws(",", F.array_sort(F.collect_set("code"))).alias("codes"),
+        F.coalesce(F.sum(F.when(rest, F.col("points"))), F.lit(0)).alias("others"), own("PM1").alias("m"), own("PP3").alias("p"),
+        *(F.count_if(rest & (F.col("points") == x)).alias(n) for n, x in tiers.items()),
+        F.min(F.col("code").isin(*COMPUTATIONAL).cast("int")).alias("computational"), F.concat_ws(",", F.array_sort(F.collect_set("code"))).alias("codes"),
     )
-    n = {x: F.col(x) for x in ("pvs", "ps", "pm", "pp", "bs", "bp")}
-    # PM1 (2) and PP3 (1) together stay under the cap of 4; the cap bites only at higher strengths.
-    points = F.col("raw") - F.greatest(F.lit(0), F.when((F.col("pm1") == 1) & (F.col("pp3") == 1), F.lit(3 - 4)).otherwise(0))
-    return by.select("variant", "codes", points.alias("points"), points_class(points).alias("by_points"), richards_class(n).alias("by_rules"))
+    levels = (0, *POINTS.values())
+    table = {(m, p): weakened(m, p) for m in levels for p in levels}
+    capped = F.create_map(*(x for (m, p), (a, b) in table.items() for x in (F.lit(m * 16 + p), F.struct(F.lit(a).alias("m"), F.lit(b).alias("p")))))
+    by = by.withColumn("c", capped[F.col("m") * 16 + F.col("p")])
+    n = {x: F.col(x) + sum((F.col(f"c.{k}") == v).cast("int") for k in ("m", "p")) for x, v in tiers.items()}
+    points = F.col("others") + F.col("c.m") + F.col("c.p")
+    alone = lambda c: F.when((F.col("computational") == 1) & c.isin("B", "LB"), "VUS").otherwise(c)
+    was_capped = F.col("m") + F.col("p") > PAIR_CAP
+    return by.select("variant", "codes", points.alias("points"), alone(points_class(points)).alias("by_points"), alone(richards_class(n)).alias("by_rules"), was_capped.alias("capped"))
 
 
 def query_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +100,16 @@ def query_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ", ".join(f"({i}, '{c}', '{s}', '{d}', {POINTS[s] * (1 if d == 'P' else -1)})" for i, (c, s, d) in enumerate(CODES))
 SQL = {
     "agg25_classify": f"""WITH c(i, code, strength, direction, points) AS (VALUES {_VALUES}),
-e AS (SELECT DISTINCT l_partkey AS variant, (l_suppkey + l_linenumber * 5) % {len(CODES)} AS i FROM lineitem WHERE l_discount = 0.1),
-n AS (SELECT variant, CAST(sum(points) AS BIGINT) AS raw, array_to_string(list_sort(list(code)), ',') AS codes, max(CASE WHEN code = 'PM1' THEN 1 ELSE 0 END) AS pm1, max(CASE WHEN code = 'PP3' THEN 1 ELSE 0 END) AS pp3,
-  count(*) FILTER (strength = 'VeryStrong' AND direction = 'P') AS pvs, count(*) FILTER (strength = 'Strong' AND direction = 'P') AS ps, count(*) FILTER (strength = 'Moderate' AND direction = 'P') AS pm, count(*) FILTER (strength = 'Supporting' AND direction = 'P') AS pp,
-  count(*) FILTER (strength = 'Strong' AND direction = 'B') AS bs, count(*) FILTER (strength = 'Supporting' AND direction = 'B') AS bp FROM e JOIN c USING (i) GROUP BY 1),
+g AS (SELECT l_orderkey AS variant, (l_suppkey + l_linenumber * 5) % {len(CODES)} AS i, CAST(l_quantity AS INTEGER) AS q, row_number() OVER (PARTITION BY l_orderkey, (l_suppkey + l_linenumber * 5) % {len(CODES)} ORDER BY l_linenumber, l_quantity) AS rn FROM lineitem),
+e AS (SELECT variant, code, CASE WHEN code IN ('PM1', 'PP3') THEN [1, 2, 4][q % 3 + 1] ELSE points END AS x FROM g JOIN c USING (i) WHERE rn = 1),
+w AS (SELECT variant, code, x, coalesce(max(CASE WHEN code = 'PM1' THEN x END) OVER (PARTITION BY variant), 0) AS m, coalesce(max(CASE WHEN code = 'PP3' THEN x END) OVER (PARTITION BY variant), 0) AS p FROM e),
+k AS (SELECT variant, code, m + p > 4 AS capped, CASE WHEN m + p <= 4 THEN x WHEN code = 'PM1' THEN CASE m WHEN 4 THEN 4 WHEN 2 THEN 2 ELSE 0 END WHEN code = 'PP3' THEN CASE m WHEN 4 THEN 0 WHEN 2 THEN 2 ELSE 4 END ELSE x END AS x FROM w),
+n AS (SELECT variant, CAST(sum(x) AS BIGINT) AS raw, array_to_string(list_sort(list(code)), ',') AS codes, bool_and(code IN ('PP3', 'BP4', 'BP7')) AS comp, bool_or(capped) AS capped,
+  count(*) FILTER (x = 8) AS pvs, count(*) FILTER (x = 4) AS ps, count(*) FILTER (x = 2) AS pm, count(*) FILTER (x = 1) AS pp, count(*) FILTER (x = -4) AS bs, count(*) FILTER (x = -1) AS bp FROM k GROUP BY 1),
 q AS (SELECT *, (pvs >= 1 AND (ps >= 1 OR pm >= 2 OR (pm = 1 AND pp = 1) OR pp >= 2)) OR pvs >= 2 OR ps >= 2 OR (ps = 1 AND (pm >= 3 OR (pm = 2 AND pp >= 2) OR (pm = 1 AND pp >= 4))) AS p,
-  (pvs >= 1 AND pm = 1) OR (ps = 1 AND pm BETWEEN 1 AND 2) OR (ps = 1 AND pp >= 2) OR pm >= 3 OR (pm = 2 AND pp >= 2) OR (pm = 1 AND pp >= 4) AS lp, bs >= 2 AS b, (bs = 1 AND bp >= 1) OR bp >= 2 AS lb FROM n)
-SELECT variant, codes, raw AS points, CASE WHEN raw >= 10 THEN 'P' WHEN raw >= 6 THEN 'LP' WHEN raw >= 0 THEN 'VUS' WHEN raw >= -6 THEN 'LB' ELSE 'B' END AS by_points,
-  CASE WHEN (p OR lp) AND (b OR lb) THEN 'VUS (conflicting)' WHEN p THEN 'P' WHEN lp THEN 'LP' WHEN b THEN 'B' WHEN lb THEN 'LB' ELSE 'VUS' END AS by_rules FROM q""",
+  (pvs >= 1 AND pm = 1) OR (ps = 1 AND pm BETWEEN 1 AND 2) OR (ps = 1 AND pp >= 2) OR pm >= 3 OR (pm = 2 AND pp >= 2) OR (pm = 1 AND pp >= 4) AS lp, bs >= 2 AS b, (bs = 1 AND bp >= 1) OR bp >= 2 AS lb FROM n),
+r AS (SELECT *, CASE WHEN raw >= 10 THEN 'P' WHEN raw >= 6 THEN 'LP' WHEN raw >= 0 THEN 'VUS' WHEN raw >= -6 THEN 'LB' ELSE 'B' END AS x, CASE WHEN (p OR lp) AND (b OR lb) THEN 'VUS (conflicting)' WHEN p THEN 'P' WHEN lp THEN 'LP' WHEN b THEN 'B' WHEN lb THEN 'LB' ELSE 'VUS' END AS y FROM q)
+SELECT variant, codes, raw AS points, CASE WHEN comp AND x IN ('B', 'LB') THEN 'VUS' ELSE x END AS by_points, CASE WHEN comp AND y IN ('B', 'LB') THEN 'VUS' ELSE y END AS by_rules, capped FROM r""",
     "agg26_suggest": f"""WITH l AS (SELECT l_partkey, count(*) FILTER (l_returnflag = 'R') AS ac, count(*) * 100 AS an FROM lineitem GROUP BY 1),
 v AS (SELECT p_partkey AS variant, ac, an, CAST(ac AS DOUBLE) / an AS af, CASE WHEN p_size % 7 <> 0 THEN p_size / 50e0 END AS revel, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 100) / 200e0 END AS splice, CASE WHEN p_partkey % 4 <> 0 THEN CAST(ac AS DOUBLE) / an END AS faf FROM part LEFT JOIN l ON l_partkey = p_partkey)
 SELECT variant, CASE WHEN coalesce(CASE WHEN faf IS NOT NULL THEN faf > 0.05e0 ELSE af > 0.05e0 AND an >= {LEAST_CALLS} END, false) THEN 'BA1' ELSE concat_ws(',', CASE WHEN faf > 0.004e0 THEN 'BS1' END,

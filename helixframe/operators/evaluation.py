@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.operators.genotype import wilson
 from helixframe.plans import projections as P
 
-REPS = 200
+REPS = 1000
 KS = (1, 3, 10, 25)
 
 
@@ -48,18 +50,32 @@ def query_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(*(F.coalesce(x, F.lit("all")).alias(x) for x in ("split", "bucket", "mode")), "level", "n", "top10")
 
 
+def poisson_edges(mean: float = 1.0, tail: float = 1e-16) -> list[float]:
+    """Cumulative probabilities of a Poisson number, up to where less than `tail` is left."""
+    out, term, total, k = [], math.exp(-mean), 0.0, 0
+    while 1 - total > tail and total + term > total:
+        total += term
+        out.append(total)
+        k += 1
+        term *= mean / k
+    return out
+
+
+EDGES = poisson_edges()
+
+
 def draws(rep: Column, cluster: Column) -> Column:
-    """Times a cluster is drawn in a replicate: Poisson of mean one at an md5 of both, by its first terms."""
+    """Times a cluster is drawn in a replicate: Poisson of mean one at an md5 of both, which is made once a row."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", rep.cast("string"), cluster.cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    edges = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    return sum((u >= e).cast("int") for e in edges)
+    count = lambda x: sum((F.when(x >= e, F.lit(1)).otherwise(0) for e in EDGES), F.lit(0))
+    return F.get(F.transform(F.array(u), count), F.lit(0))
 
 
 def query_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster bootstrap of the top-10 rate: whole diseases are drawn, REPS times; disease sums are made once."""
     by = cases(spark, sf_dir).groupBy("split", "disease").agg(F.count("*").alias("n"), F.count_if(F.col("pos") <= 10).alias("hits"))
-    reps = by.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPS)))).withColumn("m", draws(F.col("rep"), F.col("disease"))).where("m > 0")
-    rates = reps.groupBy("split", "rep").agg((F.sum(F.col("m") * F.col("hits")) / F.sum(F.col("m") * F.col("n"))).alias("rate"))
+    reps = by.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPS)))).withColumn("m", draws(F.col("rep"), F.col("disease")))
+    rates = reps.groupBy("split", "rep").agg(F.try_divide(F.sum(F.col("m") * F.col("hits")), F.sum(F.col("m") * F.col("n"))).alias("rate"))
     order = W.partitionBy("split").orderBy("rate", "rep")
     r = rates.withColumn("i", F.row_number().over(order))
     return r.groupBy("split").agg(F.round(F.max(F.when(F.col("i") == REPS // 40, F.col("rate"))), 6).alias("low"), F.round(F.max(F.when(F.col("i") == REPS - REPS // 40, F.col("rate"))), 6).alias("high"), F.round(F.avg("rate"), 6).alias("mean"))
@@ -109,7 +125,6 @@ def query_recheck_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CASES = """li AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_terms, min(l_partkey) AS disease, max(CAST(l_quantity AS INTEGER)) AS q FROM lineitem GROUP BY 1),
 cases AS (SELECT o_orderkey AS case_id, disease, CASE WHEN q % 10 <> 9 THEN greatest(q - 20, 1) END AS pos, n_terms, CASE WHEN disease % 2 = 0 THEN 'dev' ELSE 'held_out' END AS split, o_orderstatus AS mode FROM orders JOIN li ON o_orderkey = l_orderkey)"""
 _Z = "1.959963984540054e0"
-_EDGES = ("0.36787944117144233", "0.7357588823428847", "0.9196986029286058", "0.9810118431238462", "0.9963401531726563", "0.9994058151824183", "0.9999167588507119")
 SQL = {
     "agg27_top_k": f"""WITH {_CASES}, k(k) AS (VALUES {', '.join(f'({k})' for k in KS)}), e AS (SELECT split, k, disease, CASE WHEN pos <= k THEN 1 ELSE 0 END AS hit FROM cases, k),
 m AS (SELECT split, k, avg(r) AS macro FROM (SELECT split, k, disease, avg(hit) AS r FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2),
@@ -119,7 +134,7 @@ SELECT split, k, hits, n, round(p, 6) AS rate, round(greatest(0, (p + z2 / (2 *
 SELECT coalesce(split, 'all') AS split, coalesce(bucket, 'all') AS bucket, coalesce(mode, 'all') AS mode, CAST(grouping_id(split, bucket, mode) AS INTEGER) AS level, count(*) AS n, count(*) FILTER (pos <= 10) AS top10 FROM b GROUP BY CUBE (split, bucket, mode)""",
     "agg27_bootstrap": f"""WITH {_CASES}, d AS (SELECT split, disease, count(*) AS n, count(*) FILTER (pos <= 10) AS hits FROM cases GROUP BY 1, 2),
 u AS (SELECT d.*, rep, CAST(CAST('0x' || substr(md5(rep || ':' || disease), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS u FROM d, range(1, {REPS + 1}) t(rep)),
-m AS (SELECT *, {' + '.join(f"CASE WHEN u >= {e}e0 THEN 1 ELSE 0 END" for e in _EDGES)} AS m FROM u),
+m AS (SELECT *, {' + '.join(f"CASE WHEN u >= CAST('{e!r}' AS DOUBLE) THEN 1 ELSE 0 END" for e in EDGES)} AS m FROM u),
 r AS (SELECT split, rep, CAST(sum(m * hits) AS DOUBLE) / CAST(sum(m * n) AS DOUBLE) AS rate FROM m WHERE m > 0 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rate, rep) AS i FROM r)
 SELECT split, round(max(CASE WHEN i = {REPS // 40} THEN rate END), 6) AS low, round(max(CASE WHEN i = {REPS - REPS // 40} THEN rate END), 6) AS high, round(avg(rate), 6) AS mean FROM o GROUP BY 1""",
     "top06_split": f"""WITH {_CASES}, d AS (SELECT disease, count(*) AS n FROM cases GROUP BY 1)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from helixframe.operators import ranking
 from helixframe.plans import projections as P
 from helixframe.sources.scratch import keep
 
 TOP = 10
-UNSTATED, FLOOR = 0.5, 0.01  #: frequency where none is stated, and the least one
+FLOOR = 0.01  #: least frequency
 GENE_POOL = 200  #: best diseases of a case that may speak for a gene
 
 
@@ -28,7 +29,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def disease_closure(annotation: DataFrame, closed: DataFrame) -> DataFrame:
-    """(disease, ancestor, freq, unstated): positive annotations carried up; the highest known frequency of what lies below."""
+    """(disease, ancestor, freq): positive annotations carried up; the highest known frequency of what lies below."""
     positive = annotation.where("num > 0").select("disease", "term", (F.col("num") / F.col("den")).alias("freq"))
     return positive.join(closed, "term").groupBy("disease", "ancestor").agg(F.max("freq").alias("freq"))
 
@@ -40,26 +41,6 @@ def information_content(carried: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("ancestor", (-F.log(F.col("n").cast("double") / F.col("n_all").cast("double"))).alias("ic"))
 
 
-def matches(case_terms: DataFrame, closed: DataFrame, carried: DataFrame, ic: DataFrame) -> DataFrame:
-    """(case_id, term, disease, ic, exact, freq): each query term's most informative common ancestor with each disease.
-
-    Only ancestors that carry information are joined, so the root pairs nothing with everything.
-    """
-    informative = closed.join(ic.where("ic > 0"), "ancestor")
-    asked = case_terms.where("status = 'present'").join(informative, "term")
-    hit = asked.join(carried, "ancestor")
-    best = F.max(F.struct("ic", (F.col("ancestor") == F.col("term")).cast("int").alias("exact"), "freq"))
-    return hit.groupBy("case_id", "term", "disease").agg(best.alias("b")).select("case_id", "term", "disease", "b.ic", "b.exact", "b.freq")
-
-
-def ranked(scored: DataFrame, top: int = TOP) -> DataFrame:
-    """The best of each case: by score, exact matches, specificity, then disease id downwards; with their ties."""
-    by_case = W.partitionBy("case_id")
-    order = by_case.orderBy(F.desc("score"), F.desc("exact"), F.desc("specificity"), F.desc("disease"))
-    ties = F.count("*").over(W.partitionBy("case_id", "score"))
-    return scored.withColumns({"rank": F.row_number().over(order).cast("long"), "tied": ties}).where(F.col("rank") <= top)
-
-
 def _parts(spark: SparkSession, sf_dir: str):
     closed = closure(P.ontology_edges(spark, sf_dir))
     carried = keep(disease_closure(P.annotations(spark, sf_dir), closed), "carried")  # read by the counts and by the matches
@@ -80,37 +61,21 @@ def query_frequency_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carried.select("disease", "ancestor", F.round("freq", 6).alias("freq"))
 
 
-def resnik(m: DataFrame, case_terms: DataFrame) -> DataFrame:
-    """(case_id, disease, score, exact, specificity): best-match average over the query terms."""
-    asked = case_terms.where("status = 'present'").groupBy("case_id").agg(F.count("*").alias("nq"))
-    sums = m.groupBy("case_id", "disease").agg(F.sum("ic").alias("s"), F.sum("exact").alias("exact"), F.avg("ic").alias("specificity"))
-    return sums.join(asked, "case_id").select("case_id", "disease", F.round(F.col("s") / F.col("nq"), 6).alias("score"), "exact", F.round("specificity", 6).alias("specificity"))
-
-
 def query_resnik_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed, carried, ic, cases = _parts(spark, sf_dir)
-    return ranked(resnik(matches(cases, closed, carried, ic), cases))
+    return ranking.rank(cases, closed, carried, ic, TOP).drop("excluded_hits")
 
 
 def query_likelihood_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum over query terms of information content plus log frequency, not under 0; excluded terms the disease shows cost."""
     closed, carried, ic, cases = _parts(spark, sf_dir)
-    m = matches(cases, closed, carried, ic)
-    gain = F.greatest(F.lit(0.0), F.col("ic") + F.log(F.greatest("freq", F.lit(FLOOR))))
-    sums = m.groupBy("case_id", "disease").agg(F.sum(gain).alias("s"), F.sum("exact").alias("exact"), F.avg("ic").alias("specificity"))
-    shown = cases.where("status = 'excluded'").join(carried.withColumnRenamed("ancestor", "term"), "term")
-    cost = shown.groupBy("case_id", "disease").agg(F.sum(F.log(F.greatest(1 - F.col("freq"), F.lit(FLOOR)))).alias("cost"), F.count("*").alias("excluded_hits"))
-    scored = sums.join(cost, ["case_id", "disease"], "left").select(
-        "case_id", "disease", F.round(F.col("s") + F.coalesce("cost", F.lit(0.0)), 6).alias("score"), "exact",
-        F.round("specificity", 6).alias("specificity"), F.coalesce("excluded_hits", F.lit(0)).alias("excluded_hits"),
-    )
-    return ranked(scored)
+    return ranking.rank(cases, closed, carried, ic, TOP, ranking.likelihood(FLOOR))
 
 
 def query_gene_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes (brands) by the best of their diseases among the first GENE_POOL of a case, with the sum as support."""
     closed, carried, ic, cases = _parts(spark, sf_dir)
-    best = ranked(resnik(matches(cases, closed, carried, ic), cases), GENE_POOL)
+    best = ranking.rank(cases, closed, carried, ic, GENE_POOL)
     genes = P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("disease"), F.col("p_brand").alias("gene"))
     by = best.join(genes, "disease").groupBy("case_id", "gene").agg(
         F.max("score").alias("score"), (F.sum(F.round(F.col("score") * 1e6).cast("long")) / F.lit(1e6)).alias("support"), F.min("rank").alias("best_rank"), F.count("*").alias("diseases")

@@ -22,13 +22,15 @@ def query_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part type's brands as queries against part names: rank 0 exact, 1 prefix, 2 word, 3 part of a word; first five of each."""
+    """Words of part names and their beginnings and insides as queries against all part names: rank 0 exact, 1 prefix, 2 word, 3 substring; first five of each."""
     p = P.table(spark, sf_dir, "part")
     names = p.select(normalise(F.col("p_name")).alias("label")).distinct()
-    asked = names.select(F.explode(F.split("label", " ")).alias("q")).distinct()
-    # Candidates share the query's first three letters with a word of the label, an equi-join.
-    words = names.select("label", F.explode(F.split("label", " ")).alias("w")).withColumn("k", F.substring("w", 1, 3))
-    hits = asked.withColumn("k", F.substring("q", 1, 3)).join(words, "k").where(F.contains("w", "q")).select("q", "label").distinct()
+    words = names.select(F.explode(F.split("label", " ")).alias("w")).distinct()
+    asked = words.select(F.explode(F.array("w", F.substring("w", 1, 2), F.expr("substring(w, 2, 3)"))).alias("q")).where("q <> ''").distinct()
+    # Whatever contains a query contains its first piece of up to three letters at some place, an equi-join.
+    places = names.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("i"))
+    pieces = places.select("label", F.explode(F.array(*(F.substring("label", F.col("i"), F.lit(n)) for n in (1, 2, 3)))).alias("k")).distinct()
+    hits = asked.withColumn("k", F.substring("q", 1, 3)).join(pieces, "k").where(F.contains("label", "q")).select("q", "label").distinct()
     rank = F.when(F.col("label") == F.col("q"), 0).when(F.startswith("label", "q"), 1).when(F.array_contains(F.split("label", " "), F.col("q")), 2).otherwise(3)
     order = W.partitionBy("q").orderBy("rank", F.length("label") - F.length("q"), "label")
     return hits.withColumn("rank", rank).withColumn("n", F.row_number().over(order).cast("long")).where("n <= 5")
@@ -155,8 +157,9 @@ SQL = {
 SELECT array_to_string(list_transform(w, lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' AND NOT regexp_matches(x, '(ss|is|us)$') THEN x[:-2] ELSE x END), ' ') AS label, count(*) AS n FROM w GROUP BY 1""",
     "str02_label_search": """WITH w AS (SELECT DISTINCT string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM part),
 l AS (SELECT DISTINCT array_to_string(list_transform(w, lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' AND NOT regexp_matches(x, '(ss|is|us)$') THEN x[:-2] ELSE x END), ' ') AS label FROM w),
-q AS (SELECT DISTINCT unnest(string_split(label, ' ')) AS q FROM l),
-h AS (SELECT q, label, CASE WHEN label = q THEN 0 WHEN starts_with(label, q) THEN 1 WHEN list_contains(string_split(label, ' '), q) THEN 2 ELSE 3 END AS rank FROM q JOIN l ON len(list_filter(string_split(label, ' '), lambda x: x[1:3] = q[1:3] AND contains(x, q))) > 0)
+v AS (SELECT DISTINCT unnest(string_split(label, ' ')) AS v FROM l),
+q AS (SELECT v AS q FROM v UNION SELECT v[1:2] FROM v UNION SELECT v[2:4] FROM v WHERE v[2:4] <> ''),
+h AS (SELECT q, label, CASE WHEN label = q THEN 0 WHEN starts_with(label, q) THEN 1 WHEN list_contains(string_split(label, ' '), q) THEN 2 ELSE 3 END AS rank FROM q JOIN l ON contains(label, q) WHERE q <> '')
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, length(label) - length(q), label) AS n FROM h) WHERE n <= 5""",
     "str06_dice": """WITH a AS (SELECT DISTINCT p_name AS a FROM part), g AS (SELECT a, list_distinct(list_transform(range(1, length(a)), lambda i: substr(a, i, 2))) AS g FROM a),
 d AS (SELECT x.a, y.a AS b, round(2e0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)), 6) AS dice FROM g x JOIN g y ON x.a < y.a) SELECT * FROM d WHERE dice >= 0.6""",

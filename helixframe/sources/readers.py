@@ -55,10 +55,14 @@ def calls(records: DataFrame) -> DataFrame:
     """One row a record, ALT (k from 1) and sample (from 0), with the sample's fields by name."""
     each = records.select("chrom", "pos", "ref", "fmt", "samples", F.posexplode("alts").alias("_k", "alt"))
     each = each.select("chrom", "pos", "ref", "alt", (F.col("_k") + 1).alias("k"), "fmt", F.posexplode("samples").alias("sample", "call"))
-    fields = F.map_from_arrays(F.slice("fmt", 1, F.least(F.size("fmt"), F.size(F.split("call", ":")))), F.slice(F.split("call", ":"), 1, F.least(F.size("fmt"), F.size(F.split("call", ":")))))
-    each = each.withColumn("f", fields)
-    gt = F.transform(F.split(F.col("f")["GT"], r"[/|]"), lambda a: F.when(a.rlike("^[0-9]+$"), a.cast("int")))
-    return each.select("chrom", "pos", "ref", "alt", "k", "sample", gt.alias("gt"), F.contains(F.col("f")["GT"], F.lit("|")).alias("phased"), F.expr("try_cast(f['DP'] AS int)").alias("dp"), F.expr("try_cast(f['GQ'] AS double)").alias("gq"), F.transform(F.split(F.col("f")["AD"], ","), lambda a: F.when(a.rlike("^[0-9]+$"), a.cast("int"))).alias("ad"))
+    # A sample's fields are split once and read by their place in FORMAT; a name FORMAT lacks, or a field that is left out, is null.
+    parts = F.split("call", ":")
+    wanted = {n: F.array_position("fmt", n).cast("int") for n in ("GT", "DP", "GQ", "AD")}
+    one = F.get(F.transform(F.array(parts), lambda f: F.struct(*(F.when(i > 0, F.get(f, i - 1)).alias(n) for n, i in wanted.items()))), F.lit(0))
+    each = each.select("chrom", "pos", "ref", "alt", "k", "sample", one.alias("f"))
+    numbers = lambda c, sep: F.transform(F.split(c, sep), lambda a: a.try_cast("int"))
+    gt = F.transform(F.split("f.GT", r"[/|]"), lambda a: F.when(~a.startswith("-") & ~a.startswith("+"), a.try_cast("int")))
+    return each.select("chrom", "pos", "ref", "alt", "k", "sample", gt.alias("gt"), F.contains("f.GT", F.lit("|")).alias("phased"), F.col("f.DP").try_cast("int").alias("dp"), F.col("f.GQ").try_cast("double").alias("gq"), numbers("f.AD", ",").alias("ad"))
 
 
 def table(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
