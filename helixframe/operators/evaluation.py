@@ -64,17 +64,23 @@ def poisson_edges(mean: float = 1.0, tail: float = 1e-16) -> list[float]:
 EDGES = poisson_edges()
 
 
-def draws(rep: Column, cluster: Column) -> Column:
-    """Times a cluster is drawn in a replicate: Poisson of mean one at an md5 of both, which is made once a row."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", rep.cast("string"), cluster.cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    count = lambda x: sum((F.when(x >= e, F.lit(1)).otherwise(0) for e in EDGES), F.lit(0))
-    return F.get(F.transform(F.array(u), count), F.lit(0))
+def unit(rep: Column, cluster: Column) -> Column:
+    """A number in [0, 1) from the md5 of replicate and cluster."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", rep.cast("string"), cluster.cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def draws(u: Column) -> Column:
+    """Times a cluster is drawn in a replicate: the Poisson number of mean one at `u`, looked for from the likeliest on."""
+    out = F.lit(len(EDGES))
+    for k in range(len(EDGES) - 1, -1, -1):
+        out = F.when(u < EDGES[k], F.lit(k)).otherwise(out)
+    return out
 
 
 def query_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster bootstrap of the top-10 rate: whole diseases are drawn, REPS times; disease sums are made once."""
     by = cases(spark, sf_dir).groupBy("split", "disease").agg(F.count("*").alias("n"), F.count_if(F.col("pos") <= 10).alias("hits"))
-    reps = by.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPS)))).withColumn("m", draws(F.col("rep"), F.col("disease")))
+    reps = by.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPS)))).select("*", F.explode(F.array(unit(F.col("rep"), F.col("disease")))).alias("u")).withColumn("m", draws(F.col("u")))  # a generator: u is made once
     rates = reps.groupBy("split", "rep").agg(F.try_divide(F.sum(F.col("m") * F.col("hits")), F.sum(F.col("m") * F.col("n"))).alias("rate"))
     order = W.partitionBy("split").orderBy("rate", "rep")
     r = rates.withColumn("i", F.row_number().over(order))

@@ -20,15 +20,17 @@ def chromosome(name: Column) -> Column:
 
 def parse_vcf(lines: DataFrame, value: str = "value") -> DataFrame:
     """Record lines (no headers) as columns, with `why` a line is rejected (null: it isn't)."""
-    c = F.split(value, "\t")
+    # A generator keeps the optimizer from copying the split into every column and filter that reads it.
+    names, c = lines.columns, F.col("_c")
+    lines = lines.select("*", F.explode(F.array(F.split(value, "\t"))).alias("_c"))
     part = lambda i: F.get(c, i)
-    pos = F.try_to_number(part(1), F.lit("S9999999999")).cast("long")
+    pos = part(1).try_cast("long")
     why = (
         F.when(F.size(c) < 8, "columns").when(pos.isNull(), "POS not an integer").when(pos < 1, "POS not 1-based")
         .when((part(3) == "") | (part(4) == ""), "empty REF or ALT").when(~part(3).rlike("(?i)^[ACGTUNRYSWKMBDHV]+$"), "REF not DNA")
     )
     return lines.select(
-        "*", part(0).alias("chrom_raw"), chromosome(part(0)).alias("chrom"), pos.alias("pos"), part(2).alias("id"), F.upper(part(3)).alias("ref"), F.split(part(4), ",").alias("alts"), part(5).alias("qual"),
+        *names, part(0).alias("chrom_raw"), chromosome(part(0)).alias("chrom"), pos.alias("pos"), part(2).alias("id"), F.upper(part(3)).alias("ref"), F.split(part(4), ",").alias("alts"), part(5).alias("qual"),
         part(6).alias("filter"), part(7).alias("info"), F.when(F.size(c) > 8, F.split(part(8), ":")).alias("fmt"), F.when(F.size(c) > 9, F.slice(c, F.lit(10), F.size(c))).alias("samples"), why.alias("why"),
     )
 
@@ -56,10 +58,10 @@ def calls(records: DataFrame) -> DataFrame:
     each = records.select("chrom", "pos", "ref", "fmt", "samples", F.posexplode("alts").alias("_k", "alt"))
     each = each.select("chrom", "pos", "ref", "alt", (F.col("_k") + 1).alias("k"), "fmt", F.posexplode("samples").alias("sample", "call"))
     # A sample's fields are split once and read by their place in FORMAT; a name FORMAT lacks, or a field that is left out, is null.
-    parts = F.split("call", ":")
-    wanted = {n: F.array_position("fmt", n).cast("int") for n in ("GT", "DP", "GQ", "AD")}
-    one = F.get(F.transform(F.array(parts), lambda f: F.struct(*(F.when(i > 0, F.get(f, i - 1)).alias(n) for n, i in wanted.items()))), F.lit(0))
-    each = each.select("chrom", "pos", "ref", "alt", "k", "sample", one.alias("f"))
+    each = each.select("chrom", "pos", "ref", "alt", "k", "sample", "fmt", F.explode(F.array(F.split("call", ":"))).alias("p"))
+    field = {n: F.array_position("fmt", n).cast("int") for n in ("GT", "DP", "GQ", "AD")}
+    one = F.struct(*(F.when(i > 0, F.get("p", i - 1)).alias(n) for n, i in field.items()))
+    each = each.select("chrom", "pos", "ref", "alt", "k", "sample", F.explode(F.array(one)).alias("f"))
     numbers = lambda c, sep: F.transform(F.split(c, sep), lambda a: a.try_cast("int"))
     gt = F.transform(F.split("f.GT", r"[/|]"), lambda a: F.when(~a.startswith("-") & ~a.startswith("+"), a.try_cast("int")))
     return each.select("chrom", "pos", "ref", "alt", "k", "sample", gt.alias("gt"), F.contains("f.GT", F.lit("|")).alias("phased"), F.col("f.DP").try_cast("int").alias("dp"), F.col("f.GQ").try_cast("double").alias("gq"), numbers("f.AD", ",").alias("ad"))
