@@ -75,9 +75,9 @@ def query_relative_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_ledger_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New purchases get ids after the highest that each user's errors have used: numbered per user, all at once."""
+    """New purchases get ids after the highest that each user's errors were ever given, gaps or not: numbered per user, all at once."""
     e = P.table(spark, sf_dir, "events")
-    used = e.where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("highest"))
+    used = e.where("event_type = 'error'").groupBy("user_id").agg(F.max(F.col("event_id") % 97).alias("highest"))
     new = e.where("event_type = 'purchase'").join(used, "user_id", "left")
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     return new.select("user_id", "event_id", F.concat(F.lit("E"), (F.coalesce("highest", F.lit(0)) + n).cast("string")).alias("eid"))
@@ -111,7 +111,7 @@ SELECT coalesce(b.user_id, w.user_id) AS user_id, CASE WHEN b.user_id IS NULL TH
   concat_ws(',', CASE WHEN b.n IS DISTINCT FROM w.n THEN 'n' END, CASE WHEN b.total IS DISTINCT FROM w.total THEN 'total' END, CASE WHEN b.kind IS DISTINCT FROM w.kind THEN 'kind' END) AS changed FROM b FULL JOIN w ON b.user_id = w.user_id""",
     "jn20_relative_change": f"""WITH {_SNAP}, k AS (SELECT CASE WHEN b.user_id IS NULL THEN 'appeared' WHEN w.user_id IS NULL THEN 'went' WHEN abs(b.total - w.total) > 0.2e0 * greatest(b.total, w.total) AND b.total < w.total THEN 'up'
   WHEN abs(b.total - w.total) > 0.2e0 * greatest(b.total, w.total) THEN 'down' ELSE 'steady' END AS kind FROM b FULL JOIN w ON b.user_id = w.user_id) SELECT kind, count(*) AS n FROM k GROUP BY 1""",
-    "win11_ledger_ids": """WITH u AS (SELECT user_id, count(*) AS highest FROM events WHERE event_type = 'error' GROUP BY 1)
+    "win11_ledger_ids": """WITH u AS (SELECT user_id, max(event_id % 97) AS highest FROM events WHERE event_type = 'error' GROUP BY 1)
 SELECT e.user_id, event_id, 'E' || (coalesce(highest, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id)) AS eid FROM events e LEFT JOIN u ON u.user_id = e.user_id WHERE event_type = 'purchase'""",
     "ups01_upsert": f"""WITH {_SNAP}, k AS (SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events GROUP BY 1)
 SELECT coalesce(b.user_id, w.user_id) AS user_id, coalesce(CASE WHEN w.n > 1 THEN w.kind END, b.kind) AS kind, coalesce(w.n, b.n) AS n, k.kinds FROM b FULL JOIN w ON b.user_id = w.user_id JOIN k ON k.user_id = coalesce(b.user_id, w.user_id)""",

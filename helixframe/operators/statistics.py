@@ -50,15 +50,27 @@ def query_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fisher(t, "segment")
 
 
+def poisson_upper(k: Column, mu: Column) -> Column:
+    """P(X >= k), summed from the term of k upwards, so that small tails keep their digits; a closed number of terms."""
+    terms = F.ceil(F.abs(mu - k) + 10 * F.sqrt(mu) + 60).cast("int")
+    first = F.exp(-mu + k * F.log(mu) - lgamma((k + 1).cast("double")))
+    start = F.struct(first.alias("t"), first.alias("s"))
+
+    def step(acc: Column, j: Column) -> Column:
+        t = acc["t"] * mu / (k + j)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+    total = F.aggregate(F.sequence(F.lit(1), terms), start, step)["s"]
+    return F.when(k <= 0, 1.0).when(mu <= 0, 0.0).otherwise(F.least(total, F.lit(1.0)))
+
+
 def query_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned lines per supplier against the mean of all: upper Poisson tail and enrichment."""
+    """Returned lines per supplier against the mean of all: upper Poisson tail, its logarithm, and enrichment."""
     li = P.table(spark, sf_dir, "lineitem")
-    by = li.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_discount") == 0.05)).alias("k"))
-    by = by.withColumn("mu", F.avg("k").over(W.partitionBy(F.lit(1))))
-    below = by.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0)))).alias("i"))
-    term = F.exp(-F.col("mu") + F.col("i") * F.log("mu") - lgamma((F.col("i") + 1).cast("double")))
-    sums = below.groupBy("supplier", "k", "mu").agg(F.sum(F.when(F.col("i") < F.col("k"), term).otherwise(0.0)).alias("s"))
-    return sums.select("supplier", "k", F.round(F.greatest(1 - F.col("s"), F.lit(0.0)), 6).alias("p_upper"), F.round(F.col("k") / F.col("mu"), 6).alias("enrichment"))
+    by = li.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") % 10 == F.col("l_suppkey") % 10)).alias("k"))
+    by = by.crossJoin(F.broadcast(by.agg(F.avg("k").alias("mu"))))  # one row
+    by = by.withColumn("p", poisson_upper(F.col("k"), F.col("mu")))
+    return by.select("supplier", "k", F.round("p", 6).alias("p_upper"), F.round(F.log10(F.when(F.col("p") > 0, F.col("p"))), 6).alias("log10_p"), F.round(F.col("k") / F.col("mu"), 6).alias("enrichment"))
 
 
 def query_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,9 +181,9 @@ _WZ = "1.959963984540054e0"
 SQL = {
     "agg14_fisher": "WITH t AS (SELECT p_brand AS key, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS a, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS b, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F') AS c, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'F') AS d FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),\n" + _FISHER.format(key="brand"),
     "agg15_burden": "WITH y AS (SELECT l_orderkey, max(CASE WHEN l_discount >= 0.08 THEN 1 ELSE 0 END) AS y FROM lineitem GROUP BY 1), t AS (SELECT c_mktsegment AS key, count(*) FILTER (o_orderpriority = '1-URGENT' AND y = 1) AS a, count(*) FILTER (o_orderpriority = '1-URGENT' AND y = 0) AS b, count(*) FILTER (o_orderpriority = '5-LOW' AND y = 1) AS c, count(*) FILTER (o_orderpriority = '5-LOW' AND y = 0) AS d FROM orders JOIN y ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1),\n" + _FISHER.format(key="segment"),
-    "agg16_poisson": """WITH b AS (SELECT l_suppkey AS supplier, count(*) FILTER (l_returnflag = 'R' AND l_discount = 0.05) AS k FROM lineitem GROUP BY 1), m AS (SELECT *, avg(k) OVER () AS mu FROM b),
-e AS (SELECT *, unnest(range(0, greatest(k, 1))) AS i FROM m), s AS (SELECT supplier, k, mu, sum(CASE WHEN i < k THEN exp(-mu + i * ln(mu) - lgamma(i + 1e0)) ELSE 0 END) AS s FROM e GROUP BY 1, 2, 3)
-SELECT supplier, k, round(greatest(1 - s, 0), 6) AS p_upper, round(k / mu, 6) AS enrichment FROM s""",
+    "agg16_poisson": """WITH b AS (SELECT l_suppkey AS supplier, count(*) FILTER (l_returnflag = 'R' AND CAST(l_quantity AS BIGINT) % 10 = l_suppkey % 10) AS k FROM lineitem GROUP BY 1), m AS (SELECT *, avg(k) OVER () AS mu FROM b),
+e AS (SELECT *, unnest(range(k, k + CAST(ceil(abs(mu - k) + 10 * sqrt(mu) + 61) AS BIGINT))) AS i FROM m), s AS (SELECT supplier, k, mu, CASE WHEN k = 0 THEN 1 ELSE least(1, sum(exp(-mu + i * ln(mu) - lgamma(i + 1e0)))) END AS p FROM e GROUP BY 1, 2, 3)
+SELECT supplier, k, round(p, 6) AS p_upper, round(log10(p), 6) AS log10_p, round(k / mu, 6) AS enrichment FROM s""",
     "agg17_binomial": f"""WITH b AS (SELECT l_suppkey AS supplier, count(*) FILTER (l_linestatus = 'F') AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), e AS (SELECT *, unnest(range(0, k + 1)) AS i FROM b),
 s AS (SELECT supplier, k, n, sum(exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) - n * ln(2e0))) AS p FROM e GROUP BY 1, 2, 3),
 w AS (SELECT *, CAST(k AS DOUBLE) / n AS q, {_WZ} * {_WZ} AS z2 FROM s)

@@ -116,3 +116,38 @@ def test_stream_resumes_and_closes_windows(spark, tmp_path):
     events.run_once(spark, src, out, chk)
     got = spark.read.parquet(out).collect()
     assert [(r.event_type, r.n, r.total) for r in got] == [("view", 1, 1.5)]
+
+
+def test_log_gamma_against_the_standard_library(spark):
+    from helixframe.functions.special import lgamma
+
+    xs = [0.1, 0.5, 1.0, 2.0, 3.5, 10.0, 171.0, 1e4, 1e9]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in [*xs, 0.0]], "x double").select(lgamma(F.col("x"))).collect()]
+    assert got[:-1] == pytest.approx([math.lgamma(x) for x in xs], rel=1e-11, abs=1e-11) and got[-1] is None
+
+
+def test_poisson_tail_keeps_small_probabilities(spark):
+    from helixframe.operators.statistics import poisson_upper
+
+    rows = [(5, 1.2), (3, 1.0), (0, 4.0), (60, 2.0), (1000, 1000.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "k long, mu double").select(poisson_upper(F.col("k"), F.col("mu"))).collect()]
+    want = [sum(math.exp(-mu + i * math.log(mu) - math.lgamma(i + 1)) for i in range(k, k + 600)) for k, mu in rows]
+    assert got == pytest.approx(want, rel=1e-8) and 0 < got[3] < 1e-60
+    assert got[0] == pytest.approx(0.0077457883, abs=1e-10)
+
+
+def test_evidence_pairs_and_inheritance_classes(spark):
+    from helixframe.operators import acmg, trio
+
+    assert [acmg.weakened(*x) for x in ((2, 4), (1, 4), (4, 1), (2, 2), (1, 1), (4, 4))] == [(2, 2), (0, 4), (4, 0), (2, 2), (1, 1), (4, 0)]
+    rows = [
+        ("auto", "male", "het", "hom_ref", True, "hom_ref", True, "de_novo", "de_novo"), ("auto", "male", "het", "hom_ref", False, "hom_ref", True, "possible_de_novo", None),
+        ("auto", None, "het", "het", False, "hom_ref", True, "inherited_het", "maternal"), ("auto", None, "hom_alt", "het", False, "het", False, "hom_recessive", "biparental"),
+        ("x_nonpar", "male", "hom_alt", "het", False, "hom_ref", True, "x_hemizygous", "maternal"), ("x_nonpar", None, "hom_alt", "het", False, "het", False, "hom_recessive", None),
+        ("mt", None, "hom_alt", "hom_alt", False, None, None, "mitochondrial", "maternal"), ("auto", None, "het", None, None, None, None, "het", None), ("auto", None, "hom_alt", None, None, None, None, "hom", None),
+        ("auto", None, "het", "hom_ref", True, None, None, "het", None), ("y", "male", "hemi", None, None, "hemi", False, "y_hemizygous", "paternal"),
+    ]
+    df = spark.createDataFrame(rows, "ctype string, sex string, z string, mz string, m_ok boolean, fz string, f_ok boolean, cls string, origin string")
+    cls, origin = trio.inheritance(*(F.col(c) for c in ("ctype", "sex", "z", "mz", "m_ok", "fz", "f_ok")))
+    for r in df.select("*", cls.alias("c"), origin.alias("o")).collect():
+        assert (r.c, r.o) == (r.cls, r.origin), r
