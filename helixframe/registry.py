@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from helixframe.operators import acmg, annotation, cards, consensus, evaluation, genotype, intervals, ontology, resolve, statistics, structural, text, triage, trio
+from helixframe.operators import acmg, annotation, cards, consensus, evaluation, genotype, intervals, names, ontology, resolve, statistics, structural, text, triage, trio
 from helixframe.sources import queries as files
 from helixframe.streaming import events
 
-MODULES = (ontology, genotype, intervals, structural, annotation, resolve, triage, trio, consensus, statistics, acmg, text, evaluation, cards, events, files)
+MODULES = (ontology, genotype, intervals, structural, annotation, resolve, names, triage, trio, consensus, statistics, acmg, text, evaluation, cards, events, files)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "agg05_resnik_rank"

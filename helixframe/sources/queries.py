@@ -52,6 +52,45 @@ def query_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.as_cells(s.select(F.col("s_suppkey").alias("k"), F.array("s_nationkey", F.col("s_suppkey").cast("int")).alias("list"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name")))
 
 
+def query_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as SSSOM rows; exact matches counted by subject."""
+    c = P.table(spark, sf_dir, "customer")
+    rows = c.select(
+        F.concat(F.lit("MONDO:"), F.col("c_nationkey").cast("string")).alias("subject_id"), F.when(F.col("c_custkey") % 3 == 0, "skos:exactMatch").otherwise("skos:broadMatch").alias("predicate_id"),
+        F.concat(F.lit("OMIM:"), (F.col("c_custkey") % 90).cast("string")).alias("object_id"),
+    )
+    return readers.mappings(rows).groupBy("subject").agg(F.count("*").alias("n"), F.min("object").alias("first"))
+
+
+def query_survival_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as rows of text in the coding 1/2, read back as 0/1."""
+    li = P.table(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_quantity").cast("string").alias("time"), F.when(F.col("l_returnflag") == "R", "2").otherwise("1").alias("event"), F.col("l_linestatus").alias("arm"))
+    return readers.survival(rows, group="arm").groupBy("grp", "time").agg(F.count("*").alias("n"), F.sum("event").cast("long").alias("events"))
+
+
+def query_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as tabular hits, with comments and short lines; the best hit a query."""
+    li = P.table(spark, sf_dir, "lineitem")
+    s = lambda c: F.col(c).cast("string")
+    fields = [s("l_orderkey"), s("l_partkey"), s("l_quantity"), *[s("l_linenumber")] * 7, F.lit("1e-5"), s("l_suppkey")]
+    hit = F.concat_ws("\t", *fields)
+    line = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("# "), hit)).when(F.col("l_linenumber") == 6, F.concat_ws("\t", *fields[:5])).otherwise(hit)
+    hits = readers.read_blast(li.select(line.alias("value")))
+    best = F.max(F.struct("bits", "identity", "subject")).alias("b")
+    return hits.groupBy("query").agg(F.count("*").alias("n"), best).select("query", "n", F.col("b.bits").alias("bits"), F.col("b.identity").alias("identity"), F.col("b.subject").alias("subject"))
+
+
+def query_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier terms with alternative and replaced ids brought to the ones in use."""
+    s = P.table(spark, sf_dir, "supplier")
+    name = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    k = F.col("s_suppkey")
+    used = {"alt": s.where("s_suppkey % 4 = 1").select(name(k).alias("alt"), name(k + 3).alias("term")), "replaced": s.where("s_suppkey % 6 = 1").select(name(k).alias("alt"), name(k + 5).alias("by"))}
+    ids = P.table(spark, sf_dir, "lineitem").select(name(F.col("l_suppkey")).alias("term"))
+    return readers.resolve(ids, "term", used).groupBy("term").agg(F.count("*").alias("n"))
+
+
 _V = """v AS (SELECT CASE l_partkey % 25 WHEN 23 THEN 'X' WHEN 24 THEN 'MT' ELSE CAST(l_partkey % 25 AS VARCHAR) END AS chrom, l_linestatus = 'F' AS f, l_returnflag AS r, l_linenumber AS ln, CAST(l_quantity AS BIGINT) AS q,
   CASE WHEN l_linenumber = 7 THEN 'POS not an integer' WHEN l_suppkey = 0 OR l_orderkey < 1 THEN 'POS not 1-based' WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN 'REF not DNA' ELSE 'ok' END AS why FROM lineitem)"""
 SQL = {
@@ -64,6 +103,16 @@ p AS (SELECT disease, term, sum(CASE WHEN ln = 4 THEN 0 WHEN ln > 5 THEN n END)
 k AS (SELECT *, greatest(coalesce(CAST(c AS DOUBLE) / CAST(m AS DOUBLE), 0), coalesce(s, 0)) AS known FROM p)
 SELECT disease, term, round(CASE WHEN known > 0 THEN known ELSE 1 END, 6) AS weight, CASE WHEN known > 0 THEN 'stated' ELSE 'unstated' END AS kind FROM k WHERE known > 0 OR u = 1
 UNION ALL SELECT DISTINCT disease, term, NULL, 'absent' FROM a WHERE absent""",
+    "src18_mappings": "SELECT 'MONDO:' || c_nationkey AS subject, count(DISTINCT c_custkey % 90) AS n, min('OMIM:' || (c_custkey % 90)) AS first FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1",
+    "src16_survival": "SELECT l_linestatus AS grp, l_quantity AS time, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS events FROM lineitem GROUP BY 1, 2",
+    "src21_blast": """WITH h AS (SELECT CAST(l_orderkey AS VARCHAR) AS query, count(*) OVER (PARTITION BY l_orderkey) AS n, CAST(l_suppkey AS DOUBLE) AS bits, l_quantity AS identity, CAST(l_partkey AS VARCHAR) AS subject FROM lineitem WHERE l_linenumber < 6)
+SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY bits DESC, identity DESC, subject DESC) = 1""",
+    "jn12_resolved": """WITH k AS (SELECT s_suppkey AS a, s_suppkey + 3 AS t FROM supplier WHERE s_suppkey % 4 = 1 UNION ALL SELECT s_suppkey, s_suppkey + 5 FROM supplier WHERE s_suppkey % 6 = 1),
+m AS (SELECT 'S' || a AS a, min('S' || t) AS t FROM k GROUP BY 1)
+SELECT coalesce(t, 'S' || l_suppkey) AS term, count(*) AS n FROM lineitem LEFT JOIN m ON a = 'S' || l_suppkey GROUP BY 1""",
     "snk01_cells": "SELECT CAST(s_suppkey AS VARCHAR) AS k, s_nationkey || ';' || s_suppkey AS list, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END AS name FROM supplier",
 }
-QUERIES = {"src03_vcf": query_vcf, "src05_calls": query_calls, "agg03_pooling": query_pooling, "snk01_cells": query_cells}
+QUERIES = {
+    "src03_vcf": query_vcf, "src05_calls": query_calls, "agg03_pooling": query_pooling, "snk01_cells": query_cells,
+    "src16_survival": query_survival_rows, "src18_mappings": query_mappings, "src21_blast": query_blast, "jn12_resolved": query_resolved,
+}

@@ -145,9 +145,13 @@ def gene_list(lines: DataFrame, value: str = "value") -> DataFrame:
     return first.select("gene", F.row_number().over(W.orderBy("f")).alias("at"))
 
 
+def mappings(rows: DataFrame, predicate: str = "skos:exactMatch") -> DataFrame:
+    """(subject, object) of SSSOM rows, exact matches only."""
+    return rows.where(F.col("predicate_id") == predicate).select(F.col("subject_id").alias("subject"), F.col("object_id").alias("object")).distinct()
+
+
 def read_mappings(spark: SparkSession, path: str, predicate: str = "skos:exactMatch") -> DataFrame:
-    """(subject, object) of an SSSOM file, exact matches only."""
-    return table(spark, path).where(F.col("predicate_id") == predicate).select(F.col("subject_id").alias("subject"), F.col("object_id").alias("object")).distinct()
+    return mappings(table(spark, path), predicate)
 
 
 def read_banner_csv(spark: SparkSession, path: str, header: str) -> DataFrame:
