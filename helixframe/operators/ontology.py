@@ -72,6 +72,22 @@ def query_likelihood_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(cases, closed, carried, ic, TOP, ranking.likelihood(FLOOR))
 
 
+def _absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.annotations(spark, sf_dir).where("num = 0").select("disease", "term")
+
+
+def query_resnik_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of information with penalties of excluded terms and of curated absences that present terms contradict."""
+    closed, carried, ic, cases = _parts(spark, sf_dir)
+    return ranking.rank(cases, closed, carried, ic, TOP, ranking.resnik_with_penalties, _absent(spark, sf_dir))
+
+
+def query_likelihood_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood with its cap of excluded terms and the value of contradicted ones."""
+    closed, carried, ic, cases = _parts(spark, sf_dir)
+    return ranking.rank(cases, closed, carried, ic, TOP, ranking.likelihood_with_penalties, _absent(spark, sf_dir))
+
+
 def query_gene_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes (brands) by the best of their diseases among the first GENE_POOL of a case, with the sum as support."""
     closed, carried, ic, cases = _parts(spark, sf_dir)
@@ -109,6 +125,8 @@ m AS (SELECT case_id, term, disease, ic, exact, freq FROM (SELECT *, row_number(
 _RESNIK = """nq AS (SELECT case_id, count(*) AS nq FROM case_term WHERE status = 'present' GROUP BY 1),
 scored AS (SELECT case_id, disease, round(sum(ic) / any_value(nq), 6) AS score, CAST(sum(exact) AS BIGINT) AS exact, round(avg(ic), 6) AS specificity FROM m JOIN nq USING (case_id) GROUP BY 1, 2)"""
 _RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, exact DESC, specificity DESC, disease DESC) AS rank, count(*) OVER (PARTITION BY case_id, score) AS tied FROM scored)"""
+_CONTRA = """contra AS (SELECT q.case_id, n.disease, n.term AS pterm, min(q.term) AS qterm FROM case_term q JOIN closure c ON c.term = q.term JOIN annotation n ON n.term = c.ancestor AND n.num = 0
+  WHERE q.status = 'present' AND NOT EXISTS (SELECT 1 FROM carried k WHERE k.disease = n.disease AND k.ancestor = q.term) GROUP BY 1, 2, 3)"""
 _ALL = P.with_("edge", "closure", "annotation", "case_term", recursive=True) + ",\n" + _CARRIED
 
 SQL = {
@@ -120,6 +138,21 @@ SQL = {
 cost AS (SELECT q.case_id, k.disease, sum(ln(greatest(1 - k.freq, {FLOOR}))) AS cost, count(*) AS excluded_hits FROM case_term q JOIN carried k ON k.ancestor = q.term WHERE q.status = 'excluded' GROUP BY 1, 2),
 sums AS (SELECT case_id, disease, sum(greatest(0, ic + ln(greatest(freq, {FLOOR})))) AS s, CAST(sum(exact) AS BIGINT) AS exact, round(avg(ic), 6) AS specificity FROM m GROUP BY 1, 2),
 scored AS (SELECT case_id, disease, round(s + coalesce(cost, 0), 6) AS score, exact, specificity, coalesce(excluded_hits, 0) AS excluded_hits FROM sums LEFT JOIN cost USING (case_id, disease)),
+{_RANKED}\nSELECT case_id, disease, score, exact, specificity, excluded_hits, rank, tied FROM ranked WHERE rank <= {TOP}""",
+    "agg05_resnik_penalties": f"""{_ALL},\n{_MATCH},\n{_CONTRA},
+nq AS (SELECT case_id, count(*) AS nq FROM case_term WHERE status = 'present' GROUP BY 1),
+cost AS (SELECT q.case_id, k.disease, sum(coalesce(i.ic, 0) * k.freq) AS cost, count(*) AS excluded_hits FROM case_term q JOIN carried k ON k.ancestor = q.term LEFT JOIN ic i ON i.ancestor = q.term WHERE q.status = 'excluded' GROUP BY 1, 2),
+pen AS (SELECT case_id, disease, sum(coalesce(ic, 0)) AS pen FROM contra LEFT JOIN ic ON ancestor = pterm GROUP BY 1, 2),
+sums AS (SELECT case_id, disease, sum(ic) AS s, CAST(sum(exact) AS BIGINT) AS exact, round(avg(ic), 6) AS specificity FROM m GROUP BY 1, 2),
+scored AS (SELECT case_id, disease, round((s - coalesce(cost, 0) - coalesce(pen, 0)) / nq, 6) AS score, exact, specificity, coalesce(excluded_hits, 0) AS excluded_hits FROM sums JOIN nq USING (case_id) LEFT JOIN cost USING (case_id, disease) LEFT JOIN pen USING (case_id, disease)),
+{_RANKED}\nSELECT case_id, disease, score, exact, specificity, excluded_hits, rank, tied FROM ranked WHERE rank <= {TOP}""",
+    "agg06_likelihood_penalties": f"""{_ALL},\n{_MATCH},\n{_CONTRA},
+best AS (SELECT case_id, term, disease, max(ic + ln(greatest(freq, 0.02))) AS v FROM hit GROUP BY 1, 2, 3),
+low AS (SELECT DISTINCT case_id, qterm AS term, disease, true AS low FROM contra),
+total AS (SELECT case_id, disease, sum(CASE WHEN low THEN least(coalesce(v, 0), -2.3e0) ELSE v END) AS s FROM best FULL JOIN low USING (case_id, term, disease) GROUP BY 1, 2),
+cost AS (SELECT q.case_id, k.disease, sum(ln(1 - least(k.freq, 0.9e0))) AS cost, count(*) AS excluded_hits FROM case_term q JOIN carried k ON k.ancestor = q.term WHERE q.status = 'excluded' GROUP BY 1, 2),
+sums AS (SELECT case_id, disease, CAST(sum(exact) AS BIGINT) AS exact, round(avg(ic), 6) AS specificity FROM m GROUP BY 1, 2),
+scored AS (SELECT case_id, disease, round(s + coalesce(cost, 0), 6) AS score, exact, specificity, coalesce(excluded_hits, 0) AS excluded_hits FROM sums JOIN total USING (case_id, disease) LEFT JOIN cost USING (case_id, disease)),
 {_RANKED}\nSELECT case_id, disease, score, exact, specificity, excluded_hits, rank, tied FROM ranked WHERE rank <= {TOP}""",
     "agg07_gene_rank": f"""{_ALL},\n{_MATCH},\n{_RESNIK},\n{_RANKED},
 g AS (SELECT case_id, p_brand AS gene, max(score) AS score, CAST(sum(CAST(round(score * 1e6) AS BIGINT)) AS DOUBLE) / 1e6 AS support, min(rank) AS best_rank, count(*) AS diseases FROM ranked JOIN part ON p_partkey = disease WHERE rank <= {GENE_POOL} GROUP BY 1, 2)
@@ -136,6 +169,8 @@ QUERIES = {
     "gra04_frequency_propagation": query_frequency_propagation,
     "agg05_resnik_rank": query_resnik_rank,
     "agg06_likelihood_rank": query_likelihood_rank,
+    "agg05_resnik_penalties": query_resnik_penalties,
+    "agg06_likelihood_penalties": query_likelihood_penalties,
     "agg07_gene_rank": query_gene_rank,
     "jn10_not_contradiction": query_not_contradiction,
     "gra03_subtree": query_subtree,

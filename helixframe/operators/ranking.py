@@ -31,6 +31,9 @@ class Block:
         self.present: list[list[int]] = [[] for _ in self.cases]
         self.excluded: list[list[int]] = [[] for _ in self.cases]
         self.names, self.terms, places, terms = [], [], {}, {}
+        self.own: list[int] = []  # of each term its own place
+        self.over: list[list[int]] = []  # and those of all its ancestors
+        information: dict[int, float] = {}
 
         def place(name: str) -> int:
             if name not in places:
@@ -39,14 +42,19 @@ class Block:
             return places[name]
 
         for r in rows:
+            for x in r.up or []:
+                information[place(x.ancestor)] = x.ic
             if r.status == "excluded":
                 self.excluded[number[r.case_id]].append(place(r.term))
                 continue
             if r.term not in terms:
                 up = sorted(r.up or [], key=lambda x: (-x.ic, x.ancestor != r.term, x.ancestor))
                 terms[r.term] = len(self.terms)
-                self.terms.append([(place(x.ancestor), x.ic, int(x.ancestor == r.term)) for x in up])
+                self.terms.append([(place(x.ancestor), x.ic, int(x.ancestor == r.term)) for x in up if x.ic > 0])
+                self.own.append(place(r.term))
+                self.over.append([place(x.ancestor) for x in up])
             self.present[number[r.case_id]].append(terms[r.term])
+        self.ic = np.array([information.get(i, 0.0) for i in range(len(self.names))])
 
     def best(self, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each term and disease the best shared ancestor: its information (0: none), whether exact, its frequency."""
@@ -62,16 +70,57 @@ class Block:
                 f[t][new | tie] = freq[new | tie, a]
         return ic, exact, f
 
+    def contradicted(self, c: int, carried: np.ndarray, absent: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Of each present term the curated absences (row, ancestor) that it contradicts; each counts for its first term only.
 
-def resnik(block: Block, c: int, ic: np.ndarray, exact: np.ndarray, freq: np.ndarray, carried: np.ndarray) -> np.ndarray:
+        A disease that has the term, or something below it, isn't contradicted by it.
+        """
+        used = np.zeros(absent.shape, bool)
+        for t in self.present[c]:
+            over = self.over[t]
+            new = absent[:, over] & ~used[:, over] & np.isnan(carried[:, self.own[t]])[:, None]
+            used[:, over] |= new
+            yield new, over
+
+
+def resnik(block: Block, c: int, ic: np.ndarray, exact: np.ndarray, freq: np.ndarray, carried: np.ndarray, absent: np.ndarray | None) -> np.ndarray:
     """Mean information of the best shared ancestors."""
     return ic.sum(axis=0) / max(len(ic), 1)
 
 
+def resnik_with_penalties(block: Block, c: int, ic: np.ndarray, exact: np.ndarray, freq: np.ndarray, carried: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """Mean information, less that of excluded terms the disease shows (times their frequency) and of contradicted absences."""
+    cost = (block.ic[block.excluded[c]] * np.nan_to_num(carried[:, block.excluded[c]])).sum(axis=1)
+    for new, over in block.contradicted(c, carried, absent):
+        cost = cost + new @ block.ic[over]
+    return (ic.sum(axis=0) - cost) / max(len(ic), 1)
+
+
+#: parameters of the likelihood score (fixed values): least frequency, highest frequency an excluded term is believed with, value of a term the disease is curated not to have
+LEAST, CAP, ABSENT = 0.02, 0.9, -2.3
+
+
+def likelihood_with_penalties(block: Block, c: int, ic: np.ndarray, exact: np.ndarray, freq: np.ndarray, carried: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """Sum over present terms of the best information plus log frequency, 0 where nothing informative is shared.
+
+    A contradicted term is worth ABSENT at most; an excluded term the disease shows costs -ln(1 - frequency), the frequency at most CAP.
+    """
+    total = np.zeros(len(carried))
+    logs = np.log(np.maximum(np.nan_to_num(carried), LEAST))
+    for t, (new, _) in zip(block.present[c], block.contradicted(c, carried, absent), strict=True):
+        best = np.full(len(carried), -np.inf)
+        for a, value, _ in block.terms[t]:
+            best = np.where(np.isnan(carried[:, a]), best, np.maximum(best, value + logs[:, a]))
+        best = np.where(np.isinf(best), 0.0, best)
+        total += np.where(new.any(axis=1), np.minimum(best, ABSENT), best)
+    shown = np.nan_to_num(carried[:, block.excluded[c]])
+    return total + np.log(1 - np.minimum(shown, CAP)).sum(axis=1)
+
+
 def likelihood(floor: float):
     """Sum of information plus log frequency, not under 0 a term; excluded terms that the disease shows cost."""
 
-    def score(block: Block, c: int, ic: np.ndarray, exact: np.ndarray, freq: np.ndarray, carried: np.ndarray) -> np.ndarray:
+    def score(block: Block, c: int, ic: np.ndarray, exact: np.ndarray, freq: np.ndarray, carried: np.ndarray, absent: np.ndarray | None) -> np.ndarray:
         gain = np.where(ic > 0, np.maximum(0.0, ic + np.log(np.maximum(freq, floor))), 0.0).sum(axis=0)
         for a in block.excluded[c]:
             shown = ~np.isnan(carried[:, a])
@@ -105,16 +154,20 @@ class _Best:
 SCHEMA = "case_id string, disease long, score double, exact long, specificity double, excluded_hits long, same long"
 
 
-def rank(case_terms: DataFrame, closed: DataFrame, carried: DataFrame, ic: DataFrame, top: int, score=resnik) -> DataFrame:
+def rank(case_terms: DataFrame, closed: DataFrame, carried: DataFrame, ic: DataFrame, top: int, score=resnik, absent: DataFrame | None = None) -> DataFrame:
     """(case_id, disease, score, exact, specificity, excluded_hits, rank, tied): the `top` of each case.
 
     Order: score, exact matches, specificity (mean information of the matched terms), then disease id downwards; a disease
-    that shares nothing informative with a case isn't ranked. Scores are compared at six digits.
+    that shares nothing informative with a case isn't ranked. Scores are compared at six digits. `absent` (disease, term)
+    are curated absences, which the scores with penalties read.
     """
     spark = case_terms.sparkSession
-    up = closed.join(ic.where("ic > 0"), "ancestor")
+    up = closed.join(ic.where("ic > 0"), "ancestor") if absent is None else closed.join(ic, "ancestor", "left").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
     asked = case_terms.join(up, "term", "left").groupBy("case_id", "term", "status").agg(F.collect_list(F.when(F.col("ancestor").isNotNull(), F.struct("ancestor", "ic"))).alias("up"))
     diseases = carried.groupBy("disease").agg(F.collect_list("ancestor").alias("ancestors"), F.collect_list("freq").alias("freqs"))
+    if absent is not None:
+        curated = absent.groupBy("disease").agg(F.collect_set("term").alias("absents"))
+        diseases = diseases.join(curated, "disease", "left").withColumn("absents", F.coalesce("absents", F.array().cast("array<string>")))
     n = math.ceil(case_terms.agg(F.countDistinct("case_id")).first()[0] / CASES)
     found = None
     for i in range(max(n, 1)):
@@ -128,6 +181,14 @@ def rank(case_terms: DataFrame, closed: DataFrame, carried: DataFrame, ic: DataF
     return found.withColumns({"rank": F.row_number().over(order).cast("long"), "tied": tied}).where(F.col("rank") <= top).drop("same")
 
 
+def _places(lists: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and places of the names in `lists` that the block has, and which of all they are."""
+    at = pc.index_in(lists.flatten(), value_set=names)
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    return row[known], at.filter(pa.array(known)).to_numpy(), known
+
+
 def _scorer(shared, top: int, score):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
@@ -136,12 +197,15 @@ def _scorer(shared, top: int, score):
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 b = whole.slice(start, ROWS)
-                lists, freqs = b.column(1), b.column(2)
-                at = pc.index_in(lists.flatten(), value_set=names)
-                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                known = at.is_valid().to_numpy(zero_copy_only=False)
+                freqs = b.column(2)
+                row, at, known = _places(b.column(1), names)
                 carried = np.full((b.num_rows, len(names)), np.nan)
-                carried[row[known], at.filter(pa.array(known)).to_numpy()] = freqs.flatten().to_numpy()[known]
+                carried[row, at] = freqs.flatten().to_numpy()[known]
+                absent = None
+                if b.num_columns > 3:
+                    row, at, _ = _places(b.column(3), names)
+                    absent = np.zeros(carried.shape, bool)
+                    absent[row, at] = True
                 ic, exact, freq = block.best(carried)
                 ids = b.column(0).to_numpy().astype(np.float64)
                 for c, terms in enumerate(block.present):
@@ -152,7 +216,7 @@ def _scorer(shared, top: int, score):
                     some = hits > 0
                     if not some.any():
                         continue
-                    value = np.round(score(block, c, mine, exact[terms], freq[terms], carried), 6)
+                    value = np.round(score(block, c, mine, exact[terms], freq[terms], carried, absent), 6)
                     specificity = np.round(mine.sum(axis=0) / np.maximum(hits, 1), 6)
                     shown = (~np.isnan(carried[:, block.excluded[c]])).sum(axis=1)
                     best[c].add(np.column_stack([value, exact[terms].sum(axis=0), specificity, ids, shown])[some])
