@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import chat, decontam, html_extract, jpeg, line_dedup, mixing, ngram_join, secrets, suffix_dedup, toxicity
+from helixframe.llm import chat, decontam, html_extract, jpeg, line_dedup, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_secrets": secrets.op9_secrets,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_packing": packing.op11_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
