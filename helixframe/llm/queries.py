@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import chat, decontam, html_extract, jpeg, line_dedup, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
+from helixframe.llm import chat, collocations, decontam, html_extract, jpeg, line_dedup, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity, variants
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_packing": packing.op11_packing,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_spelling_variants": variants.ORACLE,
 }
