@@ -56,7 +56,7 @@ def rows_of(df):
 
 @pytest.mark.parametrize("slice_words", [3, 40, 20_000])
 def test_equals_all_pairs(spark, slice_words):
-    rows = made(1)
+    rows = made(1, n=800)
     want = brute(rows)
     got = variants.variants(spark.createDataFrame(rows, "doc_id long, text string"), slice_words=slice_words).collect()
     assert len(got) == len(want) > 200
@@ -73,7 +73,7 @@ def test_deep_chains_and_ties(spark):
     rows += [(7, "zzzzz " * 4 + "zzzzy " * 4 + "zzzzx " * 8)]
     got = rows_of(variants.variants(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == brute(rows)
-    assert ("jihgfk", "jihgf", "abcde") in {r[:3] for r in got} or len(got) > 5
+    assert ("jihgfk", "jihgf", "abcde") in {r[:3] for r in got}
 
 
 def test_odd_rows(spark):
