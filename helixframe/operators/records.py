@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import names, ontology
 from helixframe.plans import projections as P
 
-#: words that may follow an acronym without making it a phrase
-GENERIC = ("deficiency", "disease", "disorder", "syndrome", "type")
+HEADS = ("disease", "disorder", "syndrome")  #: nouns that a name of persons or letters may stand before
 BORDERLINE, EXPANDED = 44, 66  #: repeats of the recessive expansion: from here borderline, from here pathogenic (fixed values)
 
 
@@ -32,32 +32,46 @@ def allele_match(recorded: Column, ours: Column) -> Column:
     return F.when(a == b, "same").when(place(a) == place(b), "different").otherwise("unknown")
 
 
+@F.pandas_udf("string")
+def composed(names_: pd.Series) -> pd.Series:
+    """Unicode's compatibility composition (NFKC), which Spark SQL lacks."""
+    return names_.str.normalize("NFKC")
+
+
 def folded(name: Column) -> Column:
-    """A name without width, case, quotes, possessives, the American spelling of ae, and separators; null is empty.
+    """The tokens of a name run together; null is empty. A name with compatibility forms is to be `composed` before.
 
-    Full-width ASCII is folded by its code points; other compatibility forms stay, as Spark has no such normalisation.
+    Tokens are runs of digits and runs of letters, these with a possessive ending. Letters are lower-cased; the ending
+    goes, so does the last s of a word of five letters or more before one of HEADS; `ae` within a word becomes e. Numerals,
+    Roman ones too, that follow each other stay apart by a hyphen, whatever stood between them.
     """
-    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
-    t = F.lower(F.translate(F.coalesce(name, F.lit("")), wide + "　’‘", "".join(map(chr, range(0x21, 0x7F))) + " ''"))
-    t = F.regexp_replace(t, r"'s\b", "")
-    t = F.regexp_replace(t, r"\b([a-z]{4,})s(?=\s+(?:disease|syndrome)\b)", "$1")
-    t = F.regexp_replace(t, r"([a-z])ae", "$1e")
-    t = F.regexp_replace(t, r"(?<=\b[ivx0-9])\s*[、，,/;]\s*(?=[ivx0-9]+\b)", "|")
-    return F.regexp_replace(t, r"[\s\-_'\",.;:()\[\]{}/、。·]+", "")
+    t = F.translate(F.lower(F.coalesce(name, F.lit(""))), "’‘ʼ", "'''")
+    tokens = F.regexp_extract_all(t, F.lit(r"[0-9]+|\p{L}+(?:'s\b)?"), F.lit(0))
+    numeral = lambda x: F.coalesce(x.rlike("^(?:[0-9]+|[ivx]+)$"), F.lit(False))
+
+    def each(x: Column, i: Column) -> Column:
+        bare = F.regexp_replace(x, "'s$", "")
+        plural = (bare == x) & (F.length(x) > 4) & F.endswith(x, F.lit("s")) & F.coalesce(F.get(tokens, i + 1).isin(*HEADS), F.lit(False))
+        bare = F.when(plural, F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(bare)
+        apart = numeral(x) & (i > 0) & numeral(F.get(tokens, i - 1))
+        return F.concat(F.when(apart, "-").otherwise(""), F.substring(bare, 1, 1), F.replace(F.substring(bare, F.lit(2), F.length(bare)), F.lit("ae"), F.lit("e")))
+
+    return F.array_join(F.transform(tokens, each), "")
 
 
 def is_acronym(text: Column) -> Column:
-    """Whether a name is an acronym, alone or followed by generic words and numerals only.
+    """Whether a name is an acronym, alone or before nothing but HEADS, `type` and numerals.
 
-    An acronym is ASCII, of up to 8 characters, with two capitals or more and no more than one letter that isn't.
+    Its shape has capitals as A, small letters as a, digits as 0 and other ASCII signs as themselves: an acronym's
+    has up to 8 places, two A or more and one a at most.
     """
-    words = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+")
-    head = F.get(words, F.lit(0))
-    capitals, letters = F.length(F.regexp_replace(head, "[^A-Z]", "")), F.length(F.regexp_replace(head, "[^A-Za-z]", ""))
-    token = (head != "") & (F.length(head) <= 8) & ~head.rlike(r"[^\x00-\x7f]") & (capitals >= 2) & (capitals >= letters - 1)
-    rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    return token & F.forall(rest, lambda w: F.lower(w).isin(*GENERIC) | F.lower(w).rlike("^[0-9ivx]+[a-z]?$"))
-
+    parts = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+")
+    shape = F.get(parts, F.lit(0))
+    for letters, sign in (("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "0")):
+        shape = F.regexp_replace(shape, letters, sign)
+    formed = shape.rlike(r"^\p{ASCII}{1,8}$") & (F.regexp_count(shape, F.lit("A")) > 1) & (F.regexp_count(shape, F.lit("a")) < 2)
+    after = lambda w: F.lower(w).isin(*HEADS, "type") | F.lower(w).rlike("^(?:[0-9]+|[ivx]+)[a-z]?$")
+    return formed & F.forall(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), after)
 
 def log_probability(logits: Column, token: Column) -> Column:
     """Log of the softmax at `token` (from 0), shifted by the largest; null for an empty array or a token beyond it."""
@@ -118,13 +132,16 @@ def query_allele_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy((n % 3).cast("long").alias("kind"), allele_match(recorded, ours).alias("match")).agg(F.count("*").alias("n"))
 
 
-SPELLED = ["Gaucher’s Disease", "parkinsons disease", "beta-Thalassaemia (major)", "ＧＳＤ II,III", "CAD", "aHUS", "X-ALD", "GSD type 2", "MAD deficiency", "Cad", "CAD and more"]
-
-
 def query_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with a spelled name each: the folded form and whether it is an acronym."""
-    raw = F.get(F.array(*map(F.lit, SPELLED)), (F.col("p_partkey") % len(SPELLED)).cast("int"))
-    return P.table(spark, sf_dir, "part").groupBy(folded(raw).alias("folded"), is_acronym(raw).alias("acronym")).agg(F.count("*").alias("n"))
+    """Parts and orders' clerks as names of diseases in many spellings: the folded forms and how many are acronyms."""
+    first, second = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    place = lambda n: (F.col("p_partkey") % n).cast("int")
+    eponym = F.concat(F.initcap(first), F.element_at(F.array(*map(F.lit, ("’s", "'S", "s", ""))), place(4) + 1), F.lit(" "), second, F.element_at(F.array(*map(F.lit, (" Disease", "-syndrome", " ae"))), place(5) % 3 + 1))
+    listed = F.concat(F.upper(F.substring(first, 1, 3)), F.element_at(F.array(*map(F.lit, (" type ", "-", " disorder ", " with "))), place(4) + 1), F.lit("II, III/"), (F.col("p_partkey") % 7).cast("string"))
+    mixed = F.concat(F.upper(F.substring(first, 1, 1)), F.substring(second, 1, 2), F.upper(F.substring(second, 3, 2)), F.lit(" Syndrome"))
+    raw = F.when(place(3) == 0, eponym).when(place(3) == 1, listed).otherwise(mixed)
+    names_ = P.table(spark, sf_dir, "part").select(composed(raw).alias("raw"))
+    return names_.groupBy(folded(F.col("raw")).alias("folded")).agg(F.count_if(is_acronym(F.col("raw"))).alias("acronyms"), F.count("*").alias("n"))
 
 
 def query_log_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,12 +184,22 @@ def query_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuned(rows).select("candidate", *(F.round(c, 6).alias(c) for c in ("dev_top1", "dev_top10", "held_top1", "held_top10")))
 
 
-_FOLDED = ["gaucherdisease", "parkinsondisease", "betathalassemiamajor", "gsdiiiii", "cad", "ahus", "xald", "gsdtype2", "maddeficiency", "cad", "cadandmore"]
+_HEADS = ", ".join(f"'{h}'" for h in HEADS)
 SQL = {
     "set01_merged": """WITH f AS (SELECT l_orderkey AS k, l_suppkey % 6 AS id, min({'s': l_linenumber % 3, 'a': l_linenumber}) AS f FROM lineitem GROUP BY 1, 2),
 p AS (SELECT id, CAST(row_number() OVER (PARTITION BY k ORDER BY f.s, f.a, id) AS INTEGER) AS place FROM f) SELECT place, id, count(*) AS n FROM p WHERE place <= 3 GROUP BY 1, 2""",
     "jn17_allele_match": """SELECT CAST(l_linenumber % 3 AS BIGINT) AS kind, CASE WHEN l_suppkey % 5 <> l_partkey % 5 OR l_linenumber % 3 = 2 THEN 'unknown' WHEN l_linenumber % 3 = 0 THEN 'same' ELSE 'different' END AS match, count(*) AS n FROM lineitem GROUP BY 1, 2""",
-    "str05_spellings": f"""WITH f AS (SELECT {_FOLDED}[1 + p_partkey % 11] AS folded, p_partkey % 11 IN (4, 5, 6, 7, 8) AS acronym FROM part) SELECT folded, acronym, count(*) AS n FROM f GROUP BY 1, 2""",
+    "str05_spellings": f"""WITH a AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', -1) AS g FROM part),
+b AS (SELECT CASE p_partkey % 3 WHEN 0 THEN upper(f[1:1]) || lower(f[2:]) || ['’s', chr(39) || 'S', 's', ''][1 + p_partkey % 4] || ' ' || g || [' Disease', '-syndrome', ' ae'][1 + p_partkey % 5 % 3]
+  WHEN 1 THEN upper(f[1:3]) || [' type ', '-', ' disorder ', ' with '][1 + p_partkey % 4] || 'II, III/' || (p_partkey % 7)
+  ELSE upper(f[1:1]) || g[1:2] || upper(g[3:4]) || ' Syndrome' END AS raw FROM a),
+c AS (SELECT raw, regexp_extract_all(replace(lower(raw), '’', chr(39)), '[0-9]+|\\p{{L}}+(?:'||chr(39)||'s\\b)?') AS t, string_split(raw, ' ') AS p FROM b),
+d AS (SELECT *, list_transform(t, lambda x: regexp_full_match(x, '[0-9]+|[ivx]+')) AS num FROM c),
+e AS (SELECT *, list_transform(t, lambda x, i: CASE WHEN x LIKE '%'||chr(39)||'s' THEN x[:-3] WHEN length(x) > 4 AND x LIKE '%s' AND coalesce(t[i + 1] IN ({_HEADS}), false) THEN x[:-2] ELSE x END) AS bare FROM d),
+g AS (SELECT *, array_to_string(list_transform(bare, lambda x, i: CASE WHEN i > 1 AND num[i] AND num[greatest(i - 1, 1)] THEN '-' ELSE '' END || x[1:1] || replace(x[2:], 'ae', 'e')), '') AS folded,
+  length(p[1]) BETWEEN 1 AND 8 AND length(regexp_replace(p[1], '[^A-Z]', '', 'g')) > 1 AND length(regexp_replace(p[1], '[^a-z]', '', 'g')) < 2
+  AND list_bool_and(list_transform(p, lambda w, i: i = 1 OR lower(w) IN ({_HEADS}, 'type') OR regexp_full_match(lower(w), '([0-9]+|[ivx]+)[a-z]?'))) AS acronym FROM e)
+SELECT folded, count(*) FILTER (acronym) AS acronyms, count(*) AS n FROM g GROUP BY 1""",
     "scl09_log_probability": """WITH x AS (SELECT l_linenumber % 4 AS token, [l_quantity / 10, l_discount * 20, l_tax * 30] AS v FROM lineitem),
 p AS (SELECT token, round(v[1 + token] - ln(exp(v[1]) + exp(v[2]) + exp(v[3])), 6) AS p FROM x) SELECT CAST(token AS BIGINT) AS token, count(p) AS n, min(p) AS low, max(p) AS high FROM p GROUP BY 1""",
     "scl03_published": """SELECT c_mktsegment, count(*) FILTER ((c_custkey % 4 = 0 OR CAST(o_orderdate AS DATE) > DATE '1995-01-01' + CAST(c_custkey % 300 AS INTEGER)) AND CAST(o_orderdate AS DATE) <= DATE '1997-06-30') AS new, count(*) AS n

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from helixframe.operators import acmg, annotation, cards, consensus, evaluation, genotype, intervals, names, ontology, records, resolve, statistics, structural, text, triage, trio
+from helixframe.operators import acmg, annotation, cards, consensus, evaluation, genotype, intervals, kinship, names, ontology, records, resolve, statistics, structural, text, triage, trio
 from helixframe.sources import inspection, landed
 from helixframe.sources import queries as files
 from helixframe.streaming import events
 
-MODULES = (ontology, genotype, intervals, structural, annotation, resolve, records, names, triage, trio, consensus, statistics, acmg, text, evaluation, cards, events, files, landed, inspection)
+MODULES = (ontology, genotype, kinship, intervals, structural, annotation, resolve, records, names, triage, trio, consensus, statistics, acmg, text, evaluation, cards, events, files, landed, inspection)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "agg05_resnik_rank"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import annotation, names, resolve, structural
+from helixframe.operators import annotation, names, records, resolve, structural
 
 
 def values(spark, rows, schema, expr):
@@ -66,3 +66,14 @@ def test_first_link_wins_and_obsolete_classes_are_followed(spark):
     assert {(r.omim, r.mondo): (r.how, r.source) for r in found.collect()} == {
         (1, 10): ("exact match", "OMIM:1"), (1, 21): ("replacement of an obsolete match", "ORPHA:5"), (2, 30): ("obsolete, not replaced", "OMIM:2"),
     }
+
+
+def test_folded_names(spark):
+    raw = ["Wilson’s Disease", "WILSONS disease", "wilson   DISEASE", "ＧＳＤ Ⅱ", "glycaemic III/IV", "glycemic 3, 4", "aegis", "gas disease", "foo2b-3", "", None]
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "s string").coalesce(1).select(records.composed("s").alias("s")).select(records.folded(F.col("s"))).collect()]
+    assert found == ["wilsondisease", "wilsondisease", "wilsondisease", "gsdii", "glycemiciii-iv", "glycemic3-4", "aegis", "gasdisease", "foo2b3", "", ""]
+
+
+def test_acronyms(spark):
+    raw = ["CAH", "aHUS", "X-ALD", "CAH type 2b", "CAH Disease IV", "Cah", "abCD", "CAH and more", "ABCDEFGHI", "ÄBC", "A", "", None]
+    assert values(spark, [(x,) for x in raw], "s string", records.is_acronym(F.col("s"))) == [True] * 5 + [False] * 8
