@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from helixframe.operators import names, ontology
 from helixframe.plans import projections as P
@@ -32,7 +33,7 @@ def allele_match(recorded: Column, ours: Column) -> Column:
     return F.when(a == b, "same").when(place(a) == place(b), "different").otherwise("unknown")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(names_: pd.Series) -> pd.Series:
     """Unicode's compatibility composition (NFKC), which Spark SQL lacks."""
     return names_.str.normalize("NFKC")
