@@ -24,7 +24,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -46,6 +45,7 @@ MOST_KNOWN = 700_000  #: remembered pre-tokens; the memory is emptied beyond
 # The vocabulary's pre-tokens, for texts of the first 256 code points: contractions, words, numbers, other signs, white space.
 _SPACE, _LETTER, _NUMBER = "\\t-\\r\\x20\\x85\\xa0", "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe"
 _WORDS = re.compile(f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_SOLID = re.compile(" ?\\S+")
 _WIDE = re.compile("[^\x00-\xff]")
 # In others a space before a character that no Unicode version takes for white space begins a pre-token.
 _STRETCH = re.compile("(?= [^\\s\\u180e\\u200b\\ufeff])")
@@ -62,16 +62,27 @@ class Encoder:
         self.model.encode_special_tokens = True
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
+        (self.line,) = self.model.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
     def __reduce__(self):  # a worker makes its own, which serves all its tasks
         return Encoder, (self.content,)
 
     def learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 5_000):
-            some = pieces[i : i + 5_000]
-            for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = array("H", e.ids).tobytes()
+        """Ids of pieces; those without white space but a leading space are read many at once, as lines."""
+        solid, odd = [], []
+        for p in pieces:
+            (solid if _SOLID.fullmatch(p) else odd).append(p)
+        lines = [solid[i : i + 250] for i in range(0, len(solid), 250)]
+        for some, e in zip(lines, self.model.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u2")
+            ends = [*(2 * np.flatnonzero(ids == self.line)).tolist(), 2 * len(ids)]
+            data, start = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                self.known[p] = data[start:end]
+                start = end + 2
+        for p, e in zip(odd, self.model.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u2").tobytes()
 
     def batch(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, without an end."""
