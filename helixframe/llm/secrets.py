@@ -2,20 +2,22 @@
 
 Base patterns find three kinds of credentials (assignments, access keys, hex strings). What they
 find is labelled by kind, written as a sequence of character classes, and put into one prefix tree
-a kind; states whose next-symbol and ending frequencies agree under Hoeffding's bound are merged
-(red-blue, folding their subtrees), which leaves a small probabilistic automaton a kind. A further
+a kind; states whose next-symbol and ending frequencies agree under Hoeffding's bound are merged,
+first those at one distance from the start, then, where there is evidence enough, across distances, which
+leaves a small probabilistic automaton a kind. A further
 automaton is learned from ordinary long words. Every candidate, that is every run of 12 or more
 credential characters, is then scored, less what base spans cover of it and less trailing
 punctuation, by the mean log-likelihood ratio, per symbol, of the best credential automaton against
 the ordinary one; from LEAST_BITS on it is a span of kind `learned`, provided that the automaton
-itself gives it at least LEAST_FIT a symbol. Formats that are common among unlabelled long words count
-as ordinary, whatever they are.
+itself gives it at least LEAST_FIT a symbol. Formats that are common among unlabelled long words, LEAST_SEEN times
+in the sample, count as ordinary, whatever they are.
 
 Null texts count as empty and have no spans. Positions are code points, ends exclusive. Learning
 uses a bounded sample, gathered from all documents with a bounded heap a partition: at most SAMPLE
 distinct class sequences a kind (those with the smallest hash), whole ones, of up to LONGEST symbols
 each and SYMBOLS in all; scanning covers every row, whole texts and candidates of any length, row by
-row, without a shuffle. With nothing to learn from, only base spans are found. Equal texts give
+row, without a shuffle. With nothing to learn from, only base spans are found. A sequence is learned once, however
+often it or its row repeats; of sequences whose hashes tie at the edge of the sample, the first in order of their text stays. Equal texts give
 equal spans. Extra columns are carried along by `scan`, whose `spans` takes the place of a column so named.
 """
 
@@ -38,6 +40,7 @@ KINDS = ("assign", "access", "hex", "learned")
 SAMPLE = 1500  #: class sequences a kind that learning may use
 LONGEST, SYMBOLS = 2_000, 300_000  #: symbols of one sequence, and of all of a kind, that learning may use
 ALPHA = 0.05  #: of Hoeffding's bound
+LEAST_SEEN = 20  #: sequences through a state that make evidence for a merge across distances
 LEAST_BITS = 1.0
 LEAST_FIT = -3.0  #: mean log2 likelihood a symbol that a credential needs, whatever ordinary words have
 LEAST_LENGTH = 12
@@ -91,16 +94,32 @@ def candidates(text: str, found: list[Span]) -> Iterator[tuple[int, str]]:
 
 
 class Automaton:
-    """A probabilistic automaton, learned by merging compatible states of a prefix tree."""
-
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    """A probabilistic automaton, learned by merging compatible states of a prefix tree.
+
+    First states at the same distance from the start are merged, from the most frequent on, if their next symbols, endings and
+    subtrees agree under the bound and what may still follow them is of lengths that overlap; so where few sequences
+    are left, position and remaining length decide. What remains is compared across distances, by red and blue
+    states: a blue state, the most frequent first, joins a red one if both have been seen LEAST_SEEN times and every pair of states
+    reached from them that has been seen as often agrees; a state of less evidence stays by itself. So formats of one length keep it,
+    and words of many lengths become loops.
+    """
+
+    def __init__(self, strings: list[str], alpha: float = ALPHA, least: int = 1):
+        """`least`: states seen fewer times are learned from, but not entered when sequences are scored."""
+        self.least = least
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.total, self.final = [0], [0]
         for s in strings:
             self._add(s)
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge()
+        self.low, self.high = [0] * len(self.next), [0] * len(self.next)  # least and greatest length of what may follow
+        for q in range(len(self.next) - 1, -1, -1):
+            ends = [0] * (self.final[q] > 0)
+            self.low[q] = min(ends + [self.low[to] + 1 for to in self.next[q].values()], default=0)
+            self.high[q] = max(ends + [self.high[to] + 1 for to in self.next[q].values()], default=0)
+        self._merge_levels()
+        self._merge_across()
         self._weigh()
 
     def _add(self, s: str) -> None:
@@ -121,17 +140,22 @@ class Automaton:
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
-    def _compatible(self, r: int, b: int) -> bool:
-        todo = [(r, b)]
+    def _agree(self, r: int, b: int, least: int = 0) -> bool:
+        """Whether r and b, and all pairs of states that the same symbols lead to, agree; pairs seen under `least` times aren't judged."""
+        todo, seen = [(r, b)], {(r, b)}
         while todo:
             r, b = todo.pop()
-            if self._differ(self.final[r], self.total[r], self.final[b], self.total[b]):
+            n, m = self.total[r], self.total[b]
+            if min(n, m) < least:
+                continue
+            if self._differ(self.final[r], n, self.final[b], m):
                 return False
             for c in self.next[b].keys() | self.next[r].keys():
-                if self._differ(self.count[r].get(c, 0), self.total[r], self.count[b].get(c, 0), self.total[b]):
+                if self._differ(self.count[r].get(c, 0), n, self.count[b].get(c, 0), m):
                     return False
-                if c in self.next[r] and c in self.next[b]:
-                    todo.append((self.next[r][c], self.next[b][c]))
+                if c in self.next[r] and c in self.next[b] and (pair := (self.next[r][c], self.next[b][c])) not in seen:
+                    seen.add(pair)
+                    todo.append(pair)
         return True
 
     def _fold(self, r: int, b: int) -> None:
@@ -141,6 +165,7 @@ class Automaton:
             r, b = todo.pop()
             self.total[r] += self.total[b]
             self.final[r] += self.final[b]
+            self.low[r], self.high[r] = min(self.low[r], self.low[b]), max(self.high[r], self.high[b])
             for c, n in self.count[b].items():
                 self.count[r][c] = self.count[r].get(c, 0) + n
             for c, to in self.next[b].items():
@@ -149,21 +174,35 @@ class Automaton:
                 else:
                     self.next[r][c] = to
 
-    def _merge(self) -> None:
-        red = [0]
-        while True:
-            known = set(red)
-            blue = next(((q, c, to) for q in red for c, to in sorted(self.next[q].items()) if to not in known), None)
-            if blue is None:
-                self.red = red
-                return
-            q, c, b = blue
-            r = next((r for r in red if self._compatible(r, b)), None)
-            if r is None:
-                red.append(b)
-            else:
-                self.next[q][c] = r
-                self._fold(r, b)
+    def _merge_levels(self) -> None:
+        level = [0]
+        while level:
+            below = sorted(((to, q, c) for q in level for c, to in self.next[q].items()), key=lambda x: (-self.total[x[0]], x[0]))
+            level = []
+            for b, q, c in below:
+                r = next((r for r in level if self.low[r] <= self.high[b] and self.low[b] <= self.high[r] and self._agree(r, b)), None)
+                if r is None:
+                    level.append(b)
+                else:
+                    self.next[q][c] = r
+                    self._fold(r, b)
+
+    def _merge_across(self) -> None:
+        self.red, joined = [0], {}
+        blue = set(self.next[0].values())
+        while blue:
+            b = min(blue, key=lambda q: (-self.total[q], q))
+            blue.discard(b)
+            r = None
+            if self.total[b] >= LEAST_SEEN:
+                r = next((r for r in self.red if self.total[r] >= LEAST_SEEN and self._agree(r, b, LEAST_SEEN)), None)
+            if r is not None:
+                joined[b] = r
+                continue
+            self.red.append(b)
+            blue |= set(self.next[b].values()) - set(self.red) - joined.keys()
+        for q in self.red:
+            self.next[q] = {c: joined.get(to, to) for c, to in self.next[q].items()}
 
     def _weigh(self) -> None:
         """Logarithms of smoothed probabilities of the states that are left."""
@@ -171,8 +210,8 @@ class Automaton:
         self.steps = []
         for q in self.red:
             n = self.total[q] + 0.7
-            self.steps.append(({c: (place[to], math.log2((self.count[q][c] + 0.1) / n)) for c, to in self.next[q].items()}, math.log2((self.final[q] + 0.1) / n)))
-        del self.next, self.count, self.total, self.final
+            self.steps.append(({c: (place[to], math.log2((self.count[q][c] + 0.1) / n)) for c, to in self.next[q].items() if self.total[to] >= self.least}, math.log2((self.final[q] + 0.1) / n)))
+        del self.next, self.count, self.total, self.final, self.low, self.high
 
     def bits(self, s: str) -> float:
         """Mean log2 likelihood per symbol, the ending included."""
@@ -188,7 +227,7 @@ class Formats:
 
     def __init__(self, samples: dict[int, list[str]]):
         self.known = [Automaton(samples[k]) for k in (0, 1, 2) if samples.get(k)]
-        self.ordinary = Automaton(samples.get(3, []))
+        self.ordinary = Automaton(samples.get(3, []), least=LEAST_SEEN)
         self.seen: dict[str, bool] = {}
 
     def score(self, value: str) -> float:

@@ -5,7 +5,8 @@ Five small transducers read a clause, each with its own states:
 * *insult*: a lexical transducer; it may read a word as an `insult`, weighed by the log-odds of the
   longest of its arcs (whole words or word beginnings) that accepts the word. The arcs are learned
   from labelled rows; a short list of English seeds counts as prior evidence;
-* *threat*: a threatening verb, completed by a target among the next four words;
+* *threat*: a threatening verb, completed by a target among the next four words; a few English verbs are given,
+  further words are learned like the insult's arcs, from how often they stand so before a target;
 * *target*: second and third person and group words; an insult up to three words after one gains a
   quarter, and so does a target up to three words after an insult;
 * *negation*: for three words after a negating word, what is read weighs a quarter;
@@ -15,7 +16,7 @@ A word may be read in several ways (as an insult, a threatening verb, a plain wo
 has many paths. The machines are composed once, on the driver, into one weighted automaton over their
 reachable joint states: gains add up, factors multiply. A clause's score is the weight of its best
 path (Viterbi), so clauses are scored, not isolated words. A document's features are its strongest
-clause and the sum over its clauses, both squashed by log1p; a logistic curve fitted on the same
+clause and the sum over its clauses, both squashed by log1p, and the mean over them; a logistic curve fitted on the same
 labelled rows maps them to 0..1.
 
 Nulls count as empty texts, which get the score of a text without any match. Rows whose doc_id
@@ -25,7 +26,7 @@ document count once, as toxic if any says so. Other columns of the input are car
 one class, the seeds alone score.
 
 Learning takes at most SAMPLE rows a class (those with the smallest md5 of doc_id), which bounds what
-can be learned from; scoring covers every row and whole texts.
+can be learned from; of rows of a class with equal sets of words one counts. Scoring covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -51,10 +52,17 @@ LEAST_ODDS = 3.0  #: log-odds an arc needs
 LEAST_SHARE = 0.01  #: share of the toxic rows an arc must occur in, so that words of one much-copied text stay out
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "bastard", "bitch", "asshole", "dumbass", "imbecile", "vermin", "degenerate")
 THREATS = frozenset("kill murder hurt destroy beat stab shoot strangle rape burn hang slaughter".split())
-TARGETS = frozenset("you your yours yourself u he him she her they them their those these people".split())
+#: second and third person and group words of the four languages of the corpus
+TARGETS = frozenset(
+    "you your yours yourself u he him she her they them their those these people "
+    "du dich dir dein deine ihr euch ihn ihm sie ihnen leute tu te toi ton ta vous votre lui leur elle elles ils gens "
+    "tú ti tus usted ustedes él ella ellos ellas vosotros gente".split()
+)
 NEGATIONS = frozenset("not no never isn't wasn't aren't don't doesn't didn't won't cannot can't without nicht kein keine ne pas jamais nunca".split())
 REPORTS = frozenset("said says say told quoted wrote claimed called calls reported stated sagte dit dijo".split())
 SEED_WEIGHT = 2.5
+FEATURES = 3
+BEFORE = ">"  #: marks a word that stands before a target; no word begins with it
 
 _CLAUSE = re.compile(r"[.!?;:\n,()\[\]\"“”«»|]+")
 _EDGE = " \t\r\x0b\x0c'’`*_-–—#%&$/\\<>{}=+~^@"
@@ -159,6 +167,7 @@ class Grammar:
     def __init__(self, weights: dict[str, float], machines: tuple[Machine, ...] = MACHINES):
         self.weights, self.known = weights, {}
         self.longest = sorted({len(k) - 1 for k in weights if k[0] == "^"}, reverse=True)
+        self.threats = THREATS | {k[1:] for k in weights if k[0] == BEFORE}
         self.arcs = compose(machines).arcs
 
     def insult(self, word: str) -> float:
@@ -177,7 +186,7 @@ class Grammar:
         if word in TARGETS:
             return [(TARGET, 0.0)]
         out = [(PLAIN, 0.0)]
-        if word in THREATS:
+        if word in self.threats:
             out.append((THREAT, 0.0))
         if (w := self.insult(word)) > 0:
             out.append((INSULT, w))
@@ -192,7 +201,7 @@ class Grammar:
             hit = known.get(raw)
             if hit is None:
                 word = raw.strip(_EDGE)
-                hit = known[raw] = bool(word) and (word in THREATS or self.insult(word) > 0)
+                hit = known[raw] = bool(word) and (word in self.threats or self.insult(word) > 0)
             if hit:
                 return True
         return False
@@ -211,11 +220,12 @@ class Grammar:
             best = after
         return max(best.values())
 
-    def features(self, text: str) -> tuple[float, float]:
+    def features(self, text: str) -> tuple[float, ...]:
+        """Of the clauses' scores: the strongest and the sum, as log1p, and the mean over all clauses, which a single word in a long text hardly moves."""
         if not self.suspicious(text):
-            return 0.0, 0.0
-        scores = [s for s in map(self.clause, words_of(text)) if s > 0]
-        return (math.log1p(max(scores)), math.log1p(sum(scores))) if scores else (0.0, 0.0)
+            return (0.0,) * FEATURES
+        scores = list(map(self.clause, words_of(text)))
+        return (math.log1p(max(scores)), math.log1p(sum(scores)), sum(scores) / len(scores)) if any(scores) else (0.0,) * FEATURES
 
 
 # --- learning ----------------------------------------------------------------------------------------------------
@@ -235,12 +245,17 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
 
-def _one_of_copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows with the smallest hash of their words: copies of one text share it, and count once below."""
+def _with_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows with a 128-bit hash of their set of words: copies of one text share it, and count once below."""
     for pdf in frames:
-        words = [{w for ws in words_of(t) for w in ws} for t in pdf["text"]]
-        low = [f"{min((xxhash.xxh64_intdigest(w) for w in ws), default=0):016x}" for ws in words]
-        yield pdf.assign(low=pd.Series(low, dtype=object, index=pdf.index))
+        words = [sorted({w for ws in words_of(t) for w in ws}) for t in pdf["text"]]
+        yield pdf.assign(words=pd.Series([xxhash.xxh3_128_hexdigest("\n".join(ws)) for ws in words], dtype=object, index=pdf.index))
+
+
+def before_targets(clause: list[str], window: int = 4) -> set[str]:
+    """Words with a target among the `window` next ones."""
+    at = [i for i, w in enumerate(clause) if w in TARGETS]
+    return {clause[j] for i in at for j in range(max(0, i - window), i)} - TARGETS - NEGATIONS - REPORTS
 
 
 def _arc_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,20 +263,26 @@ def _arc_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = (Counter(), Counter())
     for pdf in frames:
         for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
-            words = {w for ws in words_of(text) for w in ws}
-            counts[int(y)].update({a for w in words for a in arcs(w)})
+            clauses = list(words_of(text))
+            counts[int(y)].update({a for ws in clauses for w in ws for a in arcs(w)})
+            counts[int(y)].update({BEFORE + w for ws in clauses for w in before_targets(ws)})
     keys = pd.Series(list(counts[0] | counts[1]), dtype=object)
     yield pd.DataFrame({"arc": keys, "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]}).astype({"toxic": "int64", "clean": "int64"})
 
 
-def learn_arcs(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Arcs with significantly more toxic than clean documents of the bounded sample, and the seeds."""
+def learn_arcs(sample: DataFrame) -> dict[str, float]:
+    """Arcs with significantly more toxic than clean documents of the bounded sample, and the seeds.
+
+    Of the documents of a class with the same set of words one counts, so that copies are no evidence; all counts,
+    those of the classes too, are taken after that. Words that stand before targets have arcs marked by BEFORE.
+    """
     weights = {w: SEED_WEIGHT for w in SEEDS}
-    if not n_toxic or not n_clean:
+    sample = sample.mapInPandas(_with_words, "text string, toxic int, words string")
+    sample = sample.groupBy("toxic", "words").agg(F.min("text").alias("text"))
+    n = {int(r.toxic): float(r["count"]) for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = n.get(1, 0.0), n.get(0, 0.0)
+    if not n1 or not n0:
         return weights
-    n1, n0 = float(n_toxic), float(n_clean)
-    sample = sample.mapInPandas(_one_of_copies, "text string, toxic int, low string")
-    sample = sample.groupBy("toxic", "low").agg(F.min("text").alias("text"))
     a, b = F.col("a"), F.col("b")
     e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
     g2 = 2 * (a * F.log(a / e1) + F.when(b > 0, b * F.log(b / e0)).otherwise(0.0))
@@ -276,17 +297,21 @@ def learn_arcs(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float
     # A beginning is kept only where no single longer arc explains most of what it accepts.
     longer: dict[str, float] = {}
     for r in rows:
+        if r.arc[0] == BEFORE:
+            continue
         word = r.arc.removeprefix("^")
         for k in range(LEAST_PREFIX, len(word) + (r.arc[0] != "^")):
             longer["^" + word[:k]] = max(longer.get("^" + word[:k], 0.0), r.a)
-    return weights | {r.arc: round(r.odds, 6) for r in rows if longer.get(r.arc, 0.0) < 0.8 * r.a}
+    weights |= {r.arc: round(r.odds, 6) for r in rows if r.arc[0] != BEFORE and longer.get(r.arc, 0.0) < 0.8 * r.a}
+    insults = Grammar(weights)
+    return weights | {r.arc: round(r.odds, 6) for r in rows if r.arc[0] == BEFORE and not insults.insult(r.arc[1:])}
 
 
 def _features(grammar: Grammar):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             f = [grammar.features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], **{f"f{i}": np.array([x[i] for x in f], float) for i in range(2)}})
+            yield pd.DataFrame({"toxic": pdf["toxic"], **{f"f{i}": np.array([x[i] for x in f], float) for i in range(FEATURES)}})
 
     return run
 
@@ -295,7 +320,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression by Newton steps with a small ridge; classes weigh alike."""
     x = np.column_stack([np.ones(len(x)), x])
     if not len(y) or y.min() == y.max():
-        return np.array([-2.0, 1.5, 1.0])
+        return np.array([-2.0, 1.5, 1.0, 0.0])
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     beta = np.zeros(x.shape[1])
     for _ in range(40):
@@ -318,11 +343,10 @@ class Model:
     @staticmethod
     def train(docs: DataFrame, labels: DataFrame) -> Model:
         sample = training_sample(docs, labels)
-        n = {int(r.toxic): r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-        weights = learn_arcs(sample, n.get(1, 0), n.get(0, 0))
-        rows = sample.mapInPandas(_features(Grammar(weights)), "toxic int, f0 double, f1 double").groupBy("toxic", "f0", "f1").count().toPandas()
-        rows = rows.loc[rows.index.repeat(rows["count"])].sort_values(["toxic", "f0", "f1"])
-        return Model(weights, fit_curve(rows[["f0", "f1"]].to_numpy(float), rows["toxic"].to_numpy(float)))
+        weights, names = learn_arcs(sample), [f"f{i}" for i in range(FEATURES)]
+        rows = sample.mapInPandas(_features(Grammar(weights)), ", ".join(["toxic int", *(f"{f} double" for f in names)])).groupBy("toxic", *names).count().toPandas()
+        rows = rows.loc[rows.index.repeat(rows["count"])].sort_values(["toxic", *names])
+        return Model(weights, fit_curve(rows[names].to_numpy(float), rows["toxic"].to_numpy(float)))
 
     def score(self, docs: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
         """`docs` with a column `score` (0..1), which takes the place of one so named; all other columns stay."""
@@ -331,7 +355,7 @@ class Model:
         def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             grammar = Grammar(weights)
             for column in texts:
-                f = np.array([grammar.features(t or "") for t in column], float).reshape(-1, 2)
+                f = np.array([grammar.features(t or "") for t in column], float).reshape(-1, FEATURES)
                 z = np.clip(beta[0] + f @ np.array(beta[1:]), -30, 30)
                 yield pd.Series(1 / (1 + np.exp(-z)))
 

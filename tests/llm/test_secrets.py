@@ -110,3 +110,64 @@ def test_query_on_given_documents(spark):
         base = slow_base(x.text or "")
         assert got[x.doc_id].base_sha256 == hashlib.sha256(",".join(f"{S.KINDS[k]}:{a}:{z}" for a, k, z in base).encode()).hexdigest()
         assert (got[x.doc_id].n_assign, got[x.doc_id].n_access, got[x.doc_id].n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+
+
+def mass(automaton, longest):
+    """Probability that the automaton gives to all sequences of up to so many symbols, and the lengths it ends at (dynamic programming)."""
+    at, total, lengths = {0: 1.0}, 0.0, {}
+    for n in range(longest + 1):
+        ends = sum(p * 2 ** automaton.steps[q][1] for q, p in at.items())
+        total, lengths[n], after = total + ends, ends, {}
+        for q, p in at.items():
+            for to, bits in automaton.steps[q][0].values():
+                after[to] = after.get(to, 0) + p * 2**bits
+        at = after
+    return total, lengths
+
+
+def test_merging_keeps_length_and_evidence():
+    r = random.Random(13)
+    text = lambda signs, n: "".join(r.choices(signs, k=n))
+    few = S.Automaton([S.classes(text("0123456789abcdef", 40)) for _ in range(11)])
+    assert len(few.steps) == 41 and few.steps[-1][1] > -0.2 and max(p for _, p in few.steps[:-1]) < -5  # a state a position; only the last one ends
+    many = S.Automaton([S.classes(text("0123456789abcdef", 40)) for _ in range(1000)])
+    assert len(many.steps) == 41
+    two = S.Automaton(["d" * 12] * 50 + ["l" * 20] * 50)
+    assert two.bits("d" * 12) > -0.2 and two.bits("d" * 20) < -3 and two.bits("l" * 12) < two.bits("l" * 20) - 0.2
+    words = S.Automaton([S.classes(text("ghijkl", 12 + int(r.expovariate(0.2)))) for _ in range(1500)], least=S.LEAST_SEEN)
+    assert 12 < len(words.steps) and len([q for q, (arcs, _) in enumerate(words.steps) if any(to <= q for to, _ in arcs.values())])  # loops, where lengths vary evenly
+    for a in (few, many, two, words):
+        total, lengths = mass(a, 400)
+        assert 0.3 < total <= 1.0001  # what is missing goes to symbols never seen
+    assert mass(many, 60)[1][40] > 0.9
+
+
+def test_rare_states_do_not_make_a_format_ordinary():
+    a = S.Automaton(["lll"] * 30 + ["ddd"] * 3, least=20)
+    b = S.Automaton(["lll"] * 30 + ["ddd"] * 3)
+    assert a.bits("lll") > -1 and "d" in b.steps[0][0] and "d" not in a.steps[0][0]
+
+
+def test_formats_are_learned_on_given_tables_and_found_outside_base_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    given = S.Formats(S.gather(docs))
+    assert all(len(a.steps) > 1 for a in [*given.known, given.ordinary])
+    r = random.Random(4)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    text = lambda signs, n: "".join(r.choices(signs, k=n))
+    makers = [lambda: "ghp_" + text(upper + lower + digits, 36), lambda: "AKIA" + text(upper + digits, 16), lambda: "sk-" + text(lower + digits, 32), lambda: "-".join(text(upper + digits, 5) for _ in range(5))]
+    labelled = [(-1 - i, f"token={makers[i % 4]()}") for i in range(240)]
+    bare = [(-1000 - i, f"and {makers[i % 4]().replace('AKIA', 'ASIA')} then") for i in range(40)]
+    every = docs.unionAll(spark.createDataFrame(labelled + bare, "doc_id long, text string"))
+    got = {x.doc_id: [s for s in x.spans if s.kind == "learned"] for x in S.scan(every, S.Formats(S.gather(every))).collect()}
+    found = sum((4, len(t) - 5) in [(s.start, s.end) for s in got[i]] for i, t in bare)
+    assert found >= 36  # of 40
+    assert sum(len(s) for i, s in got.items() if i >= 0) < 0.01 * 3779  # the candidates of the given documents
+
+
+def test_empty_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef0123456789xyz ghijklmnopqrst")] * 3 + [(2, "ghijklmnopqrst")], "doc_id long, text string")
+    assert S.gather(docs) == S.gather(docs.distinct())
+    got = S.scan(docs, S.Formats(S.gather(docs))).collect()
+    assert len(got) == 4 and len({str(x.spans) for x in got if x.doc_id == 1}) == 1
+    assert S.scan(docs.limit(0), S.Formats(S.gather(docs.limit(0)))).collect() == []

@@ -16,7 +16,7 @@ def test_grammar_scores_clauses_not_words():
     assert aimed > plain > reported > denied > 0
     assert g.clause("vequance".split()) == 4.0
     assert g.clause("kill you".split()) > 0 and g.clause("kill time".split()) == 0
-    assert g.features("") == (0.0, 0.0) and g.features("All is well. Not at all!") == (0.0, 0.0)
+    assert g.features("") == (0.0, 0.0, 0.0) and g.features("All is well. Not at all!") == (0.0, 0.0, 0.0)
 
 
 def all_paths(grammar, words):
@@ -83,3 +83,23 @@ def test_held_out_accuracy(spark):
     out = T.op6_toxicity(spark, sf).join(read_table(spark, sf, "labels"), "doc_id").where("held_out")
     n, right, flagged, caught, toxic = out.agg(F.count("*"), F.count_if(F.col("predicted") == F.col("toxic")), F.count_if(F.col("predicted") == 1), F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)), F.sum("toxic")).first()
     assert right / n >= 0.97 and caught / toxic >= 0.9 and caught / flagged >= 0.9
+
+
+def test_only_equal_sets_of_words_are_copies(spark):
+    # All texts share their rarest hash: nothing but the copies may collapse.
+    rows = [(i, f"common zlorn word{i} text" if i < 40 else f"common plain word{i} text") for i in range(240)] + [(1000 + i, "common onlyhere copied text") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = docs.select("text", ((F.col("doc_id") < 40) | (F.col("doc_id") >= 1000)).cast("int").alias("toxic"))
+    weights = T.learn_arcs(sample)
+    assert weights["zlorn"] > 3 and "onlyhere" not in weights  # 40 copies are one document, 40 texts are forty
+    counted = sample.mapInPandas(T._with_words, "text string, toxic int, words string").groupBy("toxic", "words").count().groupBy("toxic").count().collect()
+    assert {r.toxic: r["count"] for r in counted} == {0: 200, 1: 41}
+
+
+def test_threatening_words_are_learned_before_targets(spark):
+    rows = [(i, f"ich werde plain{i} zerstoere dich heute" if i < 60 else f"ich zerstoere plain{i} den text und dich") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = T.learn_arcs(docs.select("text", (F.col("doc_id") < 60).cast("int").alias("toxic")))
+    g = T.Grammar(weights)
+    assert T.BEFORE + "zerstoere" in weights and g.clause("zerstoere euch".split()) == 2.0 and g.clause("zerstoere text".split()) == 0.0
+    assert T.before_targets("a b c d e dich".split()) == set("bcde") and T.before_targets("not dich".split()) == set()
