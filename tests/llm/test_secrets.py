@@ -143,8 +143,8 @@ def test_merging_keeps_length_and_evidence():
 
 
 def test_rare_states_do_not_make_a_format_ordinary():
-    a = S.Automaton(["lll"] * 30 + ["ddd"] * 3, least=20)
-    b = S.Automaton(["lll"] * 30 + ["ddd"] * 3)
+    a = S.Automaton(["lll"] * 30 + ["dddddd"] * 3, least=20)
+    b = S.Automaton(["lll"] * 30 + ["dddddd"] * 3)
     assert a.bits("lll") > -1 and "d" in b.steps[0][0] and "d" not in a.steps[0][0]
 
 
