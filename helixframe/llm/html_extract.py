@@ -11,8 +11,11 @@ from every page of the host, as are branches whose tags, roles or class names sa
 (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, comments). Inside an
 `article` or `main` a branch goes only if its content and its presentation importance are both
 under LOW, so that passages which many pages quote stay where their node holds other texts too; an
-article that would lose all its text keeps it unless the rest of the page has more. If the article
-parts (or else the main parts) hold half of the text that is left, the page's text is those alone.
+article that would lose all its text keeps it unless the rest of the page has more. Names that are ordinary words
+of articles too (`teaser`, `notice`, `share`, ...) remove nothing there by themselves: the tree confirms them if
+the content importance of the node is under CONFIRMED. Adverts, forms and reader comments differ from page to page, so
+their names hold without it. If the article parts (or else the main parts) hold half of the text that is left, the
+page's text is those alone, with what stands before them in the main.
 Numbers in class and id values don't tell nodes apart. A name is a whole class or id value, never a
 part of one. If all article or main text of a page is in one such element inside a named branch, and
 there is as much of it as of all text outside, the branches around it aren't noise, unless hidden.
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import Scratch, fresh, narrow, read_table
 
 GAMMA, LOW, LEAST_PAGES = 0.9, 0.25, 4
+CONFIRMED = 0.5  #: content importance under which the tree confirms a doubtful name
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -59,11 +63,20 @@ _NOISE_NAMES = frozenset(
 _NOISE_NAMES |= frozenset(
     "ad-banner ad-block ad-box ad-container ad-label ad-slot ad-unit ad-wrapper banner-ad google-ad cookie-banner cookie-bar cookie-consent cookie-notice gdpr-banner privacy-notice site-footer page-footer main-footer footer-links footer-nav site-nav site-navigation main-nav main-navigation main-menu nav-bar nav-links nav-menu side-nav top-nav top-bar skip-link skip-to-content breadcrumb-nav breadcrumb-list side-bar sidebar-left sidebar-right left-sidebar right-sidebar main-sidebar comment-form comment-list comment-section comments-area comments-list comments-section related-articles related-content related-links related-news related-posts recommended-articles recommended-posts share-bar share-buttons share-links social-bar social-buttons social-icons social-links social-media social-share newsletter-form newsletter-signup subscribe-form search-bar search-box search-form login-form promo-box sponsored-content".split()
 )
+#: words that name parts of articles as well: inside an article or main the tree has to confirm them
+_DOUBTFUL_NAMES = frozenset("banner disclaimer notice notices promotion recommended related search share sharing skip social teaser widget".split())
+#: what else a name with `comment` or `comments` in it may have, to be a branch of reader comments
+_COMMENT_PARTS = frozenset("comment comments user users reader readers visitor visitors post article list section area form thread threads wrapper box container item items block feed".split())
 _HEADER_NAMES = frozenset("header site-header page-header main-header top-header".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 _KEEP_TAGS = frozenset("html body article main".split())
 
 
+def _of_comments(name: str) -> bool:
+    parts = re.split("[-_]+", name)
+    return len(parts) > 1 and not {"comment", "comments"}.isdisjoint(parts) and _COMMENT_PARTS.issuperset(parts)
+
+
 def _attributes(attr: str) -> dict[str, str]:
     out: dict[str, str] = {}
     if attr and not attr.isspace():
@@ -72,24 +85,24 @@ def _attributes(attr: str) -> dict[str, str]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int, str]]:
-    """(path, text, noise, part, parent) of each block of text; part: 2 in an article, 1 in a main, else 0."""
+def blocks(page: str) -> list[tuple[str, str, int, int, str]]:
+    """(path, text, noise, part, parent) of each block of text; noise: 1 by name, 2 by a doubtful name in an article or main, else 0; part: 2 in an article, 1 in a main, else 0."""
     out, held = _parse(page)
-    if len(held) == 1 and held[0] and not any(b[3] and not b[2] for b in out):
-        inner, outside = (sum(len(b[1]) for b in x) for x in ([b for b in out if b[3]], [b for b in out if not b[2]]))
+    if len(held) == 1 and held[0] and not any(b[3] and b[2] != 1 for b in out):
+        inner, outside = (sum(len(b[1]) for b in x) for x in ([b for b in out if b[3]], [b for b in out if b[2] != 1]))
         if inner and inner >= outside:
             out, _ = _parse(page, held[0])
     return out
 
 
-def _parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str, bool, int, str]], list[frozenset[int]]]:
+def _parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, str, int, int, str]], list[frozenset[int]]]:
     """Blocks, and for each outermost article or main in a noise branch where the elements around it start (none if it is hidden).
 
     Elements that start at `spared` places aren't noise by name.
     """
     out, held, buffer, at = [], [], [], 0
-    # tag, path, noise (1, or 2 inside a line), part, hidden, place
-    stack: list[tuple[str, str, int, int, bool, int]] = [("", "", 0, 0, False, -1)]
+    # tag, path, noise (1, or 2 inside a line), part, hidden, place, doubtful
+    stack: list[tuple[str, str, int, int, bool, int, bool]] = [("", "", 0, 0, False, -1, False)]
 
     def flush() -> None:
         if buffer:
@@ -99,7 +112,7 @@ def _parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[
                 i = len(stack) - 1
                 while i and stack[i][0] not in _BLOCK:
                     i -= 1
-                out.append((stack[i][1], text, bool(stack[i][2]), stack[i][3], stack[max(i - 1, 0)][1]))
+                out.append((stack[i][1], text, 1 if stack[i][2] else 2 * stack[i][6], stack[i][3], stack[max(i - 1, 0)][1]))
 
     def close(to: int) -> None:
         """Ends the elements from stack position `to` on."""
@@ -138,13 +151,15 @@ def _parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[
         if tag in _VOID:
             continue
         a = _attributes(m["attr"] or "")
-        _, path, noise, part, hidden, _ = stack[-1]
+        _, path, noise, part, hidden, _, doubtful = stack[-1]
         names = set(f"{a.get('class', '')} {a.get('id', '')}".split())
         role, outer = a.get("role", ""), part
         hidden = hidden or (tag not in _KEEP_TAGS and ("hidden" in a or a.get("aria-hidden") == "true"))
         part = max(part, 2 if tag == "article" or role == "article" or "articlebody" in a.get("itemprop", "") else 1 if tag == "main" or role == "main" else 0)
         if tag not in _KEEP_TAGS and not noise:
-            named = tag in _NOISE_TAGS or bool(names & _NOISE_NAMES) or role in _NOISE_ROLES
+            called = {n for n in names if n in _NOISE_NAMES or _of_comments(n)}
+            named = tag in _NOISE_TAGS or bool(called - (_DOUBTFUL_NAMES if part else set())) or role in _NOISE_ROLES
+            doubtful = doubtful or (not named and bool(called) and tag in _BLOCK)
             named = named or (part < 2 and (tag == "header" or bool(names & _HEADER_NAMES)))
             noise = (1 if tag in _BLOCK else 2) if hidden or (named and m.start() not in spared) else 0
         elif noise == 2 and tag in _BLOCK:
@@ -152,7 +167,7 @@ def _parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[
         if noise and part and not outer:
             held.append(frozenset() if hidden else frozenset(x[5] for x in stack))
         label = re.sub(r"\d+", "0", "." + ".".join(sorted(names))) if names else ""
-        stack.append((tag, f"{path}>{tag}{label}", noise, part, hidden, m.start()))
+        stack.append((tag, f"{path}>{tag}{label}", noise, part, hidden, m.start(), doubtful))
     if at < len(page) and stack[-1][2] != 2:
         buffer.append(page[at:])
     flush()
@@ -164,13 +179,13 @@ def node_of(path: str, part: int) -> str:
     return f"+{path}" if part else path
 
 
-Piece = tuple[int, str, bool, int]  #: hash of a block's node, its text, whether it is noise by name, its part
+Piece = tuple[int, str, int, int]  #: hash of a block's node, its text, its noise and its part, as in `blocks`
 
 
 def choose(pieces: list[Piece], low: frozenset[int] = frozenset()) -> str:
     """The article's blocks, joined by line feeds; `low`: nodes of low importance on the page's host."""
     size = lambda found: sum(len(b[1]) for b in found)
-    found = [b for b in pieces if not b[2]]
+    found = [b for b in pieces if b[2] != 1]
     left = [b for b in found if b[0] not in low]
     if not any(b[3] for b in left):
         inner = [b for b in found if b[3]]
@@ -178,7 +193,9 @@ def choose(pieces: list[Piece], low: frozenset[int] = frozenset()) -> str:
     for part in (2, 1):
         inner = [b for b in left if b[3] >= part]
         if inner and 2 * size(inner) >= size(left):
-            left = inner
+            # What stands in the main before its first article is its title and introduction.
+            first = next(i for i, b in enumerate(left) if b[3] >= part)
+            left = [b for b in left[:first] if b[3]] + [b for b in left[first:] if b[3] >= part]
             break
     return "\n".join(b[1] for b in left)
 
@@ -199,7 +216,8 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-BLOCKS = "struct<texts:array<string>,nodes:array<long>,styles:array<long>,noise:array<boolean>,parts:array<int>,outer:array<boolean>>"
+BLOCKS = "struct<texts:array<string>,nodes:array<long>,styles:array<long>,noise:array<int>,parts:array<int>,kinds:array<int>>"
+INNER, OUTER, DOUBTFUL = range(3)  #: kinds of style nodes: in an article or main, elsewhere, doubtfully named
 
 
 def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -212,8 +230,8 @@ def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for path, _, _, _, parent in found:
                 children.setdefault(parent, {})[path] = None
             styles = {parent: _hash("|".join(paths)) for parent, paths in children.items()}
-            rows.append(([b[1] for b in found], [_hash(node_of(b[0], b[3])) for b in found], [styles[b[4]] for b in found], [b[2] for b in found], [b[3] for b in found], [not b[3] for b in found]))
-        yield pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(("texts", "nodes", "styles", "noise", "parts", "outer"))})
+            rows.append(([b[1] for b in found], [_hash(node_of(b[0], b[3])) for b in found], [styles[b[4]] for b in found], [b[2] for b in found], [b[3] for b in found], [DOUBTFUL if b[2] == 2 else INNER if b[3] else OUTER for b in found]))
+        yield pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(("texts", "nodes", "styles", "noise", "parts", "kinds"))})
 
 
 def _chosen(columns: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
@@ -223,14 +241,14 @@ def _chosen(columns: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Se
 
 
 def tree(parsed: DataFrame) -> DataFrame:
-    """(host, node, outer, pages, content, style): both importances of every style node, from (host, page, found)."""
+    """(host, node, kind, pages, content, style): both importances of every style node, from (host, page, found)."""
     # Pages with equal html count once. A page has one style for a node, so the counts of a node's styles add up to its pages.
-    once = parsed.select("host", "page", F.arrays_zip("found.nodes", "found.outer", "found.styles", F.transform("found.texts", lambda t: F.xxhash64(t))).alias("x")).dropDuplicates(["host", "page"])
-    x = once.select("host", F.transform("x", lambda b: F.struct(b["nodes"].alias("node"), b["outer"].alias("outer"), b["styles"].alias("style"), b["3"].alias("content"))).alias("x"))
-    node, d = ["host", "node", "outer"], F.col("d").cast("double")
+    once = parsed.select("host", "page", F.arrays_zip("found.nodes", "found.kinds", "found.styles", F.transform("found.texts", lambda t: F.xxhash64(t))).alias("x")).dropDuplicates(["host", "page"])
+    x = once.select("host", F.transform("x", lambda b: F.struct(b["nodes"].alias("node"), b["kinds"].alias("kind"), b["styles"].alias("style"), b["3"].alias("content"))).alias("x"))
+    node, d = ["host", "node", "kind"], F.col("d").cast("double")
     part = lambda *names: x.select("host", F.explode(F.array_distinct(F.transform("x", lambda b: F.struct(*(b[n].alias(n) for n in names))))).alias("b")).select("host", "b.*")
-    styles = part("node", "outer", "style").groupBy(*node, "style").agg(F.count("*").alias("d")).groupBy(*node).agg(F.sum("d").alias("pages"), F.sum(d * F.log(d)).alias("x"))
-    contents = part("node", "outer", "content").groupBy(*node, "content").agg(F.count("*").alias("d"))
+    styles = part("node", "kind", "style").groupBy(*node, "style").agg(F.count("*").alias("d")).groupBy(*node).agg(F.sum("d").alias("pages"), F.sum(d * F.log(d)).alias("x"))
+    contents = part("node", "kind", "content").groupBy(*node, "content").agg(F.count("*").alias("d"))
     contents = contents.groupBy(*node).agg(F.avg(F.log(d)).alias("h"))
     m = F.log(F.greatest("pages", F.lit(2)).cast("double"))
     shared = lambda x: F.when(F.col("pages") < 2, 1.0).otherwise(x)
@@ -245,7 +263,7 @@ def extract(pages: DataFrame, text: str = "text") -> DataFrame:
     parsed = scratch.keep(keyed, "parsed")
     nodes = tree(parsed.select(F.col(host).alias("host"), F.col(page).alias("page"), F.col(found).alias("found")))
     content, style = F.col("content"), F.col("style")
-    unimportant = F.when(F.col("outer"), GAMMA * content + (1 - GAMMA) * style).otherwise(F.greatest(content, style)) < LOW
+    unimportant = F.when(F.col("kind") == OUTER, GAMMA * content + (1 - GAMMA) * style < LOW).when(F.col("kind") == DOUBTFUL, content < CONFIRMED).otherwise(F.greatest(content, style) < LOW)
     low = scratch.keep(nodes.where((F.col("pages") >= LEAST_PAGES) & unimportant).groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low")), "low")
     size = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)) + F.count("*")).first()[0]  # nodes and hosts: what a broadcast would hold
     joined = parsed.join(narrow(low.toDF(host, gone), size), host, "left")

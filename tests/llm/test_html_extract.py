@@ -114,3 +114,39 @@ def test_query_on_given_pages(spark):
         parts = re.split(r"</?(?:p|h1)>", re.sub("<br>", " ", a))
         want = "\n".join(x for x in (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in parts) if x)
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><p class="teaser">Lead paragraph of the article.</p><p>Body.</p></article>', "Lead paragraph of the article.\nBody."),
+        ('<article><p>Before.</p><p class="notice">Safety notice of recall in article.</p></article>', "Before.\nSafety notice of recall in article."),
+        ('<main><div class="share">Share prices fell</div><p>on Monday</p></main>', "Share prices fell\non Monday"),
+        ('<article><p>Text of the article</p><div class="user-comments"><p>reader comment</p></div><ol id="reader_comments_list"><li>another</ol></article>', "Text of the article"),
+        ("<main><h1>Title</h1><p>Intro</p><article><p>An article that holds much more than half</p></article><p>Read on elsewhere</p></main>", "Title\nIntro\nAn article that holds much more than half"),
+        ('<div class="share">Share this</div><p>Text of its own</p>', "Text of its own"),
+        ('<article><p>Text</p><p class="comment-worthy">kept</p></article>', "Text\nkept"),
+    ],
+)
+def test_names_inside_articles(page, text):
+    assert H.main_text(page) == text
+
+
+def test_the_tree_confirms_doubtful_names(spark):
+    page = lambda i, inner: f"<article><p>Text {i} of its own</p>{inner}<p>End {i}</p></article>"
+    rows = [(i, f"http://a.example/{i}", page(i, "<p class=teaser>Subscribe for more</p>")) for i in range(8)]  # says the same everywhere: goes
+    rows += [(100 + i, f"http://b.example/{i}", page(i, f"<p class=teaser>Lead {i}</p>")) for i in range(8)]  # says its own: stays
+    rows += [(200 + i, f"http://c.example/{i}", page(i, "<p class=teaser>Subscribe for more</p>")) for i in range(3)]  # too few pages to tell: stays
+    rows += [(300 + i, f"http://d.example/{i}", page(i, f"<div class=share><p>{'Share this' if i % 4 else 'Share prices fell'}</p></div>")) for i in range(8)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Text {i} of its own\nEnd {i}" for i in range(8))
+    assert all(got[100 + i] == f"Text {i} of its own\nLead {i}\nEnd {i}" for i in range(8))
+    assert all("Subscribe" in got[200 + i] for i in range(3))
+    assert all("Share" not in got[300 + i] for i in range(8))
+
+
+def test_empty_table_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<p>x</p>", "kind", 3, "t")], "page_id long, url string, html string, node string, _low int, text string")
+    got = H.extract(pages).collect()
+    assert [(r.page_id, r.node, r._low, r.text) for r in got] == [(1, "kind", 3, "x")]
+    assert H.extract(pages.limit(0)).collect() == []
