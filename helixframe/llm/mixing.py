@@ -105,15 +105,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed_sql(table: str, columns: str = "doc_id, source, copy, shuffle_key, text") -> str:
     """DuckDB SQL of `mix` with its defaults over `table`."""
     return f"""
-WITH RECURSIVE d AS (SELECT *, coalesce(source, '') AS _s, coalesce(CAST(doc_id AS VARCHAR), '') AS _id FROM {table}),
+WITH RECURSIVE d AS (SELECT *, coalesce(source, '') AS _s, coalesce(CAST(doc_id AS VARCHAR), '') AS _id, row_number() OVER () AS _row FROM {table}),
 a AS (SELECT _s, CAST(count(*) AS DOUBLE) AS n FROM d GROUP BY _s),
-r AS (SELECT _s, least(round(1e0 * (SELECT sum(n) FROM a) / (CAST((SELECT count(*) FROM a) AS DOUBLE) * n), 9), {MOST_RATE}) AS rate FROM a),
-p AS (SELECT _s, rate, 0 AS k, exp(-rate) AS t, exp(-rate) AS c FROM r
-      UNION ALL SELECT _s, rate, k + 1, t * rate / (k + 1), c + t * rate / (k + 1) FROM p WHERE k < {most_copies()}),
-u AS (SELECT d.*, CAST(CAST('0x' || substr(md5('{SEED}:' || _id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS _u FROM d),
-n AS (SELECT u.*, (SELECT count(*) FROM p WHERE p._s = u._s AND p.c <= u._u) AS _n FROM u),
-x AS (SELECT n.*, unnest(range(1, least(_n, {most_copies()}) + 1)) AS copy FROM n WHERE _n > 0)
-SELECT {columns} FROM (SELECT x.* EXCLUDE (copy), CAST(copy AS INTEGER) AS copy, md5('{SEED}:order:' || _id || ':' || CAST(copy AS VARCHAR)) AS shuffle_key FROM x)
+q AS (SELECT _s, round(1e0 * (SELECT sum(n) FROM a) / (CAST((SELECT count(*) FROM a) AS DOUBLE) * n), 9) AS rate FROM a),
+r AS (SELECT _s, rate, greatest(1, CAST(ceil(rate / {MOST_RATE}e0) AS BIGINT)) AS parts FROM q),
+p AS (SELECT _s, rate / parts AS mean, 0 AS k, exp(-(rate / parts)) AS t, exp(-(rate / parts)) AS c FROM r
+      UNION ALL SELECT _s, mean, k + 1, t * mean / (k + 1), c + t * mean / (k + 1) FROM p WHERE k < {most_copies()}),
+j AS (SELECT _row, d._s, _id, parts, unnest(range(1, parts + 1)) AS part FROM d JOIN r ON r._s = d._s),
+u AS (SELECT *, CAST(CAST('0x' || substr(md5('{SEED}:' || CASE WHEN parts = 1 THEN '' ELSE 'draw:' || part || ':' END || _id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496e0 AS _u FROM j),
+c AS (SELECT _row, sum(least((SELECT count(*) FROM p WHERE p._s = u._s AND p.c <= u._u), {most_copies()})) AS _n FROM u GROUP BY _row),
+x AS (SELECT d.*, unnest(range(1, CAST(_n AS BIGINT) + 1)) AS _copy FROM d JOIN c ON c._row = d._row WHERE _n > 0)
+SELECT {columns} FROM (SELECT *, CAST(_copy AS INTEGER) AS copy, md5('{SEED}:order:' || _id || ':' || CAST(_copy AS VARCHAR)) AS shuffle_key FROM x)
 """
 
 

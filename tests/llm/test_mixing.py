@@ -78,3 +78,20 @@ def test_salted_join_and_shares_by_characters(spark):
 
 def test_query_equals_sql(spark):
     compare(queries.QUERIES["op5_mixing"](spark, "/root/testdata/sf0.001"), queries.ORACLE_SQL["op5_mixing"], "/root/testdata/sf0.001")
+
+
+def test_sql_splits_large_rates_too(spark):
+    import duckdb
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 500 == 0, "rare").otherwise("much").alias("source"), F.lit("t").alias("text"))
+    assert max(r.rate for r in M.rates(docs).collect()) > 5 * M.MOST_RATE
+    t = docs.toPandas()  # noqa: F841  (read by name)
+    want = duckdb.sql(M.mixed_sql("t", "doc_id, source, copy, shuffle_key")).fetchall()
+    got = [tuple(r) for r in M.mix(docs).select("doc_id", "source", "copy", "shuffle_key").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 2000
+
+
+def test_empty_table_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "s", "x" * 3_000_000), (2, "s", None)], "doc_id long, source string, text string")
+    assert {len(r.text) for r in M.mix(docs).collect() if r.text} <= {3_000_000}
+    assert M.mix(docs.limit(0)).collect() == []
