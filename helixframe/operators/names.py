@@ -81,11 +81,11 @@ def query_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_core_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name words that at least half of a brand's parts of small size carry."""
-    p = P.table(spark, sf_dir, "part").where("p_size <= 4").select("p_brand", F.array_distinct(F.split("p_name", " ")).alias("terms"))
-    total = p.groupBy("p_brand").agg(F.count("*").alias("total"))
-    by = p.select("p_brand", F.explode("terms").alias("term")).groupBy("p_brand", "term").agg(F.count("*").alias("n"))
-    return by.join(total, "p_brand").where(F.col("n") * 2 >= F.col("total"))
+    """Name words that at least half of a brand's parts of one size carry."""
+    p = P.table(spark, sf_dir, "part").select("p_brand", "p_size", F.array_distinct(F.split("p_name", " ")).alias("terms"))
+    total = p.groupBy("p_brand", "p_size").agg(F.count("*").alias("total"))
+    by = p.select("p_brand", "p_size", F.explode("terms").alias("term")).groupBy("p_brand", "p_size", "term").agg(F.count("*").alias("n"))
+    return by.join(total, ["p_brand", "p_size"]).where(F.col("n") * 2 >= F.col("total"))
 
 
 _LETTERS, _FULL = list(AMINO), [x.upper() for x in AMINO.values()]
@@ -99,7 +99,7 @@ j AS (SELECT part.p_type, q.n, a, b, unnest(string_split(lower(p_name), ' ')) AS
 k AS (SELECT p_type, p_partkey, any_value(n) AS nw, bool_or(a = h OR (least(length(a), length(h)) >= {STEM} AND left(a, greatest({STEM}, least(length(a), length(h)) - 2)) = left(h, greatest({STEM}, least(length(a), length(h)) - 2)))) AS x,
   bool_or(b = h OR (least(length(b), length(h)) >= {STEM} AND left(b, greatest({STEM}, least(length(b), length(h)) - 2)) = left(h, greatest({STEM}, least(length(b), length(h)) - 2)))) AS y FROM j GROUP BY 1, 2),
 s AS (SELECT p_type, count(*) AS n, count(*) FILTER (x AND (nw < 2 OR y)) AS named FROM k GROUP BY 1) SELECT *, CASE WHEN named * 2 < n THEN n ELSE named END AS kept FROM s""",
-    "agg31_core_terms": """WITH p AS (SELECT p_partkey, p_brand, string_split(p_name, ' ') AS w FROM part WHERE p_size <= 4), t AS (SELECT p_brand, count(*) AS total FROM p GROUP BY 1),
-u AS (SELECT DISTINCT p_partkey, p_brand, unnest(w) AS term FROM p) SELECT p_brand, term, count(*) AS n, any_value(total) AS total FROM u JOIN t USING (p_brand) GROUP BY 1, 2 HAVING count(*) * 2 >= any_value(total)""",
+    "agg31_core_terms": """WITH p AS (SELECT p_partkey, p_brand, p_size, string_split(p_name, ' ') AS w FROM part), t AS (SELECT p_brand, p_size, count(*) AS total FROM p GROUP BY 1, 2),
+u AS (SELECT DISTINCT p_partkey, p_brand, p_size, unnest(w) AS term FROM p) SELECT p_brand, p_size, term, count(*) AS n, any_value(total) AS total FROM u JOIN t USING (p_brand, p_size) GROUP BY 1, 2, 3 HAVING count(*) * 2 >= any_value(total)""",
 }
 QUERIES = {"str11_changes": query_changes, "scl10_public_url": query_public_url, "str08_relevance": query_relevance, "agg31_core_terms": query_core_terms}

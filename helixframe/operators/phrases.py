@@ -116,15 +116,16 @@ _NEG, _TURN = (", ".join(f"'{w}'" for w in x) for x in (NEGATIONS, TURNS))
 SQL = {
     "str04_lay": rf"""WITH RECURSIVE w AS (SELECT doc_id AS id, text, regexp_extract_all(lower(text), '{_WORDS}') AS ws FROM documents),
 d AS (SELECT DISTINCT array_to_string(ws[1:1 + id % 3], ' ') AS phrase FROM w WHERE len(ws) > 0),
-d2 AS MATERIALIZED (SELECT phrase, len(string_split(phrase, ' ')) AS n, string_split(phrase, ' ')[1] AS f FROM d WHERE phrase <> ''),
+d2 AS MATERIALIZED (SELECT phrase, len(string_split(phrase, ' ')) AS n FROM d WHERE phrase <> ''),
 c AS (SELECT id, unnest(string_split_regex(coalesce(text, ''), '[.,;:!?\n]')) AS part, generate_subscripts(string_split_regex(coalesce(text, ''), '[.,;:!?\n]'), 1) AS clause FROM w),
-cw AS (SELECT id, clause, regexp_extract_all(lower(part), '{_WORDS}') AS ws FROM c),
-p AS (SELECT id, clause, ws, unnest(range(1, len(ws) + 1)) AS i FROM cw),
-h AS (SELECT id, clause, i, max(n) AS n, arg_max(phrase, n) AS phrase, any_value(ws) AS ws FROM p JOIN d2 ON f = ws[i] AND phrase = array_to_string(ws[i:i + n - 1], ' ') GROUP BY 1, 2, 3),
-x AS MATERIALIZED (SELECT a.id, a.clause, a.i, a.n, a.phrase, a.ws, b.i AS after FROM h a ASOF LEFT JOIN h b ON a.id = b.id AND a.clause = b.clause AND b.i >= a.i + a.n),
-r AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY id, clause ORDER BY i) = 1
-  UNION ALL SELECT x.* FROM r JOIN x ON x.id = r.id AND x.clause = r.clause AND x.i = r.after),
-v AS (SELECT *, list_filter(list_transform(list_reverse(ws[1:i - 1]), lambda z: CASE WHEN z IN ({_NEG}) THEN 1 WHEN z IN ({_TURN}) THEN -1 ELSE 0 END), lambda z: z <> 0)[1] AS s FROM r)
+k AS (SELECT id, clause, unnest(regexp_extract_all(lower(part), '{_WORDS}')) AS word, generate_subscripts(regexp_extract_all(lower(part), '{_WORDS}'), 1) AS i FROM c),
+r3 AS (SELECT id, clause, i, word, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3, CASE WHEN word IN ({_NEG}) THEN 1 WHEN word IN ({_TURN}) THEN -1 END AS flag FROM k WINDOW o AS (PARTITION BY id, clause ORDER BY i)),
+p AS (SELECT id, clause, i, word, word || ' ' || w2 AS two, word || ' ' || w2 || ' ' || w3 AS three, last_value(flag IGNORE NULLS) OVER (PARTITION BY id, clause ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM r3),
+m AS (SELECT id, clause, i, s, 1 AS n, word AS phrase FROM p UNION ALL SELECT id, clause, i, s, 2, two FROM p UNION ALL SELECT id, clause, i, s, 3, three FROM p),
+h AS (SELECT id, clause, i, any_value(s) AS s, max(n) AS n, arg_max(phrase, n) AS phrase FROM m JOIN d2 USING (phrase, n) GROUP BY 1, 2, 3),
+x AS MATERIALIZED (SELECT a.id, a.clause, a.i, a.n, a.phrase, a.s, b.i AS after FROM h a ASOF LEFT JOIN h b ON a.id = b.id AND a.clause = b.clause AND b.i >= a.i + a.n),
+v AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY id, clause ORDER BY i) = 1
+  UNION ALL SELECT x.* FROM v JOIN x ON x.id = v.id AND x.clause = v.clause AND x.i = v.after)
 SELECT phrase, count(*) AS n, count(*) FILTER (s = 1) AS negated, count(DISTINCT id) AS texts, CAST(sum(i - 1) AS BIGINT) AS places FROM v GROUP BY 1""",
     # A drug of the second kind has two words, and is named only where both stand together.
     "jn18_drug_names": """WITH l AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS drug, l_linenumber AS ln FROM lineitem),

@@ -11,18 +11,23 @@ from helixframe.plans import projections as P
 RECESSIVE_AF, DOMINANT_AF = 0.06, 0.02
 PRIORS = {"de_novo": 1.0, "comphet": 0.9, "hom_alt": 0.8, "comphet_unphased": 0.6, "inherited_het": 0.3}
 ORDER = tuple(PRIORS)
+TRUSTED = 500_000  #: bases that a phase set made of reads can span (fixed value)
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a (gene, pos): gene is a supplier, alleles are line items; the first of equal alleles by class priority stays."""
+    """One row a (gene, pos): gene is a supplier, alleles are line items; the first of equal alleles by class priority stays.
+
+    The parent of origin is known for the first three lines of an order; others have a phase set and haplotype, or neither.
+    """
     li = P.table(spark, sf_dir, "lineitem")
     v = li.select(
         F.col("l_suppkey").alias("gene"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), "de_novo").when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 2), "hom_alt").otherwise("inherited_het").alias("cls"),
-        F.when(F.col("l_linestatus") == "F", "mat").otherwise("pat").alias("origin"), F.col("l_discount").alias("af"), F.col("l_tax").alias("faf"),
+        F.when(F.col("l_linenumber") < 4, F.when(F.col("l_linestatus") == "F", "mat").otherwise("pat")).alias("origin"),
+        F.when(F.col("l_linenumber") != 6, F.expr("l_orderkey div 40")).alias("phase_set"), (F.col("l_partkey") % 2).alias("hap"), F.col("l_discount").alias("af"), F.col("l_tax").alias("faf"),
         F.col("l_quantity").cast("int").alias("q"), (F.col("l_partkey") % 100).alias("rank_score"), F.col("l_extendedprice").alias("price"),
     )
-    first = W.partitionBy("gene", "pos").orderBy(_class_order(F.col("cls")), "origin", "af", "faf", "q", "rank_score", "price")
+    first = W.partitionBy("gene", "pos").orderBy(_class_order(F.col("cls")), F.col("origin").asc_nulls_first(), "af", "faf", "q", "rank_score", "price", "hap")
     return v.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "price")
 
 
@@ -62,25 +67,45 @@ def query_af_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("l_partkey", F.round(af_summary(F.col("m")), 6).alias("filter_af"), F.col("b.grp").alias("grpmax"), F.size("m").cast("long").alias("n_groups"))
 
 
-def compound_pairs(v: DataFrame) -> DataFrame:
-    """(gene, pos, partner, relation): pairs of rare hets of one gene, told apart by the parent they come from."""
-    het = v.where((F.col("cls") == "inherited_het") & (F.col("af") <= RECESSIVE_AF) & (F.col("q") >= 45)).select("gene", "pos", "origin")
-    other = het.select("gene", F.col("pos").alias("partner"), F.col("origin").alias("other"))
-    return het.join(other, "gene").where("pos < partner").select("gene", "pos", "partner", F.when(F.col("origin") == F.col("other"), "cis").otherwise("trans").alias("relation"))
+def partners(v: DataFrame) -> DataFrame:
+    """(gene, pos, n_trans, first_trans, last_trans, n_unknown) of the rare hets of each gene.
+
+    Two hets are in trans if they come from different parents, or, where a parent isn't known, if they lie on different
+    haplotypes of one phase set; they are in cis if the same; otherwise their phase is unknown. A phase set that spans more than
+    TRUSTED bases in a gene settles nothing. No pair is formed: what a het can meet is counted once for each gene and
+    parent, and for each phase set and haplotype, and looked up, so a gene of any size costs one row a het.
+    """
+    het = v.where((F.col("cls") == "inherited_het") & (F.col("af") <= RECESSIVE_AF)).select("gene", "pos", "origin", "phase_set", "hap")
+    spans = het.where("phase_set IS NOT NULL").groupBy("gene", "phase_set").agg((F.max("pos") - F.min("pos")).alias("span"))
+    het = het.join(spans, ["gene", "phase_set"], "left").withColumn("ps", F.when(F.col("span") <= TRUSTED, F.col("phase_set"))).drop("phase_set", "span")
+    count = lambda name: (F.count("*").alias(f"{name}_n"), F.min("pos").alias(f"{name}_min"), F.max("pos").alias(f"{name}_max"))
+    other = lambda c, x, y: F.when(c == x, y).when(c == y, x)
+    parent = het.where("origin IS NOT NULL").groupBy("gene", other(F.col("origin"), "mat", "pat").alias("origin")).agg(*count("parent"))
+    gene = het.groupBy("gene").agg(F.count("*").alias("all_n"), F.count_if(F.col("origin").isNull()).alias("none_n"))
+    phased = het.where("ps IS NOT NULL")
+    # By the haplotype they are opposite to; of all hets, and of those of unknown origin.
+    turned = (1 - F.col("hap")).alias("hap")
+    across = phased.groupBy("gene", "ps", turned).agg(*count("any"))
+    across_none = phased.where("origin IS NULL").groupBy("gene", "ps", turned).agg(*count("none_across"))
+    within = phased.groupBy("gene", "ps").agg(F.count("*").alias("set_n"), F.count_if(F.col("origin").isNull()).alias("set_none_n"))
+    j = het.join(gene, "gene").join(parent, ["gene", "origin"], "left").join(within, ["gene", "ps"], "left").join(across, ["gene", "ps", "hap"], "left").join(across_none, ["gene", "ps", "hap"], "left")
+    known, zero = F.col("origin").isNotNull(), lambda c: F.coalesce(F.col(c), F.lit(0))
+    return j.select(
+        "gene", "pos", F.when(known, zero("parent_n") + zero("none_across_n")).otherwise(zero("any_n")).alias("n_trans"),
+        F.when(known, F.least("parent_min", "none_across_min")).otherwise(F.col("any_min")).alias("first_trans"), F.when(known, F.greatest("parent_max", "none_across_max")).otherwise(F.col("any_max")).alias("last_trans"),
+        F.when(known, F.col("none_n") - zero("set_none_n")).otherwise(F.col("all_n") - F.coalesce("set_n", F.lit(1))).alias("n_unknown"),
+    )
 
 
 def query_compound_het(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = compound_pairs(variants(spark, sf_dir)).where("relation = 'trans'")
-    each = pairs.select("gene", F.explode(F.array(F.struct("pos", "partner"), F.struct(F.col("partner").alias("pos"), F.col("pos").alias("partner")))).alias("x")).select("gene", "x.*")
-    return each.groupBy("gene", "pos").agg(F.count("*").alias("n_partners"), F.min("partner").alias("first_partner"), F.max("partner").alias("last_partner"))
+    return partners(variants(spark, sf_dir)).where("n_trans > 0 OR n_unknown > 0")
 
 
 def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = variants(spark, sf_dir)
-    pairs = compound_pairs(v).where("relation = 'trans'")
-    paired = pairs.select("gene", F.explode(F.array("pos", "partner")).alias("pos")).distinct().withColumn("paired", F.lit(True))
-    v = v.where(F.col("af") <= RECESSIVE_AF).join(paired, ["gene", "pos"], "left")
-    v = v.withColumn("cls", F.when(F.col("paired"), "comphet").otherwise(F.col("cls"))).where(F.col("paired") | (F.col("cls") == "hom_alt") | (F.col("faf") <= DOMINANT_AF))
+    met = partners(v).select("gene", "pos", F.when(F.col("n_trans") > 0, "comphet").when(F.col("n_unknown") > 0, "comphet_unphased").alias("paired"))
+    v = v.where(F.col("af") <= RECESSIVE_AF).join(met, ["gene", "pos"], "left")
+    v = v.withColumn("cls", F.coalesce("paired", "cls")).where(F.col("paired").isNotNull() | (F.col("cls") == "hom_alt") | (F.col("faf") <= DOMINANT_AF))
     severity = F.when(F.col("q") % 4 == 0, 1.0).when(F.col("q") % 4 == 1, 0.6).when(F.col("q") % 4 == 2, 0.25)
     prior = F.coalesce(*(F.when(F.col("cls") == c, F.lit(p)) for c, p in PRIORS.items()))
     fit = F.when(F.col("gene") % 3 == 0, 1.0).when(F.col("gene") % 3 == 1, 0.8).otherwise(0.5)
@@ -103,10 +128,12 @@ def query_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _V = f"""v0 AS (SELECT l_suppkey AS gene, l_orderkey * 10 + l_linenumber AS pos,
   CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'de_novo' WHEN l_returnflag = 'A' AND l_linenumber = 2 THEN 'hom_alt' ELSE 'inherited_het' END AS cls,
-  CASE WHEN l_linestatus = 'F' THEN 'mat' ELSE 'pat' END AS origin, l_discount AS af, l_tax AS faf, CAST(l_quantity AS INTEGER) AS q, l_partkey % 100 AS rank_score, l_extendedprice AS price FROM lineitem),
-v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene, pos ORDER BY CASE cls {' '.join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(ORDER))} END, origin, af, faf, q, rank_score, price) AS rn FROM v0) WHERE rn = 1),
-het AS (SELECT * FROM v WHERE cls = 'inherited_het' AND af <= {RECESSIVE_AF} AND q >= 45),
-pr AS (SELECT a.gene, a.pos, b.pos AS partner FROM het a JOIN het b ON a.gene = b.gene AND a.pos < b.pos AND a.origin <> b.origin)"""
+  CASE WHEN l_linenumber < 4 THEN CASE WHEN l_linestatus = 'F' THEN 'mat' ELSE 'pat' END END AS origin, CASE WHEN l_linenumber <> 6 THEN l_orderkey // 40 END AS ps, l_partkey % 2 AS hap, l_discount AS af, l_tax AS faf, CAST(l_quantity AS INTEGER) AS q, l_partkey % 100 AS rank_score, l_extendedprice AS price FROM lineitem),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene, pos ORDER BY CASE cls {' '.join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(ORDER))} END, origin NULLS FIRST, af, faf, q, rank_score, price, hap) AS rn FROM v0) WHERE rn = 1),
+het AS (SELECT *, max(pos) OVER (PARTITION BY gene, ps) - min(pos) OVER (PARTITION BY gene, ps) <= {TRUSTED} AS ok FROM v WHERE cls = 'inherited_het' AND af <= {RECESSIVE_AF}),
+rel AS (SELECT a.gene, a.pos, b.pos AS partner, CASE WHEN a.origin <> b.origin THEN 'trans' WHEN a.origin = b.origin THEN 'cis' WHEN a.ps = b.ps AND a.ok THEN CASE WHEN a.hap = b.hap THEN 'cis' ELSE 'trans' END ELSE 'unknown' END AS rel
+  FROM het a JOIN het b ON a.gene = b.gene AND a.pos <> b.pos),
+pr AS (SELECT gene, pos, count(*) FILTER (rel = 'trans') AS n_trans, min(partner) FILTER (rel = 'trans') AS first_trans, max(partner) FILTER (rel = 'trans') AS last_trans, count(*) FILTER (rel = 'unknown') AS n_unknown FROM rel GROUP BY 1, 2)"""
 SQL = {
     "prj16_predictors": """WITH s AS (SELECT CASE WHEN l_discount * 10 >= 0.932 THEN 0.85 WHEN l_discount * 10 >= 0.773 THEN 0.75 WHEN l_discount * 10 >= 0.644 THEN 0.65 ELSE 0 END AS a,
   CASE WHEN l_tax * 10 >= 0.5 THEN 0.85 WHEN l_tax * 10 >= 0.2 THEN 0.65 ELSE 0 END AS b, CASE WHEN l_quantity >= 28.1 THEN 0.65 WHEN l_quantity >= 25.3 THEN 0.6 ELSE 0 END AS c, CASE WHEN l_partkey % 5 = 0 THEN 0.7 ELSE 0 END AS d FROM lineitem),
@@ -115,10 +142,9 @@ SELECT round(CAST(s AS DOUBLE), 4) AS support, count(*) AS n FROM t GROUP BY 1""
     "prj14_af_summary": """WITH g AS (SELECT l_partkey, CAST(month(l_shipdate) % 5 AS VARCHAR) AS grp, count(*) FILTER (l_returnflag = 'A') AS ac, count(*) AS an FROM lineitem GROUP BY 1, 2),
 f AS (SELECT *, CAST(ac AS DOUBLE) / an AS af, row_number() OVER (PARTITION BY l_partkey ORDER BY CAST(ac AS DOUBLE) / an DESC, grp DESC) AS rn FROM g WHERE an > 2)
 SELECT l_partkey, round(max(af), 6) AS filter_af, max(CASE WHEN rn = 1 THEN grp END) AS grpmax, count(*) AS n_groups FROM f GROUP BY 1""",
-    "jn07_compound_het": f"""WITH {_V}, e AS (SELECT gene, pos, partner FROM pr UNION ALL SELECT gene, partner, pos FROM pr)
-SELECT gene, pos, count(*) AS n_partners, min(partner) AS first_partner, max(partner) AS last_partner FROM e GROUP BY 1, 2""",
-    "cmd01_triage": f"""WITH {_V}, pd AS (SELECT gene, pos FROM pr UNION SELECT gene, partner FROM pr),
-t AS (SELECT v.gene, v.pos, v.q, v.rank_score, v.faf, CASE WHEN pd.gene IS NOT NULL THEN 'comphet' ELSE cls END AS cls, pd.gene IS NOT NULL AS paired FROM v LEFT JOIN pd ON pd.gene = v.gene AND pd.pos = v.pos WHERE af <= {RECESSIVE_AF}),
+    "jn07_compound_het": f"""WITH {_V} SELECT * FROM pr WHERE n_trans > 0 OR n_unknown > 0""",
+    "cmd01_triage": f"""WITH {_V}, pd AS (SELECT gene, pos, CASE WHEN n_trans > 0 THEN 'comphet' WHEN n_unknown > 0 THEN 'comphet_unphased' END AS paired FROM pr),
+t AS (SELECT v.gene, v.pos, v.q, v.rank_score, v.faf, coalesce(paired, cls) AS cls, paired IS NOT NULL AS paired FROM v LEFT JOIN pd ON pd.gene = v.gene AND pd.pos = v.pos WHERE af <= {RECESSIVE_AF}),
 s AS (SELECT cls, gene, pos, round(0.40e0 * rank_score / 100 + 0.35e0 * CASE q % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0.25e0 END
   + 0.25e0 * CASE cls {' '.join(f"WHEN '{c}' THEN {p}e0" for c, p in PRIORS.items())} END * CASE gene % 3 WHEN 0 THEN 1e0 WHEN 1 THEN 0.8e0 ELSE 0.5e0 END, 6) AS score FROM t WHERE paired OR cls = 'hom_alt' OR faf <= {DOMINANT_AF})
 SELECT * FROM (SELECT cls, row_number() OVER (PARTITION BY cls ORDER BY score DESC NULLS LAST, pos, gene) AS n, gene, pos, score FROM s) WHERE n <= 30""",
