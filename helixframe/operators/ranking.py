@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from helixframe.sources.scratch import keep
+
 CASES = 2000  #: cases of a block
 ROWS = 256  #: diseases scored at once
+LOWER = 32  #: bits of the lower part of a disease id
 
 
 class Block:
@@ -137,7 +140,7 @@ class _Best:
         self.top, self.rows, self.scores, self.counts = top, None, np.empty(0), np.empty(0, np.int64)
 
     def add(self, rows: np.ndarray) -> None:
-        """`rows`: columns score, exact, specificity, disease, excluded hits."""
+        """`rows`: columns score, exact, specificity, upper and lower part of the disease id, excluded hits."""
         values, counts = np.unique(rows[:, 0], return_counts=True)
         if self.rows is not None:
             rows = np.concatenate([self.rows, rows])
@@ -146,7 +149,7 @@ class _Best:
             values = both
         if len(rows) > self.top:
             rows = rows[rows[:, 0] >= np.partition(rows[:, 0], -self.top)[-self.top]]
-        self.rows = rows[np.lexsort((-rows[:, 3], -rows[:, 2], -rows[:, 1], -rows[:, 0]))[: self.top]]
+        self.rows = rows[np.lexsort((-rows[:, 4], -rows[:, 3], -rows[:, 2], -rows[:, 1], -rows[:, 0]))[: self.top]]
         keep = values >= self.rows[-1, 0]
         self.scores, self.counts = values[keep], counts[keep]
 
@@ -169,11 +172,15 @@ def rank(case_terms: DataFrame, closed: DataFrame, carried: DataFrame, ic: DataF
         curated = absent.groupBy("disease").agg(F.collect_set("term").alias("absents"))
         diseases = diseases.join(curated, "disease", "left").withColumn("absents", F.coalesce("absents", F.array().cast("array<string>")))
     n = math.ceil(case_terms.agg(F.countDistinct("case_id")).first()[0] / CASES)
+    if n > 1:  # read by every block
+        diseases = keep(diseases, "diseases")
     found = None
     for i in range(max(n, 1)):
         mine = asked.where(F.pmod(F.xxhash64("case_id"), F.lit(max(n, 1))) == i).orderBy("case_id", "term")
         block = spark.sparkContext.broadcast(Block(mine.collect()))
         part = diseases.mapInArrow(_scorer(block, top, score), SCHEMA)
+        if n > 1:  # one block after the other; what is left of each is a small table
+            part = keep(part, "ranked")
         found = part if found is None else found.union(part)
     by_case = W.partitionBy("case_id")
     order = by_case.orderBy(F.desc("score"), F.desc("exact"), F.desc("specificity"), F.desc("disease"))
@@ -207,7 +214,8 @@ def _scorer(shared, top: int, score):
                     absent = np.zeros(carried.shape, bool)
                     absent[row, at] = True
                 ic, exact, freq = block.best(carried)
-                ids = b.column(0).to_numpy().astype(np.float64)
+                ids = b.column(0).to_numpy()
+                upper, lower = (ids >> LOWER).astype(np.float64), (ids & ((1 << LOWER) - 1)).astype(np.float64)  # each exact, whatever the id
                 for c, terms in enumerate(block.present):
                     if not terms:
                         continue
@@ -219,13 +227,13 @@ def _scorer(shared, top: int, score):
                     value = np.round(score(block, c, mine, exact[terms], freq[terms], carried, absent), 6)
                     specificity = np.round(mine.sum(axis=0) / np.maximum(hits, 1), 6)
                     shown = (~np.isnan(carried[:, block.excluded[c]])).sum(axis=1)
-                    best[c].add(np.column_stack([value, exact[terms].sum(axis=0), specificity, ids, shown])[some])
+                    best[c].add(np.column_stack([value, exact[terms].sum(axis=0), specificity, upper, lower, shown])[some])
         for case, x in zip(block.cases, best, strict=True):
             if x.rows is not None:
                 first = np.r_[True, x.rows[1:, 0] != x.rows[:-1, 0]]
                 same = np.where(first, x.counts[np.searchsorted(x.scores, x.rows[:, 0])], 0)
                 r = x.rows
-                columns = [pa.array([case] * len(r)), pa.array(r[:, 3].astype(np.int64)), pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int64)), pa.array(r[:, 2]), pa.array(r[:, 4].astype(np.int64)), pa.array(same)]
+                columns = [pa.array([case] * len(r)), pa.array((r[:, 3].astype(np.int64) << LOWER) | r[:, 4].astype(np.int64)), pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int64)), pa.array(r[:, 2]), pa.array(r[:, 5].astype(np.int64)), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, ["case_id", "disease", "score", "exact", "specificity", "excluded_hits", "same"])
 
     return run
