@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+BROADCAST_ROWS = 500_000  #: a table of more rows is shuffled
+
+
+def narrow(t: DataFrame) -> DataFrame:
+    return F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+
+
+PART = 500_000  #: rows that a task takes of a table dealt by `spread`
+
+
+def spread(df: DataFrame, rows: int, *keys: str, part: int = PART) -> DataFrame:
+    """`df`, dealt by keys to tasks of about `part` of the `rows` that come of it.
+
+    The number grows with the input, so a task's share doesn't, and as it is stated, adaptive execution puts no tasks together
+    whose few rows will become many.
+    """
+    return df.repartition(1 + int(rows) // part, *keys)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """`df`, written and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -77,3 +77,12 @@ def test_folded_names(spark):
 def test_acronyms(spark):
     raw = ["CAH", "aHUS", "X-ALD", "CAH type 2b", "CAH Disease IV", "Cah", "abCD", "CAH and more", "ABCDEFGHI", "ÄBC", "A", "", None]
     assert values(spark, [(x,) for x in raw], "s string", records.is_acronym(F.col("s"))) == [True] * 5 + [False] * 8
+
+
+def test_entity_resolution_joins_no_customer_with_all_classes(spark):
+    from helixframe.operators.consensus import query_entity_resolution
+
+    df = query_entity_resolution(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2
+    assert df.count() == df.select("id").distinct().count() == 150
