@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators.ontology import closure
 from helixframe.plans import projections as P
+from helixframe.sources.scratch import keep, narrow, spread
 
 #: shapes of identifiers by prefix (fixed values)
 SHAPES = {
@@ -23,10 +24,14 @@ def links(asked: DataFrame, exact: DataFrame, mapped: DataFrame, replaced: DataF
     """
     own = asked.select("omim", F.concat(F.lit("OMIM:"), F.col("omim").cast("string")).alias("object"), F.lit(0).alias("step"))
     through = asked.join(exact, "omim").select("omim", F.concat(F.lit("ORPHA:"), F.col("orpha").cast("string")).alias("object"), F.lit(1).alias("step"))
-    found = own.union(through).join(mapped, "object").join(replaced, "mondo", "left")
+    # The best link of an object to a class is the same for all entries, so it is found once an object.
     how = F.when(~F.col("obsolete"), "exact match").when(F.col("by").isNotNull(), "replacement of an obsolete match").otherwise("obsolete, not replaced")
-    order = F.col("step") * 2 + F.col("obsolete").cast("int")
-    each = found.select("omim", F.coalesce(F.when(F.col("obsolete"), F.col("by")), "mondo").alias("mondo"), F.struct(order.alias("o"), how.alias("how"), "object").alias("link"))
+    target = F.coalesce(F.when(F.col("obsolete"), F.col("by")), "mondo").alias("mondo")
+    best = mapped.join(replaced, "mondo", "left").groupBy("object", target).agg(F.min(F.struct(F.col("obsolete").cast("int").alias("o"), how.alias("how"))).alias("link"))
+    best = keep(best.select("object", "mondo", "link.o", "link.how"), "best")
+    asks = keep(own.union(through), "asks")
+    rows = asks.groupBy("object").agg(F.count("*").alias("a")).join(best.groupBy("object").agg(F.count("*").alias("b")), "object").agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    each = spread(asks, rows or 0, "omim").join(narrow(best), "object").select("omim", "mondo", F.struct((F.col("step") * 2 + F.col("o")).alias("o"), "how", "object").alias("link"))
     first = each.groupBy("omim", "mondo").agg(F.min("link").alias("link"))
     return first.select("omim", "mondo", F.col("link.how").alias("how"), F.col("link.object").alias("source"))
 

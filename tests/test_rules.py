@@ -86,3 +86,17 @@ def test_entity_resolution_joins_no_customer_with_all_classes(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 2
     assert df.count() == df.select("id").distinct().count() == 150
+
+
+def test_links_of_few_objects_are_dealt_by_what_comes_of_them(spark, monkeypatch):
+    from helixframe.operators import resolve
+
+    asked = spark.range(40).select(F.col("id").alias("omim"))
+    exact = asked.select("omim", (F.col("omim") % 2).alias("orpha"))
+    mapped = spark.range(100).selectExpr("concat('ORPHA:', id % 2) AS object", "id AS mondo", "id % 10 = 0 AS obsolete").union(spark.sql("SELECT 'OMIM:7', 10L, true"))
+    replaced = spark.sql("SELECT 10L AS mondo, 11L AS by")
+    monkeypatch.setattr(resolve, "spread", lambda df, rows, *keys: resolve.keep(df.repartition(1 + int(rows) // 500, *keys), f"dealt-{rows}"))
+    df = resolve.links(asked, exact, mapped, replaced)
+    assert "dealt-2001" in "".join(df.inputFiles())  # 40 entries with 50 classes each, and one of their own
+    got = {(r.omim, r.mondo): (r.how, r.source) for r in df.collect()}
+    assert got[7, 11] == ("replacement of an obsolete match", "OMIM:7") and got[8, 20] == ("obsolete, not replaced", "ORPHA:0") and got[7, 13] == ("exact match", "ORPHA:1")
