@@ -9,20 +9,29 @@ from pyspark.sql import functions as F
 from helixframe.functions.special import lgamma, log_choose
 from helixframe.operators.genotype import wilson
 from helixframe.plans import projections as P
+from helixframe.sources.scratch import keep, spread
+
+
+STRETCH = 2048  #: cells of a table's support that are dealt together
 
 
 def fisher(tables: DataFrame, key: str) -> DataFrame:
     """tables(key, a, b, c, d): two-sided and greater p, odds ratio with Haldane's correction and Woolf's interval.
 
-    The support of each table is exploded, so a table costs a row for each possible first cell.
+    The support of each table is exploded, so a table costs a row for each possible first cell. It is dealt in stretches
+    of STRETCH cells, so that few tables of large counts use as many tasks as many small ones.
     """
+    tables = keep(tables, "tables")
     lo, hi = F.greatest(F.lit(0), F.col("a") + F.col("c") - F.col("c") - F.col("d")), F.least(F.col("a") + F.col("b"), F.col("a") + F.col("c"))
     n, row, col = F.col("a") + F.col("b") + F.col("c") + F.col("d"), F.col("a") + F.col("b"), F.col("a") + F.col("c")
-    each = tables.select("*", F.explode(F.sequence(lo, hi)).alias("x"))
-    logp = log_choose(col, F.col("x")) + log_choose(n - col, row - F.col("x")) - log_choose(n, row)
-    each = each.withColumn("lp", logp)
-    here = each.where("x = a").select(F.col(key), F.col("lp").alias("seen"))
-    sums = each.join(here, key).groupBy(key, "a", "b", "c", "d").agg(
+    g = lambda x: lgamma((x + 1).cast("double"))
+    tables = tables.withColumns({"_col": g(col), "_rest": g(n - col), "_all": log_choose(n, row)})  # what all cells of a table share
+    logp = lambda x: (F.col("_col") - g(x) - g(col - x)) + (F.col("_rest") - g(row - x) - g(n - col - row + x)) - F.col("_all")
+    cells = tables.agg(F.sum(hi - lo + 1)).first()[0] or 0
+    parts = tables.select("*", hi.alias("_hi"), F.explode(F.sequence(lo, hi, F.lit(STRETCH).cast("long"))).alias("_x"))
+    parts = spread(parts.withColumn("seen", logp(F.col("a"))), cells, key, "_x", part=10 * STRETCH)
+    each = parts.select("*", F.explode(F.sequence(F.col("_x"), F.least(F.col("_x") + STRETCH - 1, F.col("_hi")))).alias("x")).withColumn("lp", logp(F.col("x")))
+    sums = each.groupBy(key, "a", "b", "c", "d").agg(
         F.sum(F.when(F.col("lp") <= F.col("seen") + 1e-7, F.exp("lp")).otherwise(0.0)).alias("p_two"), F.sum(F.when(F.col("x") >= F.col("a"), F.exp("lp")).otherwise(0.0)).alias("p_greater")
     )
     fix = F.when(F.least("a", "b", "c", "d") == 0, 0.5).otherwise(0.0)

@@ -100,3 +100,30 @@ def test_links_of_few_objects_are_dealt_by_what_comes_of_them(spark, monkeypatch
     assert "dealt-2001" in "".join(df.inputFiles())  # 40 entries with 50 classes each, and one of their own
     got = {(r.omim, r.mondo): (r.how, r.source) for r in df.collect()}
     assert got[7, 11] == ("replacement of an obsolete match", "OMIM:7") and got[8, 20] == ("obsolete, not replaced", "ORPHA:0") and got[7, 13] == ("exact match", "ORPHA:1")
+
+
+def test_one_table_of_large_counts_fills_many_tasks(spark):
+    from math import comb
+
+    from helixframe.operators.statistics import fisher
+
+    a, b, c, d = 10_050, 9_950, 9_970, 10_530
+    row, col, n = a + b, a + c, a + b + c + d
+    weight, w = [], comb(n - col, row)  # of first cells from 0 on, exact
+    for x in range(min(row, col) + 1):
+        weight.append(w)
+        w = w * (col - x) * (row - x) // ((x + 1) * (n - col - row + x + 1))
+    total = sum(weight)
+    two, greater = sum(v for v in weight if v <= weight[a]) * 10**12 // total / 1e12, sum(weight[a:]) * 10**12 // total / 1e12
+    df = fisher(spark.createDataFrame([(None, a, b, c, d)], "key string, a long, b long, c long, d long"), "key")
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    r = df.first()
+    assert abs(r.p_two - two) < 2e-6 and abs(r.p_greater - greater) < 2e-6
+
+
+def test_sites_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    from helixframe.operators import trio
+
+    monkeypatch.setattr(trio, "SITES_PART", 1000)
+    plan = trio.trios(trio.calls(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
