@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.plans import projections as P
+from helixframe.sources.scratch import spread
 
 MIN_DP, MIN_GQ = 10, 20
 CARRIER = ("het", "hom_alt", "hemi")
@@ -104,6 +105,7 @@ def moi_fit(cls: Column, modes: Column, ctype: Column) -> Column:
 
 # --- projections -------------------------------------------------------------------------------------------------
 
+SITES_PART = 250_000  #: sites that a task takes
 ZYGOSITIES = ("hom_ref", "het", "hom_alt", "missing", "other", "hemi")
 MODES = (("AD",), ("AR",), ("XL",), ("XLR",), ("XLD",), ("MT",), ("YL",), ("SD",), (), ("AD", "AR"), ("XL", "XLR"))
 
@@ -116,7 +118,9 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fam, chrom, pos, sex): sites of a family, which is a supplier; one a line item number, part and order."""
     li = P.table(spark, sf_dir, "lineitem")
     chrom = F.when(F.col("l_partkey") % 25 == 22, "X").when(F.col("l_partkey") % 25 == 23, "Y").when(F.col("l_partkey") % 25 == 24, "MT").otherwise((F.col("l_partkey") % 25 + 1).cast("string"))
-    return li.select(F.col("l_suppkey").alias("fam"), chrom.alias("chrom"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10).alias("pos"), F.col("l_partkey").alias("gene"), F.col("l_quantity").cast("long").alias("q"), F.col("l_linenumber").cast("long").alias("ln")).groupBy("fam", "chrom", "pos").agg(F.min("gene").alias("gene"), F.min("q").alias("q"), F.min("ln").alias("ln"))
+    rows = li.select(F.col("l_suppkey").alias("fam"), chrom.alias("chrom"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10).alias("pos"), F.col("l_partkey").alias("gene"), F.col("l_quantity").cast("long").alias("q"), F.col("l_linenumber").cast("long").alias("ln"))
+    # Three calls come of each site where it lies, and are put together there, so a task takes a stated number of sites.
+    return spread(rows, li.count(), "fam", "chrom", "pos", part=SITES_PART).groupBy("fam", "chrom", "pos").agg(F.min("gene").alias("gene"), F.min("q").alias("q"), F.min("ln").alias("ln"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
