@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators.genotype import wilson
 from helixframe.plans import projections as P
+from helixframe.sources.scratch import keep, spread
 
 REPS = 1000
 KS = (1, 3, 10, 25)
@@ -100,14 +101,36 @@ def query_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).withColumn("i", F.row_number().over(order)).where("i = 1").select("disease", "case_id", "pos")
 
 
+PAIRS = 2_000_000  #: pairs that a task makes and counts, about
+
+
+def nearest(sets: DataFrame, part: int = PAIRS) -> DataFrame:
+    """(a, b, jaccard): of each a of the distinct rows (a, x) the other one of greatest Jaccard similarity to six digits, of equals the smallest.
+
+    An inverted index, of which each member of an entry gets the entry itself, as two arrays of small numbers; pairs are
+    made and counted where all entries of an `a` meet, in tasks of about `part` pairs, and none is shuffled.
+    """
+    sets = keep(sets.withColumn("n", F.count("*").over(W.partitionBy("a"))), "sets")
+    most = sets.agg(F.max("a").alias("a"), F.min("a").alias("least"), F.max("n").alias("n")).first()
+    ids = "int" if most["a"] is not None and isinstance(most["a"], int) and -(1 << 31) <= most["least"] and most["a"] < 1 << 31 else sets.schema["a"].dataType.simpleString()
+    sizes = "smallint" if (most["n"] or 0) < 1 << 15 else "int"
+    entry = F.sort_array(F.collect_list(F.struct(F.col("a").cast(ids).alias("a"), F.col("n").cast(sizes).alias("n"))))
+    entries = sets.groupBy("x").agg(entry.alias("e")).where(F.size("e") > 1)
+    index = keep(entries.select(F.col("e.a").alias("bs"), F.col("e.n").alias("ns")), "index")
+    pairs = index.agg(F.sum(F.size("bs").cast("long") * F.size("bs"))).first()[0] or 0
+    sent = spread(index.select(F.posexplode("bs").alias("i", "a"), "bs", "ns").select("a", F.expr("ns[i]").alias("na"), "bs", "ns"), pairs, "a", part=part)
+    met = sent.select("a", "na", F.explode(F.arrays_zip("bs", "ns")).alias("o")).select("a", "na", F.col("o.bs").alias("b"), F.col("o.ns").alias("nb")).where("a <> b")
+    common = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("i"))
+    j = common.select("a", "b", F.round(F.col("i") / (F.col("na").cast("long") + F.col("nb") - F.col("i")), 6).alias("jaccard"))
+    best = j.groupBy("a").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "b")).alias("m"))
+    kind = sets.schema["a"].dataType
+    return best.select(F.col("a").cast(kind).alias("a"), F.col("m.b").cast(kind).alias("b"), (-F.col("m.j")).alias("jaccard"))
+
+
 def query_nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-out nearest customer by Jaccard of the parts bought, through an inverted index, and whether its segment is the same."""
     o, li, c = (P.table(spark, sf_dir, x) for x in ("orders", "lineitem", "customer"))
-    sets = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("x")).distinct()
-    size = sets.groupBy("a").agg(F.count("*").alias("na"))
-    common = sets.join(sets.select(F.col("a").alias("b"), "x"), "x").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("i"))
-    j = common.join(size, "a").join(size.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").withColumn("jaccard", F.round(F.col("i") / (F.col("na") + F.col("nb") - F.col("i")), 6))
-    best = j.withColumn("n", F.row_number().over(W.partitionBy("a").orderBy(F.desc("jaccard"), "b"))).where("n = 1")
+    best = nearest(o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), F.col("l_partkey").alias("x")).where("a IS NOT NULL AND x IS NOT NULL").distinct())
     seg = c.select(F.col("c_custkey"), "c_mktsegment")
     return best.join(seg.toDF("a", "sa"), "a").join(seg.toDF("b", "sb"), "b").select("a", "b", "jaccard", (F.col("sa") == F.col("sb")).alias("hit"))
 
