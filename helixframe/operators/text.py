@@ -77,9 +77,30 @@ PII = (
 )
 
 
+#: what finds the same texts faster: words that must be there, and a pattern that fails at the first character of most places
+PII_FAST = {
+    "email": (("@",), r"[a-z0-9._%+-]@[a-z0-9-]+\.[a-z0-9-]"),
+    "card": ((), r"[0-9](?<![0-9]{2})[0-9]{15}(?![0-9])"),
+    "phone": (("-",), r"[0-9](?<![0-9]{2})[0-9]{2}-[0-9]{4}(?![0-9])"),
+    "ip": ((), r"[0-9](?<![0-9.][0-9])[0-9]{0,2}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9.])"),
+    "secret": (("password", "token", "secret"), r"(?:password|token|secret) *[:=]"),
+    "resident_id": ((), r"[1-9](?<![0-9][1-9])[0-9]{16}[0-9x](?![0-9x])"),
+}
+
+
 def privacy_reasons(text: Column) -> Column:
-    folded = F.lower(F.regexp_replace(text, "%40", "@"))
-    return F.array_compact(F.array(*(F.when(folded.rlike(p), F.lit(k)) for k, p in PII)))
+    """The kinds of PII that a text has, in their order."""
+    folded = F.lower(F.replace(text, F.lit("%40"), F.lit("@")))
+
+    def has(t: Column, kind: str) -> Column:
+        words, pattern = PII_FAST[kind]
+        any_word = None
+        for w in words:
+            any_word = F.contains(t, F.lit(w)) if any_word is None else any_word | F.contains(t, F.lit(w))
+        return t.rlike(pattern) if any_word is None else any_word & t.rlike(pattern)
+
+    # A lambda's argument is made once, so a text is folded once and not for each pattern.
+    return F.get(F.transform(F.array(folded), lambda t: F.array_compact(F.array(*(F.when(has(t, k), F.lit(k)) for k, _ in PII)))), F.lit(0))
 
 
 def query_privacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,3 +145,16 @@ def test_nearest_without_a_shuffle_of_pairs(spark):
         if near:
             want[a] = min(near)
     assert {r.a: (-r.jaccard, r.b) for r in df.collect()} == want
+
+
+def test_fast_patterns_find_what_the_stated_ones_do(spark):
+    import re
+
+    from helixframe.operators import text
+
+    random.seed(4)
+    parts = ["a@b.c", "@", "a%40b-c.d.", "1234567890123456", "555-1234", "x", "10.0.0.255", ".", "1", "12345", "token", " ", ":", "=", "password  ", "12345678901234567x", "-", "\n", "secret", "0", "7.1.2.3", "\r\n"]
+    rows = ["".join(random.choices(parts, k=random.randint(0, 5))) for _ in range(3000)]
+    got = values(spark, [(r,) for r in rows], "t string", text.privacy_reasons(F.col("t")))
+    assert got == [[k for k, p in text.PII if re.search(p, r.replace("%40", "@").lower())] for r in rows]
+    assert not any(p.startswith(("(^", "[a-z0-9._%+-]+@")) for _, p in text.PII_FAST.values())
