@@ -82,9 +82,12 @@ def drug_mentions(texts: DataFrame, drugs: DataFrame) -> DataFrame:
     read = texts.select("id", F.array_join(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}][\p{L}\p{N}-]*|[.,;:!?\n]"), F.lit(0)), lambda w: ~drop(w)), " ").alias("words"))
     first = keys.groupBy(F.substring_index("phrase", " ", 1).alias("word")).agg(F.collect_set(F.size(F.split("phrase", " "))).alias("lengths"))
     words = read.select("id", F.split("words", " ").alias("words"))
-    begins = words.select("id", "words", F.posexplode("words").alias("at", "word")).join(_narrow(first), "word")
-    runs = begins.select("id", "at", F.explode("lengths").alias("n"), "words").where(F.col("at") + F.col("n") <= F.size("words"))
-    runs = runs.select("id", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("phrase")).distinct()
+    # A word takes along as many words as the longest moiety has, not its text.
+    longest = keys.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
+    begins = words.select("id", "words", F.posexplode("words").alias("at", "word")).select("id", "word", F.slice("words", F.col("at") + 1, F.lit(longest)).alias("run"))
+    begins = begins.join(_narrow(first), "word")
+    runs = begins.select("id", F.explode("lengths").alias("n"), "run").where(F.col("n") <= F.size("run"))
+    runs = runs.select("id", F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("phrase")).distinct()
     return runs.join(_narrow(keys), "phrase").select("id", "drug", "name")
 
 

@@ -58,3 +58,20 @@ def test_drug_mentions_on_borders_and_across_salts(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     d = spark.createDataFrame([(1, "Imatinib hydrochloride"), (2, "Folic acid tablets"), (3, "nusinersen"), (4, "sodium chloride")], "drug long, name string")
     assert {(r.id, r.drug) for r in phrases.drug_mentions(t, d).collect()} == {(0, 1), (3, 2), (4, 3), (4, 1)}
+
+
+def test_words_of_drugs_take_no_texts_along(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from helixframe.operators import phrases
+
+    seen = []
+    monkeypatch.setattr(phrases, "_narrow", lambda t: t)
+    texts = spark.createDataFrame([(1, "given alpha beta gamma and more words of a long text, alpha sulfate")], "id long, text string")
+    drugs = spark.createDataFrame([(7, "Alphazol"), (8, "Gamma Delta"), (9, "beta gamma")], "drug long, name string")
+    df = phrases.drug_mentions(texts, drugs)
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        seen += [line] if "SortMergeJoin [word" in line else []
+    joined = df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, (word")[1]
+    assert seen and "slice(words" in joined  # cut before the join
+    assert [tuple(r) for r in df.collect()] == [(1, 9, "beta gamma")]
