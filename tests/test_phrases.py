@@ -75,3 +75,21 @@ def test_words_of_drugs_take_no_texts_along(spark, monkeypatch):
     joined = df._jdf.queryExecution().optimizedPlan().toString().split("Join Inner, (word")[1]
     assert seen and "slice(words" in joined  # cut before the join
     assert [tuple(r) for r in df.collect()] == [(1, 9, "beta gamma")]
+
+
+def test_hits_are_made_where_the_text_lies(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(phrases, "CHARS", 20)
+    t = spark.createDataFrame([(1, "no fever but late walked late"), (None, "walked late. Fever"), (3, "walked"), (4, None)], "id long, text string")
+    d = spark.createDataFrame([(w,) for w in ["fever", "fever", "walked", "walked", "walked late", "late walked"]], "phrase string")
+    df = phrases.phrase_hits(t, d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(word" not in plan  # neither words nor hits are shuffled
+    found = {(r.id, r.clause, r.at, r.phrase, r.negated) for r in df.collect()}
+    assert found == {(1, 0, 1, "fever", True), (1, 0, 3, "late walked", False), (None, 0, 0, "walked late", False), (None, 1, 0, "fever", False), (3, 0, 0, "walked", False)}
+
+
+def test_rare_phrases_equal_a_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(phrases, "BITS", 64)
+    test_equals_a_plain_search(spark)
