@@ -95,3 +95,18 @@ def test_sample_is_evenly_spaced(spark):
     rows = spark.range(1000).selectExpr("id", "id % 2 AS file", "1 AS contig", "id AS pos", "'A' AS ref")
     for r in alignment.ref_sample(rows.unionAll(rows), 50).groupBy("file").agg({"*": "count", "pos": "max"}).collect():
         assert r["count(1)"] == 50 and r["max(pos)"] > 950
+
+
+def test_a_stretch_asks_one_place_and_nothing_is_joined_by_id(spark, monkeypatch):
+    blocks = spark.createDataFrame([("g", 0, "ACGT"), ("g", 1, "CCAA"), ("g", 2, "GG"), ("h", 1, "TTTT")], "contig string, block long, bases string")
+    rows = spark.createDataFrame([(1, "g", 3, 4), (2, "g", 1, 10), (3, "g", 9, 5), (4, "g", 11, 1), (5, "h", 4, 2), (6, "x", 1, 1), (7, "g", None, 1), (8, "g", 2, 0), (9, "h", 1, 2), (10, None, 1, 1)], "id long, contig string, s long, n int")
+    want = {1: "GTCC", 2: "ACGTCCAAGG", 3: "GG", 4: None, 5: "T", 6: None, 7: None, 8: None, 9: None, 10: None}
+    at = lambda r, **more: alignment.bases_at(r, {"a": blocks, "b": blocks}, r["s"], r["n"], 4, **more)
+    assert {r.id: r.a for r in at(rows).collect()} == {r.id: r.b for r in at(rows).collect()} == want
+    near = at(rows.where("id <> 2"), longest=5)
+    assert {r.id: r.a for r in near.collect()} == {k: v for k, v in want.items() if k != 2}
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    v = spark.createDataFrame([(1, "g", 6, "C", "CA"), (2, "g", 1, "A", "AT")], "id long, contig string, pos long, ref string, alt string")
+    done = alignment.left_aligned(v, blocks, 4, longest=5)
+    assert {(r.id, r.new_pos, r.new_ref, r.new_alt, r.status) for r in done.collect()} == {(1, 6, "C", "CA", "aligned"), (2, 1, "A", "AT", "aligned")}
+    assert "(id#" not in "".join(x for x in done._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
