@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.plans import projections as P
+from helixframe.sources.scratch import keep, narrow
 
 RECESSIVE_AF, DOMINANT_AF = 0.06, 0.02
 PRIORS = {"de_novo": 1.0, "comphet": 0.9, "hom_alt": 0.8, "comphet_unphased": 0.6, "inherited_het": 0.3}
@@ -67,44 +68,46 @@ def query_af_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("l_partkey", F.round(af_summary(F.col("m")), 6).alias("filter_af"), F.col("b.grp").alias("grpmax"), F.size("m").cast("long").alias("n_groups"))
 
 
-def partners(v: DataFrame) -> DataFrame:
-    """(gene, pos, n_trans, first_trans, last_trans, n_unknown) of the rare hets of each gene.
+def partnered(v: DataFrame) -> DataFrame:
+    """`v` with n_trans, first_trans, last_trans and n_unknown of its rare hets, null for other rows.
 
     Two hets are in trans if they come from different parents, or, where a parent isn't known, if they lie on different
-    haplotypes of one phase set; they are in cis if the same; otherwise their phase is unknown. A phase set that spans more than
-    TRUSTED bases in a gene settles nothing. No pair is formed: what a het can meet is counted once for each gene and
-    parent, and for each phase set and haplotype, and looked up, so a gene of any size costs one row a het.
+    haplotypes (0 and 1) of one phase set; they are in cis if the same; otherwise their phase is unknown. A phase set that spans more than
+    TRUSTED bases in a gene settles nothing. No pair is formed: what a het can meet is counted once for each gene, by parent,
+    and once for each phase set, by haplotype, and looked up in these two tables, so a gene of any size costs one row a het.
     """
-    het = v.where((F.col("cls") == "inherited_het") & (F.col("af") <= RECESSIVE_AF)).select("gene", "pos", "origin", "phase_set", "hap")
-    spans = het.where("phase_set IS NOT NULL").groupBy("gene", "phase_set").agg((F.max("pos") - F.min("pos")).alias("span"))
-    het = het.join(spans, ["gene", "phase_set"], "left").withColumn("ps", F.when(F.col("span") <= TRUSTED, F.col("phase_set"))).drop("phase_set", "span")
-    count = lambda name: (F.count("*").alias(f"{name}_n"), F.min("pos").alias(f"{name}_min"), F.max("pos").alias(f"{name}_max"))
-    other = lambda c, x, y: F.when(c == x, y).when(c == y, x)
-    parent = het.where("origin IS NOT NULL").groupBy("gene", other(F.col("origin"), "mat", "pat").alias("origin")).agg(*count("parent"))
-    gene = het.groupBy("gene").agg(F.count("*").alias("all_n"), F.count_if(F.col("origin").isNull()).alias("none_n"))
-    phased = het.where("ps IS NOT NULL")
-    # By the haplotype they are opposite to; of all hets, and of those of unknown origin.
-    turned = (1 - F.col("hap")).alias("hap")
-    across = phased.groupBy("gene", "ps", turned).agg(*count("any"))
-    across_none = phased.where("origin IS NULL").groupBy("gene", "ps", turned).agg(*count("none_across"))
-    within = phased.groupBy("gene", "ps").agg(F.count("*").alias("set_n"), F.count_if(F.col("origin").isNull()).alias("set_none_n"))
-    j = het.join(gene, "gene").join(parent, ["gene", "origin"], "left").join(within, ["gene", "ps"], "left").join(across, ["gene", "ps", "hap"], "left").join(across_none, ["gene", "ps", "hap"], "left")
-    known, zero = F.col("origin").isNotNull(), lambda c: F.coalesce(F.col(c), F.lit(0))
+    rare = F.coalesce((F.col("cls") == "inherited_het") & (F.col("af") <= RECESSIVE_AF), F.lit(False))
+    het = v.where(rare).select("gene", "pos", "origin", "phase_set", "hap")
+    three = lambda name, on: (F.count_if(on).alias(f"{name}_n"), F.min(F.when(on, F.col("pos"))).alias(f"{name}_min"), F.max(F.when(on, F.col("pos"))).alias(f"{name}_max"))
+    none = F.col("origin").isNull()
+    genes = het.where("gene IS NOT NULL").groupBy("gene").agg(F.count("*").alias("all_n"), F.count_if(none).alias("none_n"), *three("mat", F.col("origin") == "mat"), *three("pat", F.col("origin") == "pat"))
+    by_hap = [c for h in (0, 1) for c in (*three(f"any{h}", F.col("hap") == h), *three(f"alone{h}", none & (F.col("hap") == h)))]
+    sets = het.where("phase_set IS NOT NULL").groupBy("gene", "phase_set").agg((F.max("pos") - F.min("pos")).alias("span"), F.count("*").alias("set_n"), F.count_if(none).alias("set_none_n"), *by_hap)
+    j = v.join(sets.where(F.col("span") <= TRUSTED), ["gene", "phase_set"], "left").join(narrow(genes), "gene", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    parent = lambda end: F.when(F.col("origin") == "mat", F.col(f"pat_{end}")).when(F.col("origin") == "pat", F.col(f"mat_{end}"))
+    across = lambda kind, end: F.when(F.col("hap") == 0, F.col(f"{kind}1_{end}")).when(F.col("hap") == 1, F.col(f"{kind}0_{end}"))
+    known, on = F.col("origin").isNotNull(), rare & F.col("all_n").isNotNull()
     return j.select(
-        "gene", "pos", F.when(known, zero("parent_n") + zero("none_across_n")).otherwise(zero("any_n")).alias("n_trans"),
-        F.when(known, F.least("parent_min", "none_across_min")).otherwise(F.col("any_min")).alias("first_trans"), F.when(known, F.greatest("parent_max", "none_across_max")).otherwise(F.col("any_max")).alias("last_trans"),
-        F.when(known, F.col("none_n") - zero("set_none_n")).otherwise(F.col("all_n") - F.coalesce("set_n", F.lit(1))).alias("n_unknown"),
+        *v.columns, F.when(on, F.when(known, zero(parent("n")) + zero(across("alone", "n"))).otherwise(zero(across("any", "n")))).alias("n_trans"),
+        F.when(on, F.when(known, F.least(parent("min"), across("alone", "min"))).otherwise(across("any", "min"))).alias("first_trans"),
+        F.when(on, F.when(known, F.greatest(parent("max"), across("alone", "max"))).otherwise(across("any", "max"))).alias("last_trans"),
+        F.when(on, F.when(known, F.col("none_n") - zero(F.col("set_none_n"))).otherwise(F.col("all_n") - F.coalesce("set_n", F.lit(1)))).alias("n_unknown"),
     )
 
 
+def partners(v: DataFrame) -> DataFrame:
+    """(gene, pos, n_trans, first_trans, last_trans, n_unknown) of the rare hets of each gene."""
+    return partnered(v).where("n_trans IS NOT NULL").select("gene", "pos", "n_trans", "first_trans", "last_trans", "n_unknown")
+
+
 def query_compound_het(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partners(variants(spark, sf_dir)).where("n_trans > 0 OR n_unknown > 0")
+    return partners(keep(variants(spark, sf_dir).where(F.col("af") <= RECESSIVE_AF), "rare")).where("n_trans > 0 OR n_unknown > 0")
 
 
 def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = variants(spark, sf_dir)
-    met = partners(v).select("gene", "pos", F.when(F.col("n_trans") > 0, "comphet").when(F.col("n_unknown") > 0, "comphet_unphased").alias("paired"))
-    v = v.where(F.col("af") <= RECESSIVE_AF).join(met, ["gene", "pos"], "left")
+    v = partnered(keep(variants(spark, sf_dir).where(F.col("af") <= RECESSIVE_AF), "rare"))  # read by each count
+    v = v.withColumn("paired", F.when(F.col("n_trans") > 0, "comphet").when(F.col("n_unknown") > 0, "comphet_unphased")).drop("n_trans", "first_trans", "last_trans", "n_unknown")
     v = v.withColumn("cls", F.coalesce("paired", "cls")).where(F.col("paired").isNotNull() | (F.col("cls") == "hom_alt") | (F.col("faf") <= DOMINANT_AF))
     severity = F.when(F.col("q") % 4 == 0, 1.0).when(F.col("q") % 4 == 1, 0.6).when(F.col("q") % 4 == 2, 0.25)
     prior = F.coalesce(*(F.when(F.col("cls") == c, F.lit(p)) for c, p in PRIORS.items()))

@@ -35,3 +35,12 @@ def test_partners_against_all_pairs(spark):
                 unknown += 1
         want[a[0], a[1]] = (len(trans), min(trans, default=None), max(trans, default=None), unknown)
     assert got == want and sum(t[3] > 0 for t in want.values()) > 20 and any(high - low > triage.TRUSTED for low, high in trusted.values())
+
+
+def test_partners_are_looked_up_in_two_tables(spark):
+    rows = [(1, 10, "inherited_het", "mat", None, 0, 0.0), (1, 20, "inherited_het", "pat", 5, 1, 0.0), (1, 30, "inherited_het", None, 5, 0, 0.0), (1, 40, "hom_alt", "mat", 5, 1, 0.0), (1, 50, "inherited_het", "pat", 5, 1, 0.5)]
+    v = spark.createDataFrame(rows, "gene long, pos long, cls string, origin string, phase_set long, hap long, af double")
+    df = triage.partners(v)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # none by position, and none for each kind of count
+    assert sorted(map(tuple, df.collect())) == [(1, 10, 1, 20, 20, 1), (1, 20, 2, 10, 30, 0), (1, 30, 1, 20, 20, 1)]
+    assert triage.partnered(v).where("n_trans IS NULL").count() == 2
