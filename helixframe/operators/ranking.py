@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from helixframe.sources.scratch import keep
 
 CASES = 2000  #: cases of a block
-ROWS = 256  #: diseases scored at once
+ROWS, MOST_ROWS = 256, 4096  #: diseases scored at once, at least and at most
+CELLS = 4_000_000  #: of diseases and ancestors that a batch holds, if that is ROWS or more
 LOWER = 32  #: bits of the lower part of a disease id
 
 
@@ -78,11 +79,16 @@ class Block:
 
         A disease that has the term, or something below it, isn't contradicted by it.
         """
-        used = np.zeros(absent.shape, bool)
+        place: dict[int, int] = {}  # of the ancestors of this case, in `used`
+        for t in self.present[c]:
+            for a in self.over[t]:
+                place.setdefault(a, len(place))
+        used = np.zeros((len(absent), len(place)), bool)
         for t in self.present[c]:
             over = self.over[t]
-            new = absent[:, over] & ~used[:, over] & np.isnan(carried[:, self.own[t]])[:, None]
-            used[:, over] |= new
+            mine = [place[a] for a in over]
+            new = absent[:, over] & ~used[:, mine] & np.isnan(carried[:, self.own[t]])[:, None]
+            used[:, mine] |= new
             yield new, over
 
 
@@ -109,11 +115,11 @@ def likelihood_with_penalties(block: Block, c: int, ic: np.ndarray, exact: np.nd
     A contradicted term is worth ABSENT at most; an excluded term the disease shows costs -ln(1 - frequency), the frequency at most CAP.
     """
     total = np.zeros(len(carried))
-    logs = np.log(np.maximum(np.nan_to_num(carried), LEAST))
+    logs = lambda a: np.log(np.maximum(np.nan_to_num(carried[:, a]), LEAST))  # noqa: E731 (of this case's ancestors only)
     for t, (new, _) in zip(block.present[c], block.contradicted(c, carried, absent), strict=True):
         best = np.full(len(carried), -np.inf)
         for a, value, _ in block.terms[t]:
-            best = np.where(np.isnan(carried[:, a]), best, np.maximum(best, value + logs[:, a]))
+            best = np.where(np.isnan(carried[:, a]), best, np.maximum(best, value + logs(a)))
         best = np.where(np.isinf(best), 0.0, best)
         total += np.where(new.any(axis=1), np.minimum(best, ABSENT), best)
     shown = np.nan_to_num(carried[:, block.excluded[c]])
@@ -201,12 +207,13 @@ def _scorer(shared, top: int, score):
         block: Block = shared.value
         names = pa.array(block.names, pa.string())
         best = [_Best(top) for _ in block.cases]
+        rows = max(ROWS, min(MOST_ROWS, CELLS // max(len(block.names), 1)))
         for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                b = whole.slice(start, ROWS)
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
                 freqs = b.column(2)
                 row, at, known = _places(b.column(1), names)
-                carried = np.full((b.num_rows, len(names)), np.nan)
+                carried = np.full((b.num_rows, len(names)), np.nan, order="F")  # read by columns
                 carried[row, at] = freqs.flatten().to_numpy()[known]
                 absent = None
                 if b.num_columns > 3:

@@ -14,3 +14,18 @@ def test_large_ids_and_several_blocks(spark, monkeypatch):
     assert [one["c0", k][0] for k in range(1, 5)] == [big + 4, big + 3, big + 2, big + 1] and one["c0", 1][2] == 6 and one["c1", 1][0] == 3
     monkeypatch.setattr(ranking, "CASES", 6)
     assert {(r.case_id, r["rank"]): (r.disease, r.score, r.tied) for r in ranking.rank(cases, closed, carried, ic, 4).collect()} == one
+
+
+def test_a_case_costs_its_own_ancestors_and_not_all_of_the_block(monkeypatch):
+    import numpy as np
+    from pyspark.sql import Row
+
+    up = lambda t: [Row(ancestor=t, ic=2.0), Row(ancestor="root", ic=0.5)]
+    block = ranking.Block([Row(case_id=f"c{i}", term=f"t{i}", status="present", up=up(f"t{i}")) for i in range(50)])
+    carried, absent = np.full((3, len(block.names)), np.nan), np.zeros((3, len(block.names)), bool)
+    carried[0, block.own[0]], carried[1, block.names.index("root")], absent[2, block.own[0]] = 0.5, 0.25, True
+    seen, log = [], np.log
+    monkeypatch.setattr(ranking.np, "log", lambda x: seen.append(np.size(x)) or log(x))
+    ic, exact, freq = block.best(carried)
+    got = ranking.likelihood_with_penalties(block, 0, ic[[0]], exact[[0]], freq[[0]], carried, absent)
+    assert np.allclose(got, [2 + log(0.5), 0.5 + log(0.25), ranking.ABSENT]) and sum(seen) <= 12  # 153 for all ancestors of the block
