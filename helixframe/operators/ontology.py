@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import ranking
 from helixframe.plans import projections as P
-from helixframe.sources.scratch import keep
+from helixframe.sources.scratch import keep, narrow
 
 TOP = 10
 FLOOR = 0.01  #: least frequency
@@ -29,22 +29,32 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def disease_closure(annotation: DataFrame, closed: DataFrame) -> DataFrame:
-    """(disease, ancestor, freq): positive annotations carried up; the highest known frequency of what lies below."""
+    """(disease, ancestor, freq): positive annotations carried up; the highest known frequency of what lies below.
+
+    The ancestors of a term come as one row. While that table is narrow, annotations that lie by disease stay where they are.
+    """
     positive = annotation.where("num > 0").select("disease", "term", (F.col("num") / F.col("den")).alias("freq"))
-    return positive.join(closed, "term").groupBy("disease", "ancestor").agg(F.max("freq").alias("freq"))
+    over = narrow(closed.groupBy("term").agg(F.collect_list("ancestor").alias("over")))
+    return positive.join(over, "term").select("disease", F.explode("over").alias("ancestor"), "freq").groupBy("disease", "ancestor").agg(F.max("freq").alias("freq"))
 
 
-def information_content(carried: DataFrame) -> DataFrame:
-    """(ancestor, ic): -ln of the share of diseases that have the term."""
-    total = carried.agg(F.countDistinct("disease").alias("n_all"))
+def information_content(carried: DataFrame, total: DataFrame | None = None) -> DataFrame:
+    """(ancestor, ic): -ln of the share of diseases that have the term; `total` is one row with their number `n_all`."""
+    if total is None:
+        total = carried.agg(F.countDistinct("disease").alias("n_all"))
     by = carried.groupBy("ancestor").agg(F.count("*").alias("n"))
     return by.crossJoin(F.broadcast(total)).select("ancestor", (-F.log(F.col("n").cast("double") / F.col("n_all").cast("double"))).alias("ic"))
 
 
 def _parts(spark: SparkSession, sf_dir: str):
+    """Closure, diseases (one row each, `ranking.by_disease`), information, terms of cases."""
     closed = closure(P.ontology_edges(spark, sf_dir))
-    carried = keep(disease_closure(P.annotations(spark, sf_dir), closed), "carried")  # read by the counts and by the matches
-    return closed, carried, information_content(carried), P.case_terms(spark, sf_dir)
+    diseases = keep(ranking.by_disease(disease_closure(P.annotations(spark, sf_dir), closed)), "diseases")  # read by the counts and by the matches
+    return closed, diseases, information_content(_carried(diseases), diseases.agg(F.count("*").alias("n_all"))), P.case_terms(spark, sf_dir)
+
+
+def _carried(diseases: DataFrame) -> DataFrame:
+    return diseases.selectExpr("disease", "inline(arrays_zip(ancestors, freqs)) AS (ancestor, freq)")
 
 
 def query_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,19 +67,19 @@ def query_information_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_frequency_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, carried, _, _ = _parts(spark, sf_dir)
-    return carried.select("disease", "ancestor", F.round("freq", 6).alias("freq"))
+    _, diseases, _, _ = _parts(spark, sf_dir)
+    return _carried(diseases).select("disease", "ancestor", F.round("freq", 6).alias("freq"))
 
 
 def query_resnik_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed, carried, ic, cases = _parts(spark, sf_dir)
-    return ranking.rank(cases, closed, carried, ic, TOP).drop("excluded_hits")
+    closed, diseases, ic, cases = _parts(spark, sf_dir)
+    return ranking.rank(cases, closed, diseases, ic, TOP).drop("excluded_hits")
 
 
 def query_likelihood_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum over query terms of information content plus log frequency, not under 0; excluded terms the disease shows cost."""
-    closed, carried, ic, cases = _parts(spark, sf_dir)
-    return ranking.rank(cases, closed, carried, ic, TOP, ranking.likelihood(FLOOR))
+    closed, diseases, ic, cases = _parts(spark, sf_dir)
+    return ranking.rank(cases, closed, diseases, ic, TOP, ranking.likelihood(FLOOR))
 
 
 def _absent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,20 +88,20 @@ def _absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_resnik_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of information with penalties of excluded terms and of curated absences that present terms contradict."""
-    closed, carried, ic, cases = _parts(spark, sf_dir)
-    return ranking.rank(cases, closed, carried, ic, TOP, ranking.resnik_with_penalties, _absent(spark, sf_dir))
+    closed, diseases, ic, cases = _parts(spark, sf_dir)
+    return ranking.rank(cases, closed, diseases, ic, TOP, ranking.resnik_with_penalties, _absent(spark, sf_dir))
 
 
 def query_likelihood_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likelihood with its cap of excluded terms and the value of contradicted ones."""
-    closed, carried, ic, cases = _parts(spark, sf_dir)
-    return ranking.rank(cases, closed, carried, ic, TOP, ranking.likelihood_with_penalties, _absent(spark, sf_dir))
+    closed, diseases, ic, cases = _parts(spark, sf_dir)
+    return ranking.rank(cases, closed, diseases, ic, TOP, ranking.likelihood_with_penalties, _absent(spark, sf_dir))
 
 
 def query_gene_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes (brands) by the best of their diseases among the first GENE_POOL of a case, with the sum as support."""
-    closed, carried, ic, cases = _parts(spark, sf_dir)
-    best = ranking.rank(cases, closed, carried, ic, GENE_POOL)
+    closed, diseases, ic, cases = _parts(spark, sf_dir)
+    best = ranking.rank(cases, closed, diseases, ic, GENE_POOL)
     genes = P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("disease"), F.col("p_brand").alias("gene"))
     by = best.join(genes, "disease").groupBy("case_id", "gene").agg(
         F.max("score").alias("score"), (F.sum(F.round(F.col("score") * 1e6).cast("long")) / F.lit(1e6)).alias("support"), F.min("rank").alias("best_rank"), F.count("*").alias("diseases")
@@ -102,12 +112,12 @@ def query_gene_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_not_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, disease, term): the disease is annotated without the term, and nothing at or below it is positive."""
-    closed, carried, _, cases = _parts(spark, sf_dir)
+    closed, diseases, _, cases = _parts(spark, sf_dir)
     negative = P.annotations(spark, sf_dir).where("num = 0").select("disease", "term")
     present = cases.where("status = 'present'").select("case_id", "term")
     excluded_up = negative.withColumnRenamed("term", "ancestor").join(closed, "ancestor").select("disease", "term")
     hit = present.join(excluded_up, "term")
-    return hit.join(carried.select("disease", F.col("ancestor").alias("term")), ["disease", "term"], "left_anti").select("case_id", "disease", "term").distinct()
+    return hit.join(_carried(diseases).select("disease", F.col("ancestor").alias("term")), ["disease", "term"], "left_anti").select("case_id", "disease", "term").distinct()
 
 
 def query_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:

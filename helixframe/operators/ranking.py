@@ -2,8 +2,9 @@
 
 The cases are a stated query set: CASES of them at a time travel to the tasks with the ancestors of their
 terms. Every disease is read once a block, as one row with its carried terms, and scored against the block in
-numpy. A task hands on no more than the best `top` of each case, with the number of rows that have each
-score, so what is shuffled doesn't grow with the diseases.
+numpy. Terms whose ancestors in a batch are the same are matched once, and once a case has its `top`, only
+diseases that reach the least of their scores are looked at further. A task hands on no more than the best `top`
+of each case, with the number of rows that have each score, so what is shuffled doesn't grow with the diseases.
 """
 
 from __future__ import annotations
@@ -62,17 +63,21 @@ class Block:
 
     def best(self, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each term and disease the best shared ancestor: its information (0: none), whether exact, its frequency."""
-        shape = (len(self.terms), len(freq))
-        ic, exact, f = np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape)
         has = ~np.isnan(freq)
-        for t, up in enumerate(self.terms):
-            for a, value, same in up:
+        some = has.any(axis=0).tolist()
+        number: dict[tuple, int] = {}  # of the different lists of ancestors that any of these diseases has
+        at = [number.setdefault(tuple(x for x in up if some[x[0]]), len(number)) for up in self.terms]
+        shape = (len(number), len(freq))
+        ic, exact, f = np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape)
+        for up, i in number.items():
+            for j in range(len(up) - 1, -1, -1):  # the more informative ones last, as they replace others
+                a, value, same = up[j]
                 here = has[:, a]
-                new = here & (ic[t] == 0)
-                tie = here & (ic[t] == value) & (exact[t] == same) & (f[t] < np.where(here, freq[:, a], 0))
-                ic[t][new], exact[t][new] = value, same
-                f[t][new | tie] = freq[new | tie, a]
-        return ic, exact, f
+                tie = here & (ic[i] == value) & (exact[i] == same) & (f[i] > freq[:, a]) if up[j + 1 : j + 2] and up[j + 1][1:] == (value, same) else None
+                np.copyto(ic[i], value, where=here)
+                np.copyto(exact[i], same, where=here)
+                np.copyto(f[i], freq[:, a], where=here if tie is None else here & ~tie)
+        return ic[at], exact[at], f[at]
 
     def contradicted(self, c: int, carried: np.ndarray, absent: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
         """Of each present term the curated absences (row, ancestor) that it contradicts; each counts for its first term only.
@@ -145,6 +150,10 @@ class _Best:
     def __init__(self, top: int):
         self.top, self.rows, self.scores, self.counts = top, None, np.empty(0), np.empty(0, np.int64)
 
+    def least(self) -> float:
+        """The score below which nothing is added any more."""
+        return -np.inf if self.rows is None or len(self.rows) < self.top else self.rows[-1, 0]
+
     def add(self, rows: np.ndarray) -> None:
         """`rows`: columns score, exact, specificity, upper and lower part of the disease id, excluded hits."""
         values, counts = np.unique(rows[:, 0], return_counts=True)
@@ -163,27 +172,35 @@ class _Best:
 SCHEMA = "case_id string, disease long, score double, exact long, specificity double, excluded_hits long, same long"
 
 
+def by_disease(carried: DataFrame) -> DataFrame:
+    """(disease, ancestors, freqs) of the rows (disease, ancestor, freq)."""
+    return carried.groupBy("disease").agg(F.collect_list("ancestor").alias("ancestors"), F.collect_list("freq").alias("freqs"))
+
+
 def rank(case_terms: DataFrame, closed: DataFrame, carried: DataFrame, ic: DataFrame, top: int, score=resnik, absent: DataFrame | None = None) -> DataFrame:
     """(case_id, disease, score, exact, specificity, excluded_hits, rank, tied): the `top` of each case.
 
     Order: score, exact matches, specificity (mean information of the matched terms), then disease id downwards; a disease
     that shares nothing informative with a case isn't ranked. Scores are compared at six digits. `absent` (disease, term)
-    are curated absences, which the scores with penalties read.
+    are curated absences, which the scores with penalties read. `carried` has rows (disease, ancestor, freq), or it is a written
+    table of those of `by_disease`.
     """
     spark = case_terms.sparkSession
+    case_terms = keep(case_terms, "cases")  # counted, then read by every block
     up = closed.join(ic.where("ic > 0"), "ancestor") if absent is None else closed.join(ic, "ancestor", "left").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
     asked = case_terms.join(up, "term", "left").groupBy("case_id", "term", "status").agg(F.collect_list(F.when(F.col("ancestor").isNotNull(), F.struct("ancestor", "ic"))).alias("up"))
-    diseases = carried.groupBy("disease").agg(F.collect_list("ancestor").alias("ancestors"), F.collect_list("freq").alias("freqs"))
+    written = "ancestors" in carried.columns
+    diseases = carried if written else by_disease(carried)
     if absent is not None:
         curated = absent.groupBy("disease").agg(F.collect_set("term").alias("absents"))
         diseases = diseases.join(curated, "disease", "left").withColumn("absents", F.coalesce("absents", F.array().cast("array<string>")))
     n = math.ceil(case_terms.agg(F.countDistinct("case_id")).first()[0] / CASES)
-    if n > 1:  # read by every block
+    if n > 1 and not (written and absent is None):  # read by every block
         diseases = keep(diseases, "diseases")
     found = None
     for i in range(max(n, 1)):
         mine = asked.where(F.pmod(F.xxhash64("case_id"), F.lit(max(n, 1))) == i).orderBy("case_id", "term")
-        block = spark.sparkContext.broadcast(Block(mine.collect()))
+        block = spark.sparkContext.broadcast(mine.collect())  # rows, as a Block would need this package on the path of workers
         part = diseases.mapInArrow(_scorer(block, top, score), SCHEMA)
         if n > 1:  # one block after the other; what is left of each is a small table
             part = keep(part, "ranked")
@@ -204,7 +221,7 @@ def _places(lists: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 def _scorer(shared, top: int, score):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Block = shared.value
+        block = Block(shared.value)
         names = pa.array(block.names, pa.string())
         best = [_Best(top) for _ in block.cases]
         rows = max(ROWS, min(MOST_ROWS, CELLS // max(len(block.names), 1)))
@@ -227,14 +244,19 @@ def _scorer(shared, top: int, score):
                     if not terms:
                         continue
                     mine = ic[terms]
-                    hits = (mine > 0).sum(axis=0)
-                    some = hits > 0
-                    if not some.any():
+                    value = score(block, c, mine, exact[terms], freq[terms], carried, absent)
+                    open_ = np.flatnonzero(value >= best[c].least() - 1e-6)  # rounding moves a score by less
+                    if not len(open_):
                         continue
-                    value = np.round(score(block, c, mine, exact[terms], freq[terms], carried, absent), 6)
-                    specificity = np.round(mine.sum(axis=0) / np.maximum(hits, 1), 6)
-                    shown = (~np.isnan(carried[:, block.excluded[c]])).sum(axis=1)
-                    best[c].add(np.column_stack([value, exact[terms].sum(axis=0), specificity, upper, lower, shown])[some])
+                    mine = mine[:, open_]
+                    hits = (mine > 0).sum(axis=0)
+                    if not hits.all():
+                        open_, mine, hits = open_[hits > 0], mine[:, hits > 0], hits[hits > 0]
+                        if not len(open_):
+                            continue
+                    specificity = np.round(mine.sum(axis=0) / hits, 6)
+                    shown = (~np.isnan(carried[np.ix_(open_, block.excluded[c])])).sum(axis=1)
+                    best[c].add(np.column_stack([np.round(value[open_], 6), exact[np.ix_(terms, open_)].sum(axis=0), specificity, upper[open_], lower[open_], shown]))
         for case, x in zip(block.cases, best, strict=True):
             if x.rows is not None:
                 first = np.r_[True, x.rows[1:, 0] != x.rows[:-1, 0]]

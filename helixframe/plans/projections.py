@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from helixframe.sources.scratch import spread
+
 #: query terms of a case; the last one is an excluded term
 TERMS_PER_CASE = 6
 
@@ -35,21 +37,21 @@ def ontology_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(disease, term, num, den): how many of `den` observations show the term."""
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    return li.groupBy(F.col("l_partkey").alias("disease"), term("S", "l_suppkey").alias("term")).agg(
-        F.count_if(F.col("l_linestatus") == "F").alias("num"), F.count("*").alias("den")
-    )
+    """(disease, term, num, den): how many of `den` observations show the term; rows of a disease lie together."""
+    li = table(spark, sf_dir, "lineitem")
+    seen = li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("disease"), "l_suppkey", (F.col("l_linestatus") == "F").alias("shown"))
+    by = spread(seen, li.count(), "disease").groupBy("disease", "l_suppkey").agg(F.count_if("shown").alias("num"), F.count("*").alias("den"))
+    return by.select("disease", term("S", "l_suppkey").alias("term"), "num", "den")
 
 
 def case_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(case_id, term, status): a case is a nation and market segment, its terms the suppliers it buys most from."""
     li, o, c = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
-    bought = (
+    by_order = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("case_id"))
+    bought = (  # orders first: line items, which are more, go to their orders only
         li.select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
-        .join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(c.select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("case_id"), "l_suppkey")
+        .join(by_order, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("case_id", "l_suppkey")
         .agg(F.sum("q").alias("q"))
     )
     n = F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("q"), "l_suppkey"))
